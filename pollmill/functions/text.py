@@ -7,6 +7,9 @@ from pyspark.sql import Column, functions as F
 # Unicode white space as the survey export uses it, plus the ASCII separators 1C-1F.
 _WS = r"(?U)[\s\x1c-\x1f]+"
 _EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The same set as characters, for the cheaper per-character removal.
+_WS_CHARS = "".join(ch for ch in map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _STRICT_NUMBER = r"^[-+]?[0-9]+(\.[0-9]+)?$"
 _FLOAT = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 _INFINITE = r"(?i)^[-+]?inf(inity)?$"
@@ -34,7 +37,7 @@ def norm_ws(c) -> Column:
 
 def norm_label(c) -> Column:
     """Label key: all white space removed."""
-    return F.regexp_replace(F.coalesce(_col(c), F.lit("")), _WS, "")
+    return F.translate(F.coalesce(_col(c), F.lit("")), _WS_CHARS, "")
 
 
 def is_other(c, other: str = "其他") -> Column:

@@ -34,32 +34,39 @@ def _tokens(cell: Column, skip: str) -> Column:
     return F.filter(split_multi(cell), lambda t: norm_label(t) != norm_label(F.lit(skip)))
 
 
-def map_multi(cell: Column, options: list[str], skip: str = "(跳过)", other: str = "其他") -> list[Column]:
-    """One cell per option: "1" selected, "0" not; the last option keeps free text as "1^text"."""
-    tokens = _tokens(cell, skip)
-    plain = F.transform(F.filter(tokens, lambda t: ~is_other(t, other)), norm_label)
-    others = F.filter(tokens, lambda t: is_other(t, other))
-    last_token = F.try_element_at(others, F.lit(-1))
+def marked_cell(cell: Column, separator: str = "┋") -> Column:
+    """The cell without white space, every token enclosed in separators: one regex per cell."""
+    return F.concat(F.lit(separator), norm_label(cell), F.lit(separator))
+
+
+def map_multi(cell: Column, options: list[str], skip: str = "(跳过)", other: str = "其他",
+              marked: Column | None = None, separator: str = "┋") -> list[Column]:
+    """One cell per option: "1" selected, "0" not; the last option keeps free text as "1^text".
+
+    Listed options are plain substring tests on the marked cell; tokens are only split when an
+    "other" answer is present.
+    """
+    marked = marked_cell(cell, separator) if marked is None else marked
+
+    def chosen(label):
+        return marked.contains(f"{separator}{''.join(label.split())}{separator}").cast("int").cast("string")
+
     # Free text wins over the bare label unless the bare label comes last in the cell.
-    other_cell = (F.when(F.size(others) == 0, F.lit("0"))
-                  .when(norm_label(last_token) == other, F.lit("1"))
-                  .otherwise(F.concat(F.lit("1^"), last_token)))
-    out = [F.array_contains(plain, "".join(o.split())).cast("int").cast("string") for o in options[:-1]]
-    return out + [other_cell]
+    last = F.try_element_at(F.filter(_tokens(cell, skip), lambda t: is_other(t, other)), F.lit(-1))
+    other_cell = (F.when(~marked.contains(separator + other), F.lit("0"))
+                  .when(norm_label(last) == other, F.lit("1")).otherwise(F.concat(F.lit("1^"), last)))
+    return [chosen(o) for o in options[:-1]] + [other_cell]
 
 
 def other_text_count(cell: Column, skip: str = "(跳过)", other: str = "其他") -> Column:
-    return F.size(F.filter(_tokens(cell, skip), lambda t: is_other(t, other) & (norm_label(t) != other)))
+    found = F.size(F.filter(_tokens(cell, skip), lambda t: is_other(t, other) & (norm_label(t) != other)))
+    return F.when(F.contains(cell, F.lit(other)), found).otherwise(0)
 
 
 def unknown_multi(cell: Column, options: list[str], skip: str = "(跳过)", other: str = "其他") -> Column:
     """Array of tokens that match no option."""
-    known = F.array(*[F.lit("".join(o.split())) for o in options])
-    return F.filter(_tokens(cell, skip), lambda t: ~is_other(t, other) & ~F.array_contains(known, norm_label(t)))
-
-
-def effective_tokens(cell: Column, skip: str = "(跳过)") -> Column:
-    return F.size(_tokens(cell, skip))
+    known = {"".join(o.split()) for o in options} | {"".join(skip.split())}
+    return F.filter(split_multi(cell), lambda t: ~is_other(t, other) & ~norm_label(t).isin(sorted(known)))
 
 
 def branch_skip(status: Column, visited: list[Column], unvisited: list[Column]) -> tuple[list[Column], list[Column]]:
@@ -69,9 +76,15 @@ def branch_skip(status: Column, visited: list[Column], unvisited: list[Column])
     return left, right
 
 
+def _answered(cell: Column, skip: str, separator: str = "┋") -> Column:
+    """Whether any token other than the skip marker is present."""
+    rest = F.replace(marked_cell(cell, separator), F.lit(separator + "".join(skip.split())), F.lit(""))
+    return F.replace(rest, F.lit(separator), F.lit("")) != ""
+
+
 def branch_conflict(status: Column, visited_cell: Column, unvisited_cell: Column, skip: str = "(跳过)") -> Column:
     """1 when the branch that does not apply was answered, or either one when the status is unknown."""
-    v, u = effective_tokens(visited_cell, skip) > 0, effective_tokens(unvisited_cell, skip) > 0
+    v, u = _answered(visited_cell, skip), _answered(unvisited_cell, skip)
     return F.when(status == 1, u).when(status == 2, v).otherwise(v | u).cast("int")
 
 
@@ -93,10 +106,12 @@ def recode_wide(raw: DataFrame, profile, keep=("respondent_id",)) -> DataFrame:
     out: dict[int, Column] = {}
     for src, dst, book in _books(profile):
         out[dst] = F.coalesce(map_single(_raw(src), book).cast("string"), F.lit(""))
+    raw = raw.withColumns({f"_m{src}": marked_cell(_raw(src)) for src, _ in profile.MULTI_SOURCES.values()}
+                          | {"_status": map_single(_raw(14), profile.SINGLE_BOOKS[14])})
     for q, (src, dst) in profile.MULTI_SOURCES.items():
-        for n, cell in enumerate(map_multi(_raw(src), profile.OPTIONS[q], profile.SKIP_TOKEN)):
-            out[dst + n] = cell
-    status = map_single(_raw(14), profile.SINGLE_BOOKS[14])
+        cells = map_multi(_raw(src), profile.OPTIONS[q], profile.SKIP_TOKEN, marked=F.col(f"_m{src}"))
+        out.update({dst + n: cell for n, cell in enumerate(cells)})
+    status = F.col("_status")
     spans = [range(33, 43), range(43, 52)]
     left, right = branch_skip(status, [out[i] for i in spans[0]], [out[i] for i in spans[1]])
     out.update(zip(spans[0], left))
@@ -115,9 +130,8 @@ def _log_tokens(src: int, tokens: Column, target: str) -> Column:
     return F.transform(tokens, lambda t: _log_struct(src, t, target, "multi_unmapped"))
 
 
-def _applies(q: str, profile) -> Column:
+def _applies(q: str, status: Column) -> Column:
     """The two branch questions are read only in their own branch."""
-    status = map_single(_raw(14), profile.SINGLE_BOOKS[14])
     return {"Q14": status == 1, "Q15": status == 2}.get(q, F.lit(True))
 
 
@@ -127,19 +141,21 @@ def unknown_value_log(raw: DataFrame, profile, row_id: str = "respondent_id") ->
     multis = []
     for q, (src, dst) in profile.MULTI_SOURCES.items():
         target = f"{dst}-{dst + len(profile.OPTIONS[q]) - 1}"
-        found = F.when(_applies(q, profile), unknown_multi(_raw(src), profile.OPTIONS[q], profile.SKIP_TOKEN))
+        found = F.when(_applies(q, F.col("_status")), unknown_multi(_raw(src), profile.OPTIONS[q], profile.SKIP_TOKEN))
         multis.append(_log_tokens(src, F.coalesce(found, F.array().cast("array<string>")), target))
     entries = F.filter(F.concat(*singles, *multis), lambda e: e["source_value"].isNotNull())
-    return raw.select(F.col(row_id).alias("row_id"), F.inline(entries))
+    return raw.withColumn("_status", map_single(_raw(14), profile.SINGLE_BOOKS[14])).select(
+        F.col(row_id).alias("row_id"), F.inline(entries))
 
 
 def conversion_counts(raw: DataFrame, profile) -> DataFrame:
     """Per respondent: unknown values, free "other" texts, branch conflict."""
-    status = map_single(_raw(14), profile.SINGLE_BOOKS[14])
+    raw = raw.withColumn("_status", map_single(_raw(14), profile.SINGLE_BOOKS[14]))
+    status = F.col("_status")
     unknown = [unknown_single(_raw(s), b).isNotNull().cast("int") for s, _, b in _books(profile)]
     other = []
     for q, (src, _) in profile.MULTI_SOURCES.items():
-        here = _applies(q, profile)
+        here = _applies(q, status)
         unknown.append(F.when(here, F.size(unknown_multi(_raw(src), profile.OPTIONS[q], profile.SKIP_TOKEN))).otherwise(0))
         other.append(F.when(here, other_text_count(_raw(src), profile.SKIP_TOKEN)).otherwise(0))
     return raw.select(sum(unknown[1:], unknown[0]).alias("unknown_n"), sum(other[1:], other[0]).alias("other_n"),

@@ -18,13 +18,13 @@ _LIKERT = range(52, 92)
 
 def _pick(k: int) -> str:
     """Condition under which option column k is selected."""
-    return f"((({k % 9 + 2}) * ck + ok) % {3 + k % 4} = 0)"
+    return f"(x{k % 9 + 2} % {3 + k % 4} = 0)"
 
 
 def _likert(j: int, straight: bool) -> str:
-    noisy = f"least(5, greatest(1, latent + ({PRIMES[j % 10]} * ok + {j}) % 3 - 1))"
+    noisy = f"least(5, greatest(1, latent + (t{PRIMES[j % 10]} + {j}) % 3 - 1))"
     fixed = "WHEN ok % 89 = 0 THEN 3 " if straight else ""
-    return f"CASE WHEN (7 * ok + {j}) % 211 = 0 THEN NULL {fixed}ELSE {noisy} END"
+    return f"CASE WHEN (t7 + {j}) % 211 = 0 THEN NULL {fixed}ELSE {noisy} END"
 
 
 def _branch(k: int, own: int) -> str:
@@ -34,7 +34,7 @@ def _branch(k: int, own: int) -> str:
 
 def _codes(straight: bool) -> dict[int, str]:
     out = {1: "1 + ok % 2", 2: "1 + ck % 5", 8: "status", 24: "1 + (13 * ok + ck) % 4", 25: "1 + (17 * ok + ck) % 5"}
-    out |= {i: f"1 + ({m} * ck + ok) % 5" for i, m in zip(range(3, 8), (3, 5, 7, 9, 11))}
+    out |= {i: f"1 + x{m} % 5" for i, m in zip(range(3, 8), (3, 5, 7, 9, 11))}
     plain = [*range(9, 24), *range(26, 33), *range(92, 108)]
     out |= {k: f"CASE WHEN {_pick(k)} THEN 1 ELSE 0 END" for k in plain}
     out |= {k: _branch(k, 1) for k in range(33, 43)} | {k: _branch(k, 2) for k in range(43, 52)}
@@ -43,8 +43,12 @@ def _codes(straight: bool) -> dict[int, str]:
 
 
 def base_cte() -> str:
-    return ("base AS (SELECT o_orderkey AS ok, o_custkey AS ck, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS status, "
-            "1 + cast(floor(o_totalprice) AS bigint) % 5 AS latent FROM {orders})")
+    # Shared terms are columns of their own, so wide projections stay small when compiled.
+    terms = [f"{p} * ok AS t{p}" for p in PRIMES] + [f"{m} * ck + ok AS x{m}" for m in range(2, 12)]
+    terms += [f"ok % {m} AS m{m}" for m in (53, 59, 61)]
+    return ("keys AS (SELECT o_orderkey AS ok, o_custkey AS ck, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS status, "
+            "1 + cast(floor(o_totalprice) AS bigint) % 5 AS latent FROM {orders}), "
+            f"base AS (SELECT ok, ck, status, latent, {', '.join(terms)} FROM keys)")
 
 
 def coded_cte(straight: bool = True) -> str:
@@ -81,8 +85,8 @@ def _single(src: int, code: str, book: dict[str, int]) -> str:
     if src in (11, 18):
         label = f"replace({label}, '元', ' 　元')"
     other = "WHEN ok % 47 = 0 THEN '其他（自填）' " if src == 10 else ""
-    return (f"CASE WHEN ok % 53 = {src % 53} THEN '未知选项' {other}WHEN ok % 61 = {src % 61} THEN '' "
-            f"ELSE concat(CASE WHEN ok % 59 = {src % 59} THEN '　 ' ELSE '' END, {label}) END")
+    return (f"CASE WHEN m53 = {src % 53} THEN '未知选项' {other}WHEN m61 = {src % 61} THEN '' "
+            f"ELSE concat(CASE WHEN m59 = {src % 59} THEN '　 ' ELSE '' END, {label}) END")
 
 
 def _multi(q: str) -> str:
@@ -168,9 +172,19 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def use_all_cores(scan: DataFrame, key: str) -> DataFrame:
+    """A table of one small file arrives in one partition; spread it before wide per-row work.
+
+    Never triggers once a table has at least as many splits as the cluster has cores.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = f"WITH {', '.join(ctes(name))} SELECT * FROM {name}"
-    return spark.sql(text, orders=load(spark, sf_dir, "orders"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return spark.sql(text, orders=use_all_cores(orders, "o_orderkey"))
 
 
 def oracle(name: str | tuple, body: str) -> str:
