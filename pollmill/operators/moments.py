@@ -71,10 +71,6 @@ def _partials(columns: list[str], by: list[str]):
     return reduce
 
 
-def _sum_arrays(name: str, size: int):
-    return F.array(*[F.sum(F.col(name)[i]) for i in range(size)]).alias(name)
-
-
 def cross_moments(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """(by, n, s, q): count, sums and upper-triangle cross products of the complete rows.
 
@@ -85,7 +81,22 @@ def cross_moments(df: DataFrame, columns: list[str], by: list[str] = ()) -> Data
     typed = df.select(*[F.col(k).cast("string").alias(k) for k in by], *[F.col(x).cast("double").alias(x) for x in columns])
     schema = ", ".join([f"`{k}` string" for k in by] + ["n bigint", "s array<double>", "q array<double>"])
     part = typed.mapInArrow(_partials(list(columns), by), schema)
-    return part.groupBy(*by).agg(F.sum("n").alias("n"), _sum_arrays("s", p), _sum_arrays("q", p * (p + 1) // 2))
+    return sum_vectors(part, by, ["s", "q"], {"s": p, "q": p * (p + 1) // 2})
+
+
+def sum_vectors(part: DataFrame, by: list[str], arrays: list[str], sizes: dict[str, int]) -> DataFrame:
+    """Element-wise sums of array columns (and of ``n``) per group.
+
+    Elements are summed as rows: a plan with a sum per element compiles slowly once there are hundreds.
+    """
+    joined = part.select(*by, "n", F.posexplode(F.concat(*arrays)).alias("_j", "_v"))
+    sums = joined.groupBy(*by, "_j").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
+    out = sums.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_j", "_v"))), lambda e: e["_v"]).alias("_a"))
+    at, cols = 1, []
+    for a in arrays:
+        cols.append(F.slice("_a", at, sizes[a]).alias(a))
+        at += sizes[a]
+    return out.select(*by, "n", *cols)
 
 
 def covariance_of(n: int, s, q, ddof: int = 1) -> np.ndarray:

@@ -147,6 +147,11 @@ def confusion_at(df: DataFrame, label: str, score: str, cuts=(0.4, 0.5, 0.6), by
 def kruskal_wallis(df: DataFrame, value: str, group: str, by=(), min_group: int = 5) -> DataFrame:
     """(by, n, groups, h, df, epsilon2): H with tie correction; NULL for a group below ``min_group``."""
     cells = df.filter(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count(F.lit(1)).alias("m"))
+    return kruskal_from_counts(cells, value, group, by, min_group)
+
+
+def kruskal_from_counts(cells: DataFrame, value: str, group: str, by=(), min_group: int = 5) -> DataFrame:
+    """The same from counts ``m`` per (by, group, value)."""
     values = cells.groupBy(*by, value).agg(F.sum("m").alias("n"))
     ranked = running_totals(values, value, ["n"], by).withColumn("mid", F.col("n_before") + (F.col("n") + 1) / 2.0)
     sums = cells.join(ranked.select(*by, value, "mid"), [*by, value]).groupBy(*by, group).agg(
