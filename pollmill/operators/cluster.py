@@ -184,7 +184,7 @@ def grouped_sums(frame: DataFrame, group_of, width: int) -> dict[int, tuple[int,
 
 def collect_sums(part: DataFrame, width: int) -> dict[int, tuple[int, np.ndarray]]:
     """Add up the tasks' (grp, n, s) rows; long vectors are summed as rows, as a plan of thousands of sums compiles slowly."""
-    if width <= 64:
+    if width <= 16:
         rows = part.groupBy("grp").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)]).collect()
         return {r["grp"]: (r["n"], np.array([r[f"s{i}"] for i in range(width)])) for r in rows}
     rows = part.select("grp", "n", F.posexplode("s").alias("j", "v")).groupBy("grp", "j").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.scores import portable_hash
+
 _VALUES_PER_RANGE = 200_000
 _COARSE = 64
 
@@ -81,6 +83,12 @@ def numbered(df: DataFrame, by: list[str], order: list[str], bucket: Column, out
             .withColumn(out, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_bucket", "_before", "_in"))
 
 
+def stratified_folds(df: DataFrame, label: str, k: int, seed: int, id_col: str = "respondent_id") -> DataFrame:
+    """Balanced fold number per row: rows of each class numbered by a seeded hash, modulo k."""
+    out = numbered(df.withColumn("_h", portable_hash(id_col, seed)), [label], ["_h", id_col], F.floor(F.col("_h") / 4194304.0))
+    return out.withColumn("fold", ((F.col("row_no") - 1) % k).cast("int")).drop("_h", "row_no")
+
+
 def dup_rank(df: DataFrame, key: Column, id_col: str = "respondent_id", bucket_width: int = 65536) -> DataFrame:
     """Occurrence number and total per answer key, in id order."""
     keyed = df.withColumn("_key", key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_cluster, queries_quality, queries_recode, queries_tables  # noqa: F401
+from . import queries_cluster, queries_logit, queries_quality, queries_recode, queries_sem, queries_tables  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 

@@ -292,18 +292,11 @@ def sql_hash(id_expr, seed):
     return f"xor({x}, ({x}) >> 16)"
 
 
-def folds(df, label, k, seed, id_col="respondent_id"):
-    """Balanced fold number per row: row numbers within each class by hash, modulo k."""
-    h = S.portable_hash(id_col, seed)
-    out = K.numbered(df.withColumn("_h", h), [label], ["_h", id_col], F.floor(F.col("_h") / 4194304.0))
-    return out.withColumn("fold", ((F.col("row_no") - 1) % k).cast("int")).drop("_h", "row_no")
-
-
 @query("stratified_folds", oracle("survey", f"""h AS (SELECT respondent_id, cast(C090 <= 2 AS int) AS y, {sql_hash('respondent_id', 53)} AS h FROM survey WHERE C090 IS NOT NULL)
  SELECT respondent_id, y, cast((row_number() OVER (PARTITION BY y ORDER BY h, respondent_id) - 1) % 5 AS int) AS fold FROM h"""))
 def _(spark, sf):
     s = view(spark, sf, "survey").select("respondent_id", S.recode_binary_high("C090").cast("int").alias("y")).filter("y is not null")
-    return folds(s, "y", 5, 53)
+    return K.stratified_folds(s, "y", 5, 53)
 
 
 @query("resample_exact", oracle("survey", f"""r AS (SELECT respondent_id, run FROM survey, (SELECT unnest(range(1, 9)) AS run)),
