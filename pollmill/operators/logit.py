@@ -135,8 +135,10 @@ def fit_all(frame: DataFrame, n_fits: int, p: int) -> list[Fit | None]:
                 continue
             inv = np.linalg.pinv(h, hermitian=True)
             step = inv @ v[:q]
+            # Separated classes have no finite maximum: stop once the likelihood no longer gains.
+            flat = f in state and abs(ll - state[f][1]) <= 1e-12 * (abs(ll) + 1.0)
             state[f] = (b, ll)
-            if np.abs(step).max() < 1e-9 or np.abs(b).max() > 1e3:
+            if flat or np.abs(step).max() < 1e-9:
                 done[f] = (b, inv, ll)
             beta[f] = b + step
     out: list[Fit | None] = [None] * n_fits

@@ -63,9 +63,17 @@ def value_ranks(df: DataFrame, value: str, by=()) -> DataFrame:
 
 
 def avg_rank(df: DataFrame, value: str, by=(), out: str = "avg_rank") -> DataFrame:
-    """Mid-rank of each row: ranks of the distinct values joined back."""
-    ranks = value_ranks(df, value, by).select(*by, value, F.col("avg_rank").alias(out))
-    return df.join(ranks, [*by, value], "left")
+    """Mid-rank of each row: ranks of the distinct values joined back.
+
+    A value held by at least 1/1024 of the rows (so at most 1,024 values) is looked up by broadcast;
+    the other values are joined by shuffle, where no key is hot any more.
+    """
+    keys = [*by, value]
+    ranks = value_ranks(df, value, by)
+    share = ranks.agg((F.sum("n") / 1024.0)).scalar()
+    hot = F.broadcast(ranks.filter(F.col("n") >= share).select(*keys, F.col("avg_rank").alias(out)))
+    rest = df.join(hot.select(*keys), keys, "left_anti").join(ranks.select(*keys, F.col("avg_rank").alias(out)), keys, "left")
+    return df.join(hot, keys).unionByName(rest)
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], bucket: Column, out: str = "row_no") -> DataFrame:
