@@ -64,7 +64,7 @@ def feature_matrix(df: DataFrame, feature_set: str, keep=("respondent_id",)) ->
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] = ()) -> DataFrame:
     """(by, item, q0, q1, ...): linearly interpolated quantiles from the counts of distinct values."""
     by = list(by)
-    values = long_items(df, columns, by).groupBy(*by, "item", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = cut(long_items(df, columns, by).groupBy(*by, "item", "value").agg(F.count(F.lit(1)).alias("n")))
     return quantiles_of_counts(values, probs, [*by, "item"])
 
 
@@ -99,8 +99,8 @@ def scale_features(df: DataFrame, columns: list[str], method: str = "zscore", ke
 
     The scale constants are a few numbers per column; the rows are transformed in place.
     """
-    cols: dict[str, Column] = {c: F.col(c).cast("double") for c in columns}
-    src = df.select(*keep, *[e.alias(c) for c, e in cols.items()])
+    # Only the features are kept, once: the passes below do not re-run what produced them.
+    src = cut(df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns]))
     if method == "winsor_z":
         q = {r["item"]: (r["q0"], r["q1"]) for r in exact_quantiles(src, columns, [0.01, 0.99]).collect()}
         src = src.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(q[c][0])), F.lit(q[c][1])))

@@ -79,6 +79,10 @@ def _per_fit(frame: DataFrame, n_fits: int, width: int, contribute) -> dict[int,
     return C.collect_sums(frame.select("z", "y", "fits").mapInArrow(run, C._SUMS), width)
 
 
+def _exp(v: float) -> float:
+    return math.exp(v) if v < 700 else math.inf
+
+
 def _loglik(y, p):
     return float(np.sum(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)))
 
@@ -161,7 +165,7 @@ def standardised_rows(sample: str, fit: Fit, names: list[str]) -> list[tuple]:
     rows = []
     for i, name in enumerate(["Intercept", *names]):
         z = float(b[i] / se[i])
-        rows.append((sample, name, float(b[i]), float(se[i]), z, normal_two_sided(z), math.exp(b[i]), None if i == 0 else float(b[i] * pbar * (1 - pbar))))
+        rows.append((sample, name, float(b[i]), float(se[i]), z, normal_two_sided(z), _exp(b[i]), None if i == 0 else float(b[i] * pbar * (1 - pbar))))
     return rows
 
 
@@ -305,7 +309,8 @@ def logit_formula(df: DataFrame, model_id: str, y: str, numeric: list[str], cont
     for i, term in enumerate(["Intercept", *feats]):
         b, s = float(fit.coef[i]), float(se[i])
         lo, hi = b - Z_975 * s, b + Z_975 * s
-        rows.append((model_id, term, b, s, float(robust[i]), b / s, normal_two_sided(b / s), lo, hi, math.exp(b), math.exp(lo), math.exp(hi),
+        odds, odds_lo, odds_hi = (_exp(v) for v in (b, lo, hi))
+        rows.append((model_id, term, b, s, float(robust[i]), b / s, normal_two_sided(b / s), lo, hi, odds, odds_lo, odds_hi,
                      None if i == 0 else float(slope * b), abs(b)))
     k = len(fit.coef)
     row = (model_id, fit.n, fit.events, fit.events / fit.n, 1.0 - fit.llf / fit.llnull, fit.llf, fit.llnull, -2 * fit.llf + 2 * k, -2 * fit.llf + k * math.log(fit.n))

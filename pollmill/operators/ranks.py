@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scores import portable_hash
+from ..sources.scratch import cut
 
 _VALUES_PER_RANGE = 200_000
 _COARSE = 64
@@ -37,7 +38,8 @@ def _range_column(values: DataFrame, value: str) -> Column | None:
 def running_totals(values: DataFrame, value: str, totals: list[str], by=(), descending: bool = False) -> DataFrame:
     """Adds ``<total>_before``: the sum of each total over all smaller values of the group (larger if descending).
 
-    ``values`` holds one row per (group, value).
+    ``values`` holds one row per (group, value).  Pass a materialised table (``cut``): it is read
+    several times, and the rows behind it should be scanned once.
     """
     def order(c):
         return F.col(c).desc() if descending else F.col(c)
@@ -46,18 +48,18 @@ def running_totals(values: DataFrame, value: str, totals: list[str], by=(), desc
     if part is None:
         w = W.partitionBy(*by).orderBy(order(value)).rowsBetween(W.unboundedPreceding, -1)
         return values.withColumns({f"{t}_before": F.coalesce(F.sum(t).over(w), F.lit(0)) for t in totals})
-    cut = values.withColumn("_range", part)
-    ranges = cut.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
+    placed = values.withColumn("_range", part)
+    ranges = placed.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
     w = W.partitionBy(*by).orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = ranges.select(*by, "_range", *[F.coalesce(F.sum(f"_{t}").over(w), F.lit(0)).alias(f"_{t}") for t in totals])
     inside = W.partitionBy(*by, "_range").orderBy(order(value)).rowsBetween(W.unboundedPreceding, -1)
-    out = cut.withColumns({f"_in_{t}": F.coalesce(F.sum(t).over(inside), F.lit(0)) for t in totals}).join(offsets, [*by, "_range"])
+    out = placed.withColumns({f"_in_{t}": F.coalesce(F.sum(t).over(inside), F.lit(0)) for t in totals}).join(offsets, [*by, "_range"])
     return out.select(*values.columns, *[(F.col(f"_{t}") + F.col(f"_in_{t}")).alias(f"{t}_before") for t in totals])
 
 
 def value_ranks(df: DataFrame, value: str, by=()) -> DataFrame:
     """(by, value, n, avg_rank): the mid-rank of each distinct value within its group."""
-    values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    values = cut(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
     return running_totals(values, value, ["n"], by).withColumn(
         "avg_rank", F.col("n_before") + (F.col("n") + 1) / 2.0).drop("n_before")
 
@@ -82,12 +84,12 @@ def numbered(df: DataFrame, by: list[str], order: list[str], bucket: Column, out
     ``bucket`` must not decrease along ``order``; rows are numbered inside (group, bucket) and
     shifted by the counts of the earlier buckets, so a hot group is many tasks, not one.
     """
-    cut = df.withColumn("_bucket", bucket)
-    counts = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    placed = df.withColumn("_bucket", bucket)
+    counts = placed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(*order))
-    return (cut.withColumn("_in", inside).join(offsets, [*by, "_bucket"])
+    return (placed.withColumn("_in", inside).join(offsets, [*by, "_bucket"])
             .withColumn(out, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_bucket", "_before", "_in"))
 
 
@@ -123,8 +125,8 @@ def auc_rank(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
 
 
 def _class_counts(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
-    return df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    return cut(df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
 
 
 def pr_auc(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
@@ -163,6 +165,7 @@ def confusion_at(df: DataFrame, label: str, score: str, cuts=(0.4, 0.5, 0.6), by
 def kruskal_wallis(df: DataFrame, value: str, group: str, by=(), min_group: int = 5) -> DataFrame:
     """(by, n, groups, h, df, epsilon2): H with tie correction; NULL for a group below ``min_group``."""
     cells = df.filter(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count(F.lit(1)).alias("m"))
+    cells = cut(cells)
     return kruskal_from_counts(cells, value, group, by, min_group)
 
 

@@ -111,7 +111,7 @@ def _run_scales(frame: DataFrame, cuts, p: int, method: str) -> tuple[np.ndarray
                  pa.array([keys[i][1] for i in at[0]], pa.float64()), pa.array(cells[at].astype(np.int64), pa.int64())],
                 schema=pa.schema([("run", pa.int32()), ("item", pa.int32()), ("value", pa.float64()), ("n", pa.int64())]))
 
-    values = frame.select("id", "z").mapInArrow(count, _VALUE_SCHEMA).groupBy("run", "item", "value").agg(F.sum("n").alias("n"))
+    values = C.cut(frame.select("id", "z").mapInArrow(count, _VALUE_SCHEMA).groupBy("run", "item", "value").agg(F.sum("n").alias("n")))
     centre, scale = np.zeros((len(cuts), p)), np.ones((len(cuts), p))
     if method == "robust":
         rows = C.quantiles_of_counts(values, [0.25, 0.5, 0.75], ["run", "item"]).select("run", "item", F.col("q1").alias("c"), (F.col("q2") - F.col("q0")).alias("s"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.pvalues import chi2_p
 from ..plans import profile as P
+from ..sources.scratch import cut
 from . import describe as D, ranks as K
 
 _KEYS = ["layer_id", "variable"]
@@ -35,7 +36,8 @@ def external_validity(df: DataFrame, by=(), cluster: str = "cluster", status: st
     """One row per (by, layer, variable) with at least ``min_n`` answers: test, statistic, p, effect, significance."""
     by = list(by)
     keys = [*by, *_KEYS]
-    cells = layer_cells(df, by, cluster, status, layers)
+    # A few thousand counts from here on: the respondents are scanned once.
+    cells = cut(layer_cells(df, by, cluster, status, layers))
     totals = cells.groupBy(*keys, "kind", "score_included").agg(F.sum("m").alias("n")).filter(F.col("n") >= min_n)
     kept = cells.join(totals.select(*keys), keys, "left_semi")
     binary = kept.filter("kind = 'binary'").select(*keys, F.col(cluster).cast("string").alias("var1_code"),
