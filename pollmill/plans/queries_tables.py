@@ -299,9 +299,10 @@ def _(spark, sf):
     return K.stratified_folds(s, "y", 5, 53)
 
 
+# The sample size rounds halves to even, as the reference's round() does.
 @query("resample_exact", oracle("survey", f"""r AS (SELECT respondent_id, run FROM survey, (SELECT unnest(range(1, 9)) AS run)),
  h AS (SELECT respondent_id, run, row_number() OVER (PARTITION BY run ORDER BY {sql_hash('respondent_id', 'run')}, respondent_id) AS k FROM r)
- SELECT run, count(*) AS n, cast(sum(respondent_id) AS bigint) AS id_sum, max(respondent_id) AS id_max FROM h WHERE k <= (SELECT round(0.7::double * count(*)) FROM survey) GROUP BY 1"""))
+ SELECT run, count(*) AS n, cast(sum(respondent_id) AS bigint) AS id_sum, max(respondent_id) AS id_max FROM h WHERE k <= (SELECT round_even(0.7::double * count(*), 0) FROM survey) GROUP BY 1"""))
 def _(spark, sf):
     from ..operators.stability import membership, resample_cuts
     s = view(spark, sf, "survey").select("respondent_id")
