@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import sql
 from .common import table
-from . import decontaminate, mixing, quality, simhash, token_store
+from . import decontaminate, html_text, mixing, quality, secrets, simhash, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,6 +52,18 @@ def op3_mixing(spark, sf_dir):
     return rows.select("doc_id", f"{out}.*")
 
 
+@_query
+def op5_secrets(spark, sf_dir):
+    """Spans of secrets; owners are sources, repositories are documents."""
+    rows, out = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    spans = F.col(out)
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter(spans, lambda s: s["rank"] < 3)
+    return rows.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                       F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"),
+                       F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"))
+
+
 def token_rows(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     import public_tokenizers
     rows = token_store.store(docs, str(public_tokenizers.path("word_bpe_49k.json")), 2)
@@ -64,6 +76,19 @@ def op6_token_store(spark, sf_dir):
     return token_rows(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_html_text(spark, sf_dir):
+    rows, out = html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return rows.select("page_id", "url", f"{out}.text", F.length(f"{out}.text").cast("long").alias("n_chars"))
+
+
+@_query
+def op8_warc(spark, sf_dir):
+    """What the normalised archives of pages say of each record."""
+    rows = warc.read_records(warc.archive(table(spark, sf_dir, "pages")))
+    return rows.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 @_query
 def op9_simhash(spark, sf_dir):
     rows, out = simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])

@@ -73,3 +73,57 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN items USING (r) LEFT JOIN covered USING (r)
 """
+
+_KEYS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+#: kind: (pattern, group of the value, rank)
+_KINDS = {
+    "assign": (rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2),
+    "access": ("(AKIA[A-Z0-9]{16,})", 1),
+    "hex": ("([0-9a-f]{24,})", 1),
+    "opaque": ("([A-Za-z0-9+/_-]{20,})", 1),
+}
+
+
+def _spans(rank: int, kind: str, pattern: str, group: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT r, {rank} AS rank, '{kind}' AS kind, len(array_to_string(gaps[1:i], '')) + len(array_to_string(m[1:i - 1], '')) AS start, m[i] AS found, v[i] AS value
+  FROM (SELECT r, m, v, gaps, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT r, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS v, string_split_regex(text, '{p}') AS gaps FROM d))"""
+
+
+CHECKS["op5_secrets"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
+), s AS ({" UNION ALL ".join(_spans(i, k, p, g) for i, (k, (p, g)) in enumerate(_KINDS.items()))}
+), f AS (
+  SELECT * FROM s WHERE CASE kind WHEN 'assign' THEN length(value) >= 6
+    WHEN 'opaque' THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') ELSE true END
+), o AS (
+  SELECT value, count(DISTINCT coalesce('=' || source, 'null')) AS n_owners FROM f JOIN d USING (r) GROUP BY value
+), k AS (
+  SELECT r, rank, kind, start, n_owners < 2 AS live, kind || ':' || start || ':' || (start + length(found)) AS span
+  FROM f JOIN o USING (value) WHERE rank < 3 OR n_owners < 2
+), g AS (
+  SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans, count(*) FILTER (live) AS n_live
+  FROM k GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN g USING (r)
+"""
+
+CHECKS["op8_warc"] = """
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS last, count(*) OVER (PARTITION BY h, payload_bytes) AS k,
+    list_transform(range(8), lambda i: ('0x' || h[i * 5 + 1 : i * 5 + 5])::BIGINT) AS v FROM d
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31)::BIGINT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN k > 1 AND last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN k > 1 AND last IS NOT NULL AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM m
+"""
