@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import sql
 from .common import table
-from . import decontaminate, html_text, mixing, quality, secrets, simhash, token_store, warc
+from . import decontaminate, html_text, mixing, quality, secrets, simhash, substrings, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,6 +52,12 @@ def op3_mixing(spark, sf_dir):
     return rows.select("doc_id", f"{out}.*")
 
 
+@_query
+def op4_substring_dedup(spark, sf_dir):
+    rows, out = substrings.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", f"{out}.n_words", f"{out}.n_removed", F.sha2(F.col(f"{out}.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @_query
 def op5_secrets(spark, sf_dir):
     """Spans of secrets; owners are sources, repositories are documents."""

@@ -127,3 +127,22 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
   CASE WHEN k > 1 AND last IS NOT NULL AND page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM m
 """
+
+CHECKS["op4_substring_dedup"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(t='text')} AS w FROM documents
+), spot AS (
+  SELECT r, i, array_to_string(w[i + 1 : i + 35], ' ') AS win FROM (SELECT r, w, unnest(range(greatest(0, len(w) - 34))) AS i FROM d)
+), again AS (
+  SELECT win FROM spot GROUP BY win HAVING count(*) > 1
+), gone AS (
+  SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM spot JOIN again USING (win)) GROUP BY r
+), word AS (
+  SELECT r, w[p + 1] AS x, p FROM (SELECT r, w, unnest(range(len(w))) AS p FROM d)
+), left_over AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM word
+  WHERE (r, p) NOT IN (SELECT r, unnest(ps) FROM gone) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN left_over USING (r)
+"""
