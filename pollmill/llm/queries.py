@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import sql
 from .common import table
-from . import decontaminate, html_text, mixing, quality, secrets, simhash, substrings, token_store, warc
+from . import decontaminate, html_text, mixing, quality, secrets, simhash, substrings, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -99,3 +99,9 @@ def op8_warc(spark, sf_dir):
 def op9_simhash(spark, sf_dir):
     rows, out = simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return rows.select("doc_id", F.lower(F.lpad(F.hex(f"{out}.fingerprint"), 16, "0")).alias("fingerprint"), F.col(f"{out}.first_id").alias("component_id"))
+
+
+@_query
+def op10_toxicity(spark, sf_dir):
+    rows, out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return rows.select("doc_id", f"{out}.held_out", f"{out}.score", (F.col(f"{out}.score") >= 0.7).cast("int").alias("predicted"))
