@@ -61,20 +61,28 @@ class Encoder:
         return got
 
     def learn(self, new: list[bytes]) -> None:
-        odd = []
+        odd, piece, words = [], self.piece, self.words
         for w in new:
             s = w.decode()
-            if self.by_piece and _PLAIN.fullmatch(s) and "<|" not in s:
-                self.words[w] = b"".join([self.piece(p) for p in _PIECES.findall(s.lower())])
+            if not self.by_piece:
+                odd.append(w)
+            elif s.isalpha() and max(s) <= "ſ":  # most words are letters, and maybe a sign after them
+                words[w] = piece(s.lower())
+            elif s[-1] in ".,;:!?" and s[:-1].isalpha() and max(s) <= "ſ":
+                words[w] = piece(s[:-1].lower()) + piece(s[-1])
+            elif _PLAIN.fullmatch(s) and "<|" not in s:
+                words[w] = b"".join([piece(p) for p in _PIECES.findall(s.lower())])
             else:
                 odd.append(w)
-        self.words.update(zip(odd, self.whole([w.decode() for w in odd])))
+        words.update(zip(odd, self.whole([w.decode() for w in odd])))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if not self.by_word:
             return self.whole([(t or b"").decode() for t in texts])
-        if len(self.words) > REMEMBERED or len(self.pieces) > REMEMBERED:
-            self.words, self.pieces = {}, {}
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
         split = [(t or b"").split() for t in texts]
         self.learn([w for w in set().union(*split) if w not in self.words])
         get = self.words.__getitem__
