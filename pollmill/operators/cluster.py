@@ -6,7 +6,6 @@ those sums, the <= 1,024 micro-cluster centres and the k centres ever reach the
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -584,22 +583,53 @@ def label_crosswalk(a: DataFrame, b: DataFrame, id_col: str = "respondent_id", l
             .groupBy("ref_label", "new_label").agg(F.count(F.lit(1)).alias("n")))
 
 
+def best_assignment(gain: list[list[int]]) -> list[int]:
+    """Column of each row of a square table of integers, one to one, with the largest sum (augmenting paths, cubic time)."""
+    n = len(gain)
+    row_of, u, v = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        row_of[0], j0 = i, 0
+        slack, back, used = [None] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while row_of[j0]:
+            used[j0], i0 = True, row_of[j0]
+            for j in range(1, n + 1):
+                if not used[j]:
+                    cost = -gain[i0 - 1][j - 1] - u[i0] - v[j]
+                    if slack[j] is None or cost < slack[j]:
+                        slack[j], back[j] = cost, j0
+            j1 = min((j for j in range(1, n + 1) if not used[j]), key=lambda j: slack[j])
+            step = slack[j1]
+            for j in range(n + 1):
+                if used[j]:
+                    u[row_of[j]] += step
+                    v[j] -= step
+                elif slack[j] is not None:
+                    slack[j] -= step
+            j0 = j1
+        while j0:
+            row_of[j0] = row_of[back[j0]]
+            j0 = back[j0]
+    out = [0] * n
+    for j in range(1, n + 1):
+        out[row_of[j] - 1] = j - 1
+    return out
+
+
 def align_labels(crosswalk: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(by, new_label, aligned_label, agreement): the one-to-one mapping with the most overlap.
+    """(by, new_label, aligned_label, agreement): the one-to-one mapping with the most overlap, the first in order of labels on ties.
 
-    Counts are folded into one map per group; at most k! mappings (k <= 4) are summed from it.
+    A new label that finds no reference label keeps its own.
     """
     by = list(by)
-    ks = 6
 
     def mapping(pdf: pd.DataFrame) -> pd.DataFrame:
         refs, news = sorted(pdf["ref_label"].unique()), sorted(pdf["new_label"].unique())
-        if max(len(refs), len(news)) > ks:
-            raise ValueError(f"more than {ks} labels")
-        cell = {(r.ref_label, r.new_label): r.n for r in pdf.itertuples(index=False)}
-        slots = refs + [None] * max(0, len(news) - len(refs))
-        best = max(itertools.permutations(slots, len(news)),
-                   key=lambda s: (sum(cell.get((r, x), 0) for r, x in zip(s, news)), tuple(-(r if r is not None else 10 ** 6) for r in s)))
+        cell = {(r.ref_label, r.new_label): int(r.n) for r in pdf.itertuples(index=False)}
+        n = max(len(refs), len(news))
+        slots = [*refs, *[None] * (n - len(refs))]
+        # exact integers: overlap first, then small references for small new labels
+        gain = [[(cell.get((r, news[i]), 0) if i < len(news) else 0) * (n + 1) ** (n + 1) + (n - j) * (n + 1) ** (n - 1 - i) for j, r in enumerate(slots)] for i in range(n)]
+        best = [slots[j] for j in best_assignment(gain)[: len(news)]]
         hit = sum(cell.get((r, x), 0) for r, x in zip(best, news))
         return pd.DataFrame([(*[pdf[b].iloc[0] for b in by], int(x), int(x if r is None else r), hit / pdf["n"].sum()) for r, x in zip(best, news)],
                             columns=[*by, "new_label", "aligned_label", "agreement"])

@@ -91,14 +91,16 @@ def answer_key(columns: list[str]) -> Column:
 
 
 def flag_duplicate(df: DataFrame, columns: list[str], id_col: str = "respondent_id", out: str = "duplicate_flag") -> DataFrame:
-    """0 for the first row (lowest id) of each distinct answer row, 1 for its repeats.
+    """1 on every row whose answers an earlier row (by id) has too.
 
-    The first id per answer is a partial aggregate, and the flag is joined back on the unique
-    id rather than on the answer, so a third of all rows being copies cannot skew a task.
+    Answers become a 128-bit key (values and which are missing). Only keys with several rows are kept, and only the ids of
+    repeats join back, so neither wide rows nor unique answers take part in a join.
     """
-    firsts = df.groupBy(answer_key(columns)).agg(F.min(id_col).alias("_first")).select("_first")
-    return (df.join(firsts, F.col(id_col) == F.col("_first"), "left")
-            .withColumn(out, F.col("_first").isNull().cast("int")).drop("_first"))
+    seen = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
+    keyed = df.select(F.col(id_col).alias("_id"), F.xxhash64(F.lit(1), *seen).alias("_k1"), F.xxhash64(F.lit(2), *reversed(seen)).alias("_k2"))
+    several = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    repeats = keyed.join(several, ["_k1", "_k2"]).filter("_id <> _first").select("_id")
+    return df.join(repeats, F.col(id_col) == F.col("_id"), "left").withColumn(out, F.col("_id").isNotNull().cast("int")).drop("_id")
 
 
 def legacy_flags(df: DataFrame, id_col: str = "respondent_id") -> DataFrame:

@@ -264,14 +264,14 @@ def _(spark, sf):
 @query("stability_summary")
 def _(spark, sf):
     _, raw, _, _, labels = _main_model(spark, sf)
-    runs, _ = ST.stability_resample(raw, labels, 2, runs=20)
+    runs, _ = ST.stability_resample(raw, labels, 2)
     return ST.stability_summary(runs)
 
 
 @query("person_consistency")
 def _(spark, sf):
     _, raw, _, _, labels = _main_model(spark, sf)
-    _, persons = ST.stability_resample(raw, labels, 2, runs=20)
+    _, persons = ST.stability_resample(raw, labels, 2)
     return persons
 
 

@@ -30,14 +30,14 @@ _KEY_MISSING = "cast(" + " OR ".join(f"{x} IS NULL" for x in P.KEY_ITEMS) + " AS
 def flags_ctes():
     """All flags in plain SQL, ending in the CTE ``flagged``."""
     return runs_ctes() + f""",
-prof AS (SELECT respondent_id, max(len) AS run FROM runs GROUP BY 1),
-dist AS (SELECT respondent_id, count(DISTINCT v) AS u, count_if(v IN (1, 5)) / count(*) AS ext FROM present GROUP BY 1),
+run_prof AS (SELECT respondent_id, max(len) AS run FROM runs GROUP BY 1),
+run_dist AS (SELECT respondent_id, count(DISTINCT v) AS u, count_if(v IN (1, 5)) / count(*) AS ext FROM present GROUP BY 1),
 f1 AS (SELECT s.*, cast(coalesce(C064 <> 1, true) AS int) AS attention_flag, {_LOGIC} AS logic_flag,
  cast(row_number() OVER (PARTITION BY {', '.join(P.CODES)} ORDER BY respondent_id) > 1 AS int) AS duplicate_legacy_flag, {_STRAIGHT} AS straightline_flag,
  cast(coalesce(duration_sec < 90, false) AS int) AS duration_lt90_flag,
  cast(coalesce(u, 0) <= 1 OR coalesce(run, 0) >= 30 OR (coalesce(run, 0) >= 20 AND ext >= 0.8) AS int) AS severe_straightline_flag,
  {_LOGIC_TEXT} AS logic_branch_flag, {_KEY_MISSING} AS key_missing_flag, {sql_gibberish('C108')} AS open_gibberish_flag, {_ATT_FAIL} AS att_fail
- FROM survey s LEFT JOIN prof USING (respondent_id) LEFT JOIN dist USING (respondent_id)),
+ FROM survey s LEFT JOIN run_prof USING (respondent_id) LEFT JOIN run_dist USING (respondent_id)),
 f2 AS (SELECT *, duplicate_legacy_flag AS duplicate_flag,
  cast(att_fail AND (coalesce(duration_sec < 120, false) OR severe_straightline_flag = 1) AS int) AS attention_conditional_flag FROM f1),
 flagged AS (SELECT *, greatest({', '.join(P.FLAG_UNION)}) AS invalid_union_flag FROM f2)"""
@@ -67,14 +67,13 @@ def clean(spark, sf, extra=()):
 
 
 def scored(spark, sf):
-    """All respondents with structural missing codes nulled and scores added, before any screening."""
-    s = view(spark, sf, "survey").withColumns({x: S.codes_to_null(x) for x in P.VISITED_BLOCK + P.UNVISITED_BLOCK})
+    """The valid sample with structural missing codes nulled and scores added, every column kept."""
+    s = Q.valid_sample(flagged(spark, sf)).withColumns({x: S.codes_to_null(x) for x in P.VISITED_BLOCK + P.UNVISITED_BLOCK})
     return Q.with_scores(s)
 
 
 def scored_ctes():
-    nulled = ", ".join(f"nullif({x}, -3) AS {x}" for x in P.VISITED_BLOCK + P.UNVISITED_BLOCK)
-    return (f"scored AS (SELECT * EXCLUDE ({', '.join(P.VISITED_BLOCK + P.UNVISITED_BLOCK)}), {nulled}, {score_columns()} FROM survey)")
+    return clean_ctes() + ", scored AS (SELECT * FROM clean)"
 
 
 # --- flags ------------------------------------------------------------------------------
@@ -94,10 +93,10 @@ _flag_query("flag_open_gibberish", "flag", sql_gibberish("C108"), Q.gibberish_fl
 
 
 @query("flag_duplicate", oracle("survey", f"""SELECT respondent_id AS id, cast(row_number() OVER (PARTITION BY {', '.join(P.CODES)} ORDER BY respondent_id) > 1 AS int) AS duplicate_flag FROM survey
-UNION ALL SELECT doc_id + 100000000, cast(row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) > 1 AS int) FROM documents"""))
+UNION ALL SELECT -1 - doc_id, cast(row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) > 1 AS int) FROM documents"""))
 def _(spark, sf):
     a = Q.flag_duplicate(view(spark, sf, "survey"), P.CODES).select(F.col("respondent_id").alias("id"), "duplicate_flag")
-    b = Q.flag_duplicate(load(spark, sf, "documents"), ["text", "lang"], "doc_id").select((F.col("doc_id") + 100000000).alias("id"), "duplicate_flag")
+    b = Q.flag_duplicate(load(spark, sf, "documents"), ["text", "lang"], "doc_id").select((-1 - F.col("doc_id")).alias("id"), "duplicate_flag")
     return a.unionByName(b)
 
 
@@ -163,7 +162,7 @@ def _sql_violations(cols, bad):
             "SELECT \"column\", cast(sum(m) AS bigint) AS violations, string_agg(value, '|' ORDER BY value) FILTER (WHERE r <= 8) AS examples FROM d GROUP BY 1")
 
 
-_VL = ["C033", "C052", "C060", "C090", "C001"]
+_VL = [*P.VISITED_BLOCK, *P.SINGLES, *P.LIKERT_ALL]
 
 
 @query("validate_likert", oracle("survey", _sql_violations(_VL, "{c} IS NULL OR {c} < 1 OR {c} > 5 OR abs({c} - round({c})) > 1e-6")))
@@ -171,7 +170,7 @@ def _(spark, sf):
     return Q.likert_violations(view(spark, sf, "survey"), _VL)
 
 
-_VB = ["C009", "C033", "C052", "C001"]
+_VB = [*P.MULTIS, "C052", "C001"]
 
 
 @query("validate_binary", oracle("survey", _sql_violations(_VB, "{c} IS NULL OR {c} NOT IN (0, 1)")))

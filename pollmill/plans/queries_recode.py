@@ -53,10 +53,10 @@ def _(spark, sf):
     return WB.detect_layout(_customer_books(spark, sf, [64, 108, 70]))
 
 
-_CSV_COLS = ["C001", "C024", "C052", "C070", "C088"]
+_CSV_COLS = P.CODES[:107]  # C108 is text
 
 
-@query("scan_survey_csv", oracle("survey", "SELECT respondent_id, C001, C024, C052, C070, C088, cast(NULL AS double) AS C109 FROM survey"))
+@query("scan_survey_csv", oracle("survey", f"SELECT respondent_id, {', '.join(f'cast({x} AS double) AS {x}' for x in _CSV_COLS)}, cast(NULL AS double) AS C109 FROM survey"))
 def _(spark, sf):
     path = new_path(spark, "survey-csv")
     T.sink_table(view(spark, sf, "survey").select("respondent_id", *_CSV_COLS), path, "csv", "fail")
@@ -171,10 +171,10 @@ def _(spark, sf):
 
 
 @query("parse_duration", oracle("raw64", r"""SELECT r.respondent_id, try_cast(nullif(regexp_extract(r.R03, '([0-9]+(\.[0-9]+)?)', 1), '') AS double) AS seconds FROM raw64 r
-UNION ALL SELECT event_id + 100000000, try_cast(nullif(regexp_extract(props, '([0-9]+(\.[0-9]+)?)', 1), '') AS double) FROM events"""))
+UNION ALL SELECT -1 - event_id, try_cast(nullif(regexp_extract(props, '([0-9]+(\.[0-9]+)?)', 1), '') AS double) FROM events"""))
 def _(spark, sf):
     a = view(spark, sf, "raw64").select("respondent_id", X.parse_duration("R03").alias("seconds"))
-    return a.unionByName(load(spark, sf, "events").select((F.col("event_id") + 100000000).alias("respondent_id"), X.parse_duration("props").alias("seconds")))
+    return a.unionByName(load(spark, sf, "events").select((-1 - F.col("event_id")).alias("respondent_id"), X.parse_duration("props").alias("seconds")))
 
 
 def sql_gibberish(c):
@@ -184,10 +184,10 @@ def sql_gibberish(c):
 
 
 @query("open_text_gibberish", oracle("raw64", f"""SELECT respondent_id AS id, {sql_gibberish('R64')} AS flag FROM raw64
-UNION ALL SELECT doc_id + 100000000, {sql_gibberish('text')} FROM documents"""))
+UNION ALL SELECT -1 - doc_id, {sql_gibberish('text')} FROM documents"""))
 def _(spark, sf):
     a = view(spark, sf, "raw64").select(F.col("respondent_id").alias("id"), X.open_text_gibberish("R64").alias("flag"))
-    return a.unionByName(load(spark, sf, "documents").select((F.col("doc_id") + 100000000).alias("id"), X.open_text_gibberish("text").alias("flag")))
+    return a.unionByName(load(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("id"), X.open_text_gibberish("text").alias("flag")))
 
 
 @query("recode_binary_high", oracle("survey", "SELECT respondent_id, CASE WHEN C090 IN (1, 2) THEN 1.0::double WHEN C090 IN (3, 4, 5) THEN 0.0::double END AS y FROM survey"))
@@ -342,11 +342,16 @@ def _sql_multi(q, cte="raw64"):
     return toks, body
 
 
-@query("map_multi", oracle("raw64", ", ".join(_sql_multi("Q10")) .replace(", SELECT", " SELECT")))
+def _sql_multis():
+    made = {q: _sql_multi(q) for q in P.MULTI_SOURCES}
+    head = ", ".join(f"{toks}, {q}_m AS ({body})" for q, (toks, body) in made.items())
+    return head + " SELECT * FROM " + " JOIN ".join(f"{q}_m" if n == 0 else f"{q}_m USING (respondent_id)" for n, q in enumerate(made))
+
+
+@query("map_multi", oracle("raw64", _sql_multis()))
 def _(spark, sf):
-    src, dst = P.MULTI_SOURCES["Q10"]
-    cells = R.map_multi(F.col(f"R{src}"), P.OPTIONS["Q10"])
-    return view(spark, sf, "raw64").select("respondent_id", *[x.alias(P.c(dst + n)) for n, x in enumerate(cells)])
+    cells = {P.c(dst + n): x for q, (src, dst) in P.MULTI_SOURCES.items() for n, x in enumerate(R.map_multi(F.col(f"R{src:02d}"), P.OPTIONS[q]))}
+    return view(spark, sf, "raw64").select("respondent_id", *[x.alias(c) for c, x in cells.items()])
 
 
 def _sql_recode():
@@ -380,15 +385,15 @@ def _(spark, sf):
 
 
 @query("branch_skip", oracle("raw64", ", ".join([_sql_multi("Q14")[0], f"Q14_m AS ({_sql_multi('Q14')[1]})", _sql_multi("Q15")[0], f"Q15_m AS ({_sql_multi('Q15')[1]})"])
-       + f""" SELECT respondent_id, CASE {sql_map_single(14)} WHEN 1 THEN C033 WHEN 2 THEN '-3' ELSE '' END AS C033,
- CASE {sql_map_single(14)} WHEN 2 THEN C043 WHEN 1 THEN '-3' ELSE '' END AS C043,
+       + f""" SELECT respondent_id, {', '.join(f"CASE {sql_map_single(14)} WHEN 1 THEN {c} WHEN 2 THEN '-3' ELSE '' END AS {c}" for c in P.VISITED_BLOCK)},
+ {', '.join(f"CASE {sql_map_single(14)} WHEN 2 THEN {c} WHEN 1 THEN '-3' ELSE '' END AS {c}" for c in P.UNVISITED_BLOCK)},
  cast(CASE {sql_map_single(14)} WHEN 1 THEN respondent_id IN (SELECT respondent_id FROM Q15_v) WHEN 2 THEN respondent_id IN (SELECT respondent_id FROM Q14_v)
   ELSE respondent_id IN (SELECT respondent_id FROM Q15_v) OR respondent_id IN (SELECT respondent_id FROM Q14_v) END AS int) AS conflict
  FROM raw64 JOIN Q14_m USING (respondent_id) JOIN Q15_m USING (respondent_id)"""))
 def _(spark, sf):
     status = R.map_single(F.col("R14"), P.SINGLE_BOOKS[14])
-    v, u = R.branch_skip(status, R.map_multi(F.col("R20"), P.OPTIONS["Q14"])[:1], R.map_multi(F.col("R21"), P.OPTIONS["Q15"])[:1])
-    return view(spark, sf, "raw64").select("respondent_id", v[0].alias("C033"), u[0].alias("C043"),
+    v, u = R.branch_skip(status, R.map_multi(F.col("R20"), P.OPTIONS["Q14"]), R.map_multi(F.col("R21"), P.OPTIONS["Q15"]))
+    return view(spark, sf, "raw64").select("respondent_id", *[x.alias(c) for c, x in zip(P.VISITED_BLOCK + P.UNVISITED_BLOCK, [*v, *u])],
                                            R.branch_conflict(status, F.col("R20"), F.col("R21")).alias("conflict"))
 
 

@@ -41,7 +41,7 @@ def _(spark, sf):
     return rounded(D.multi_select_rate(scored(spark, sf), P.MULTIS), "selected_pct")
 
 
-_PAIRS = [("C008", "C006"), ("C008", "C007"), ("C008", "C025")]
+_PAIRS = P.CROSS_PAIRS
 
 
 def _pairs_sql(pairs=_PAIRS):
@@ -69,7 +69,6 @@ def _chi2_tables(spark, sf):
     return a.unionByName(D.pair_counts(load(spark, sf, "lineitem"), [("l_returnflag", "l_linestatus")]))
 
 
-# Every pair has an even number of degrees of freedom, whose tail is a finite sum.
 _CHI2_SQL = (_pairs_sql()[:-1] + " UNION ALL SELECT 'l_returnflag', 'l_linestatus', ascii(l_returnflag), ascii(l_linestatus), count(*) FROM lineitem GROUP BY 3, 4)" + f", {_MARGIN_SQL}" + """,
  full_grid AS (SELECT DISTINCT a.var1, a.var2, a.c1, b.c2, a.rt::double * b.ct / a.n AS e FROM m a JOIN m b ON a.var1 = b.var1 AND a.var2 = b.var2),
  x AS (SELECT var1, var2, sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) AS chi2, sum(coalesce(o, 0)) AS n, count(DISTINCT c1) AS r, count(DISTINCT c2) AS c FROM full_grid LEFT JOIN cells USING (var1, var2, c1, c2) GROUP BY 1, 2),
@@ -77,7 +76,7 @@ _CHI2_SQL = (_pairs_sql()[:-1] + " UNION ALL SELECT 'l_returnflag', 'l_linestatu
 
 
 @query("crosstab_chi2", oracle("survey", _CHI2_SQL + """ SELECT var1, var2, cast(n AS bigint) AS n, round(chi2, 6) AS chi2, dof,
- round(exp(-chi2 / 2) * CASE dof WHEN 2 THEN 1 WHEN 4 THEN 1 + chi2 / 2 END, 6) AS p_value FROM t"""))
+ round(CASE WHEN chi2 <= 0 THEN 1.0::double ELSE 1 - least(1, list_sum(list_transform(range(400), lambda k: exp((dof / 2.0::double + k) * ln(chi2 / 2) - chi2 / 2 - lgamma(dof / 2.0::double + k + 1))))) END, 6) AS p_value FROM t"""))
 def _(spark, sf):
     x = D.chi2_from_counts(_chi2_tables(spark, sf)).withColumn("p_value", chi2_p("chi2", F.col("dof").cast("double")))
     return rounded(x.drop("rows", "columns"), "chi2", "p_value")
@@ -300,13 +299,13 @@ def _(spark, sf):
 
 
 # The sample size rounds halves to even, as the reference's round() does.
-@query("resample_exact", oracle("survey", f"""r AS (SELECT respondent_id, run FROM survey, (SELECT unnest(range(1, 9)) AS run)),
+@query("resample_exact", oracle("survey", f"""r AS (SELECT respondent_id, run FROM survey, (SELECT unnest(range(1, 121)) AS run)),
  h AS (SELECT respondent_id, run, row_number() OVER (PARTITION BY run ORDER BY {sql_hash('respondent_id', 'run')}, respondent_id) AS k FROM r)
  SELECT run, count(*) AS n, cast(sum(respondent_id) AS bigint) AS id_sum, max(respondent_id) AS id_max FROM h WHERE k <= (SELECT round_even(0.7::double * count(*), 0) FROM survey) GROUP BY 1"""))
 def _(spark, sf):
     from ..operators.stability import membership, resample_cuts
     s = view(spark, sf, "survey").select("respondent_id")
-    cuts = resample_cuts(s, 8, 0.7, min_n=50)
+    cuts = resample_cuts(s, 120, 0.7, min_n=50)
     rows = s.withColumn("run", F.explode(membership(cuts)))
     return rows.groupBy(F.col("run").cast("bigint").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.sum("respondent_id").alias("id_sum"), F.max("respondent_id").alias("id_max"))
 

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from . import profile as P
 
 PRIMES = [3, 7, 11, 13, 17, 19, 23, 29, 31, 37]
-COPY_OFFSET = 10_000_000
 CONTEXT = ["duration_sec", "ip", "q8_text", "q14_text", "q15_text", "attention_text"]
 _LIKERT = range(52, 92)
 
@@ -67,8 +66,8 @@ def coded_cte(straight: bool = True) -> str:
 
 def survey_cte() -> str:
     rest = ", ".join([*P.CODES, *CONTEXT])
-    return (f"survey AS (SELECT respondent_id, {rest} FROM coded UNION ALL "
-            f"SELECT respondent_id + {COPY_OFFSET} AS respondent_id, {rest} FROM coded WHERE (respondent_id - 1) % 101 = 0)")
+    return (f"survey AS (SELECT 2 * respondent_id AS respondent_id, {rest} FROM coded UNION ALL "
+            f"SELECT 2 * respondent_id + 1 AS respondent_id, {rest} FROM coded WHERE (respondent_id - 1) % 101 = 0)")
 
 
 # --- the 64-column label sheet ------------------------------------------------------
