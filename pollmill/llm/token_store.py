@@ -64,14 +64,15 @@ class Encoder:
         odd, piece, words = [], self.piece, self.words
         for w in new:
             s = w.decode()
+            low = s.lower()
             if not self.by_piece:
                 odd.append(w)
-            elif s.isalpha() and max(s) <= "ſ":  # most words are letters, and maybe a sign after them
-                words[w] = piece(s.lower())
-            elif s[-1] in ".,;:!?" and s[:-1].isalpha() and max(s) <= "ſ":
-                words[w] = piece(s[:-1].lower()) + piece(s[-1])
+            elif low.isalpha() and max(s) <= "ſ":  # most words are letters, and maybe a sign after them
+                words[w] = piece(low)
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha() and max(s) <= "ſ":
+                words[w] = piece(low[:-1]) + piece(low[-1])
             elif _PLAIN.fullmatch(s) and "<|" not in s:
-                words[w] = b"".join([piece(p) for p in _PIECES.findall(s.lower())])
+                words[w] = b"".join([piece(p) for p in _PIECES.findall(low)])
             else:
                 odd.append(w)
         words.update(zip(odd, self.whole([w.decode() for w in odd])))
