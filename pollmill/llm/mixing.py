@@ -19,12 +19,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, stored
 
 #: What sets apart kinds of text here; a caller passes its own.
 TOPICS = (
     ("notice", r"(?i)licensed under|all rights reserved|copyright"),
-    ("contact", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]"),
+    ("contact", r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[A-Za-z]"),
     ("table", r" \| "),
     ("figures", r"[0-9]{6}"),
 )
@@ -119,7 +119,8 @@ def mix(docs: DataFrame, share: float = 0.5, alpha: float = 0.7, targets: Mappin
     words = F.regexp_count(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     own = F.struct(F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{lang}`").cast("string").alias("lang"),
                    topic_of(text, topics).alias("topic"), words.alias("n_tokens"), draw(key, seed).alias("draw"))
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), own.alias(out))
+    # written once: texts are scanned once, for the cells and for the rows
+    rows = stored(docs.select(*(F.col(f"`{c}`") for c in keep), own.alias(out)), "mix")
     cells = with_targets(cut(cells_of(rows.select(f"{out}.*"))), targets or {}, alpha)
     chosen = calibrated(raked(cells), share).select(F.struct(*MARGINS, "tokens", "weight", "probability").alias(cell))
     return _picked(rows, chosen, keep, out, cell)
