@@ -29,10 +29,8 @@ _END = "\r\n\r\n"
 _INDEX = "archive string, offset bigint, length bigint, record_id string, record_type string"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: 5 hex digits are 4 letters."""
-    digest = F.sha1(payload)
-
+def base32_of(digest: Column) -> Column:
+    """Upper-case base32 of 40 hex digits, a column of its own (it is read 32 times): 5 hex digits are 4 letters."""
     def letters(k):
         v = F.conv(F.substring(digest, k * 5 + 1, F.lit(5)), 16, 10).cast("int")
         return F.concat(*(F.substring(F.lit(_BASE32), F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)))
@@ -44,7 +42,7 @@ def records(pages: DataFrame, key: str, url: str, html: str, least: int, date: s
     """A column `record`: the whole record but for the end that the writer adds."""
     body = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit(""))
     rows = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("body")).select(
-        "*", F.octet_length("body").cast("long").alias("n"), base32_sha1(F.col("body").cast("binary")).alias("digest"))
+        "*", F.octet_length("body").cast("long").alias("n"), F.sha1(F.col("body").cast("binary")).alias("digest"))
     same = rows.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("id").alias("last"), F.count("*").alias("k")).where("k > 1").drop("k")
     rows = rows.join(same, ["digest", "n"], "left")
     again = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
@@ -56,7 +54,7 @@ def records(pages: DataFrame, key: str, url: str, html: str, least: int, date: s
     size = F.when(again, F.octet_length(http)).otherwise(F.octet_length(http) + F.col("n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, "revisit").otherwise("response")), line("WARC-Record-ID", urn("id")), line("WARC-Date", F.lit(date)),
-        F.when(F.col("url").isNull(), "").otherwise(line("WARC-Target-URI", clean)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        F.when(F.col("url").isNull(), "").otherwise(line("WARC-Target-URI", clean)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of(F.col("digest")))),
         F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn("last")))).otherwise(""),
         line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", size.cast("string")), F.lit("\r\n"))
     return rows.select(F.concat(head, block).alias("record"))
