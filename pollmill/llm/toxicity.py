@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ SEED = frozenset(b"idiot idiots stupid moron morons trash scum clown loser loser
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".encode().split())
 #: Signs that stand for letters in disguised words.
 _LEET = bytes.maketrans(b"013457@$!", b"oieastasi")
-_DISGUISED = re.compile(rb"(?=[a-z0-9@$!*]*[a-z])(?=[a-z]*[0-9@$!*])[a-z0-9@$!*]{3,}")
+#: Runs of letters, digits and @$!* after lower-casing; every other byte parts them.
+_RUNS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x in b"0123456789@$!*" else 0x20 for x in range(256))
+_THRICE = re.compile(rb"([a-z])\1\1")
 _UPPER = bytes(x for x in range(256) if not 65 <= x <= 90)
 _LETTER = bytes(x for x in range(256) if not (65 <= x <= 90 or 97 <= x <= 122 or x >= 0xC0))
 _POINTS = bytes(x for x in range(256) if x not in b".,;:!?")
@@ -54,55 +57,109 @@ def units(text: bytes | None) -> list[bytes]:
     out = set()
     for w in set(plain_words(text)):
         if not w.isdigit():
-            out.update(stems(w))
-    return [u for u in out if _whole(u)]
-
-
-def _whole(u: bytes) -> bool:
-    try:
-        u.decode()
-        return True
-    except UnicodeDecodeError:
-        return False
-
-
-def features(text: bytes | None, lexicon: dict[bytes, float]) -> list[float]:
-    """In the order of FEATURES. lexicon: unit -> log odds of being toxic."""
+            out.add(w)
+            for k in (4, 5):
+                if len(w) > k and w[k] & 0xC0 != 0x80:
+                    out.add(w[:k] + b"-")
+    return list(out)
+
+
+class Marks:
+    """What the lexicon (unit -> log odds of being toxic) says of words; a word is looked up once while it is remembered."""
+
+    MOST = 300_000
+
+    def __init__(self, lexicon: dict[bytes, float]):
+        self.lexicon, self.plain, self.marked = lexicon, set(), {}
+
+    def of(self, words) -> list[tuple[bytes, tuple[bool, float, float, bool]]]:
+        """(word, (seed, log odds of the word, of its best stem, second person)) of the distinct words that have any."""
+        if len(self.plain) + len(self.marked) > self.MOST:
+            self.plain.clear()
+            self.marked.clear()
+        out, odds, marked, plain = [], self.lexicon.get, self.marked, self.plain
+        for x in words - plain:
+            m = marked.get(x)
+            if m is None:
+                stem = max(odds(x[:4] + b"-", 0.0) if len(x) > 4 else 0.0, odds(x[:5] + b"-", 0.0) if len(x) > 5 else 0.0)
+                m = (x in SEED, odds(x, 0.0), stem, x in SECOND_PERSON)
+                if m == (False, 0.0, 0.0, False):
+                    plain.add(x)
+                    continue
+                marked[x] = m
+            out.append((x, m))
+        return out
+
+
+def _disguised(text: bytes) -> list[bytes]:
+    """Runs of three or more that hold a letter and a digit or sign."""
+    return [x for x in text.translate(_RUNS).split() if not x.isalpha() and len(x) > 2 and x.strip(b"0123456789@$!*")]
+
+
+def _drawn_out(text: bytes) -> int:
+    """Letters written three times over."""
+    a = np.frombuffer(text.translate(_LOWER), np.uint8)
+    same = a[1:] == a[:-1]
+    if not (same[1:] & same[:-1] & (a[2:] >= 97) & (a[2:] <= 122)).any():
+        return 0
+    return len(_THRICE.findall(a.tobytes()))
+
+
+def _near(words: list[bytes], bad: set[bytes], you: set[bytes]) -> int:
+    """Words of `bad` with one of `you` at most NEAR words away."""
+    y, h = np.flatnonzero([x in you for x in words]), np.flatnonzero([x in bad for x in words])
+    at = np.searchsorted(y, h)
+    return int((np.minimum(np.abs(h - y[np.minimum(at, len(y) - 1)]), np.abs(h - y[np.maximum(at - 1, 0)])) <= NEAR).sum())
+
+
+def features(text: bytes | None, marks: Marks) -> list[float]:
+    """In the order of FEATURES."""
     t = text or b""
     w = plain_words(t)
     n = len(w)
     if not n:
         return [0.0] * len(FEATURES)
-    seed = sum(x in SEED for x in w)
-    known = {x: lexicon[x] for x in set(w) if x in lexicon}
-    half = {x: max((lexicon.get(s, 0.0) for s in stems(x)[1:]), default=0.0) for x in set(w)}
-    half = {x: v for x, v in half.items() if v > 0}
-    bad = SEED | known.keys()
-    hits = [i for i, x in enumerate(w) if x in bad]
-    stem = [half[x] for x in w if x in half]
-    weights = sorted((max(known.get(x, 0.0), half.get(x, 0.0), 4.0 if x in SEED else 0.0) for x in {*known, *half, *(SEED & set(w))}), reverse=True)
-    you = [i for i, x in enumerate(w) if x in SECOND_PERSON]
-    near = 0
-    if you and hits:
-        y = np.array(you)
-        at = np.searchsorted(y, hits)
-        h = np.array(hits)
-        near = int((np.minimum(np.abs(h - y[np.minimum(at, len(y) - 1)]), np.abs(h - y[np.maximum(at - 1, 0)])) <= NEAR).sum())
+    count = Counter(w)
+    found = marks.of(count.keys())
+    seed = word = stem = second = 0
+    weights, shares, bad, you = [], [], set(), set()
+    for x, (seeded, whole, half, person) in found:
+        c = count[x]
+        if person:
+            second += c
+            you.add(x)
+        if seeded or whole:
+            seed += c * seeded
+            word += c * (whole > 0)
+            bad.add(x)
+        if half:
+            stem += c
+            shares.append(half * c)
+        if seeded or whole or half:
+            weights.append(max(whole, half, 4.0 if seeded else 0.0))
+    weights.sort(reverse=True)
+    near = _near(w, bad, you) if bad and you else 0
     letters, upper = len(t.translate(None, _LETTER)), len(t.translate(None, _UPPER))
     spaced = t.split()
-    capital = sum(len(x) > 2 and x.isupper() for x in spaced)
-    disguised = _DISGUISED.findall(t.translate(_LOWER))
+    capital = sum(len(x) > 2 for x in filter(bytes.isupper, spaced))
+    disguised = _disguised(t)
     drawn = [x for x in disguised if x.translate(_LEET).strip(b"s").strip(b"*") in SEED or x.translate(_LEET) in SEED]
-    long_runs = len(re.findall(rb"([a-z])\1\1", t.translate(_LOWER)))
-    return [seed / n, sum(x in known for x in w) / n, len(stem) / n, math.log1p(seed), math.log1p(sum(x in known for x in w)), math.log1p(len(stem)), sum(stem) / n, sum(weights[:5]),
-            len(you) / n, near / n, upper / max(1, letters), capital / max(1, len(spaced)), len(t.translate(None, _POINTS)) / n, len(t.translate(None, _CALLS)) / n, len(t.translate(None, _SIGNS)) / n,
-            len(disguised) / n, len(drawn) / n, long_runs / n, math.log1p(n), float(len(weights))]
+    return [seed / n, word / n, stem / n, math.log1p(seed), math.log1p(word), math.log1p(stem), math.fsum(shares) / n, math.fsum(weights[:5]),
+            second / n, near / n, upper / max(1, letters), capital / max(1, len(spaced)), len(t.translate(None, _POINTS)) / n, len(t.translate(None, _CALLS)) / n,
+            len(t.translate(None, _SIGNS)) / n, len(disguised) / n, len(drawn) / n, _drawn_out(t) / n, math.log1p(n), float(len(weights))]
 
 
 def with_features(docs: DataFrame, lexicon: dict[bytes, float], text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
     out = fresh(docs, "toxicity_features")
     share = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most `most_units` entries
-    return over_texts(docs, text, out, _FEATURES, lambda t: [pa.array([features(x, share.value) for x in t], pa.list_(pa.float64()))], keep), out
+    held = []  # a task's own
+
+    def work(texts):
+        if not held:
+            held.append(Marks(share.value))
+        return [pa.array([features(x, held[0]) for x in texts], pa.list_(pa.float64()))]
+
+    return over_texts(docs, text, out, _FEATURES, work, keep), out
 
 
 def remainder(key: str) -> Column:
