@@ -23,7 +23,6 @@ from .ranks import running_totals
 
 MAX_MICRO = 1024
 LLOYD_STEPS = 80
-EXACT_SILHOUETTE_ROWS = 50_000
 _TILE = 2048
 
 
@@ -233,11 +232,8 @@ def _cells(x: np.ndarray, mean, axes, cuts) -> np.ndarray:
     return cell.astype(np.int32)
 
 
-def micro_clusters(frame: DataFrame, n: int, p: int, limit: int = MAX_MICRO) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and weights of at most ``limit`` micro-clusters.  Up to ``limit`` rows are their own."""
-    if n <= limit:
-        rows = frame.select("z").collect()
-        return np.array([r["z"] for r in rows], dtype=float), np.ones(len(rows))
+def micro_clusters(frame: DataFrame, p: int, limit: int = MAX_MICRO) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and weights of at most ``limit`` micro-clusters: cells along the principal axes, however many rows there are."""
     mean, axes, cuts = _direction_bits(frame, p, int(math.log2(limit)))
     sums = grouped_sums(frame, lambda x: [(_cells(x, mean, axes, cuts), x)], p)
     keys = sorted(sums)
@@ -281,13 +277,14 @@ def lloyd(frame: DataFrame, start: dict[int, np.ndarray], p: int, steps: int = L
         if not active:
             break
         now = {k: centres[k] for k in sorted(active)}
+        first = dict(zip(now, np.cumsum([0, *map(len, now.values())]).tolist()))
 
-        def groups(x, now=now):
-            return [(_nearest(x, c).astype(np.int32) + 100 * k, x) for k, c in now.items()]
+        def groups(x, now=now, first=first):
+            return [(_nearest(x, c).astype(np.int32) + first[k], x) for k, c in now.items()]
 
         sums = grouped_sums(frame, groups, p)
         for k, c in now.items():
-            new = np.array([sums[100 * k + i][1] / sums[100 * k + i][0] if 100 * k + i in sums else c[i] for i in range(len(c))])
+            new = np.array([sums[first[k] + i][1] / sums[first[k] + i][0] if first[k] + i in sums else c[i] for i in range(len(c))])
             if np.allclose(new, c, rtol=0, atol=1e-12):
                 active.discard(k)
             centres[k] = new
@@ -313,8 +310,8 @@ def label_rows(frame: DataFrame, centres: dict[int, np.ndarray], id_col: str = "
 
 def cluster_two_stage(frame: DataFrame, ks=(2, 3, 4), id_col: str = "respondent_id", limit: int = MAX_MICRO):
     """Ward on micro-clusters, refined by k-means: ({k: centres}, labelled rows)."""
-    n, p = frame.count(), _width(frame)
-    points, weights = micro_clusters(frame, n, p, limit)
+    p = _width(frame)
+    points, weights = micro_clusters(frame, p, limit)
     centres = lloyd(frame, ward_centres(points, weights, set(ks)), p)
     return centres, cut(label_rows(frame, centres, id_col))
 
@@ -346,12 +343,12 @@ def _sums_with_labels(frame: DataFrame, models: int, width: int, values) -> dict
                 x = _z(b)
                 lab = _z(b, "labels").astype(np.int32)
                 for m in range(models):
-                    _grouped_sums(values(x, lab[:, m], m), lab[:, m] + 1000 * m, acc)
+                    _grouped_sums(values(x, lab[:, m], m), lab[:, m] * models + m, acc)
         yield _emit(acc)
 
     out: dict[int, dict[int, tuple[int, np.ndarray]]] = {m: {} for m in range(models)}
     for g, v in collect_sums(frame.select("z", "labels").mapInArrow(reduce, _SUMS), width).items():
-        out[g // 1000][g % 1000] = v
+        out[g % models][g // models] = v
     return out
 
 
@@ -525,6 +522,8 @@ def _micro_silhouette(frame: DataFrame, levels, sizes, n: int, p: int) -> list[f
 
 
 def _sums_by_cell(frame, models, p, mean, axes, cuts):
+    cells = math.prod(len(c) + 1 for c in cuts)
+
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[int, list] = {}
         for b in batches:
@@ -532,24 +531,22 @@ def _sums_by_cell(frame, models, p, mean, axes, cuts):
                 x, lab = _z(b), _z(b, "labels").astype(np.int64)
                 cell = _cells(x, mean, axes, cuts).astype(np.int64)
                 for m in range(models):
-                    _grouped_sums(x, (cell * 64 + m) * 64 + lab[:, m], acc)
+                    _grouped_sums(x, (lab[:, m] * models + m) * cells + cell, acc)
         yield _emit(acc)
 
     out: dict[int, dict] = {m: {} for m in range(models)}
     for g, v in collect_sums(frame.select("z", "labels").mapInArrow(reduce, _SUMS), p).items():
-        rest, lab = divmod(g, 64)
-        cell, m = divmod(rest, 64)
+        rest, cell = divmod(g, cells)
+        lab, m = divmod(rest, models)
         out[m][(cell, lab)] = v
     return out
 
 
-def silhouette(frame: DataFrame, models: int = 1, method: str = "auto", id_col: str = "respondent_id") -> list[dict]:
-    """Mean Euclidean silhouette of every labelling: exact tiles, or the linear estimate for many rows."""
+def silhouette(frame: DataFrame, models: int = 1, method: str = "micro", id_col: str = "respondent_id") -> list[dict]:
+    """Mean Euclidean silhouette of every labelling: the linear estimate, or exact tiles if the caller asks for them."""
     p = _width(frame)
     levels, sizes = _label_sizes(frame, models)
     n = int(sizes[0].sum())
-    if method == "auto":
-        method = "exact" if n <= EXACT_SILHOUETTE_ROWS else "micro"
     got = _exact_silhouette(frame, levels, sizes, n, p, id_col) if method == "exact" else _micro_silhouette(frame, levels, sizes, n, p)
     return [{"silhouette": v if len(levels[m]) > 1 else None, "silhouette_method": method} for m, v in enumerate(got)]
 

@@ -18,7 +18,7 @@ def prepared(df: DataFrame, feature_set: str, method: str, id_col: str = "respon
 
 
 def cluster_grid(df: DataFrame, feature_sets=("baseline", "enhanced"), methods=("zscore", "robust"), ks=(2, 3, 4),
-                 id_col: str = "respondent_id", external: bool = True, silhouette: str = "auto"):
+                 id_col: str = "respondent_id", external: bool = True, silhouette: str = "micro"):
     """(metric rows, long labels).  The loop is over models, never over rows; all k of a frame share their passes."""
     spark: SparkSession = df.sparkSession
     metrics, labels = [], None

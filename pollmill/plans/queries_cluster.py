@@ -239,8 +239,8 @@ def _(spark, sf):
 
 @query("preprocess_compare")
 def _(spark, sf):
-    metrics, labels = G.cluster_grid(scored(spark, sf), ["baseline"], ks=(2, 4), silhouette="micro")
-    return G.preprocess_compare(metrics, labels, "baseline")
+    metrics, labels = G.cluster_grid(scored(spark, sf), ["enhanced"], ks=(2, 4))
+    return G.preprocess_compare(metrics, labels, "enhanced")
 
 
 def _main_model(spark, sf, k=2):

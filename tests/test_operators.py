@@ -247,3 +247,14 @@ def test_scans_prune_and_push_down(spark):
     text = spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderstatus = 'F'").transform(lambda d: D.segment_counts(d, "o_orderpriority"))
     plan = text._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan
+
+
+def test_seventy_labels_and_two_models_keep_their_sums_apart(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(280, 3)) * 0.01 + np.repeat(rng.normal(size=(70, 3)) * 50, 4, axis=0)
+    rows = [(i, x[i].tolist(), [i // 4 + 1, i // 140 + 1]) for i in range(280)]
+    frame = C.cut(spark.createDataFrame(rows, "respondent_id long, z array<double>, labels array<int>"))
+    fine, coarse = C.silhouette(frame, 2)
+    assert fine["silhouette"] > 0.9 > coarse["silhouette"]
+    a, b = C.ch_db_indices(frame, 2)
+    assert a["cluster_size_distribution"] == "|".join(["4"] * 70) and b["cluster_size_distribution"] == "140|140"
