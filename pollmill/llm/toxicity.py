@@ -47,13 +47,8 @@ FEATURES = ("seed_density", "word_density", "stem_density", "seed_hits", "word_h
 _FEATURES = struct("features double[]")
 
 
-def stems(word: bytes) -> list[bytes]:
-    """The word, and its beginnings of 4 and 5 bytes, marked."""
-    return [word, *(word[:k] + b"-" for k in (4, 5) if len(word) > k)]
-
-
 def units(text: bytes | None) -> list[bytes]:
-    """Distinct words and stems of a text, digits aside; cut where UTF-8 allows."""
+    """Distinct words of a text, digits aside, and their beginnings of 4 and 5 bytes, marked, where UTF-8 can be cut."""
     out = set()
     for w in set(plain_words(text)):
         if not w.isdigit():
