@@ -1,13 +1,14 @@
 """Toxicity: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
 Labelled documents that may be learned from are parted by a hash of the id: one half gives the lexicon (words and word stems that are far
-more frequent in toxic documents; counted over all of that half, a partial aggregate per unit), of the other half three quarters grow the trees and a
+more frequent in toxic documents; a partial aggregate per unit), of the other half three quarters grow the trees and a
 quarter calibrates them. So no document trains on lexicon entries that it brought in itself. Features are shares and
 densities of whole texts: lexicon hits, hits near second-person words, capitals, punctuation, symbols, disguised spellings.
 The trees and the calibration are Spark's own. Scoring is one pass over the texts for features, the rest column expressions.
 
-The lexicon is bounded by `most_units`; rows for trees and calibration by `most_rows`: beyond, a hash of the id takes an even
-share. Nulls and empty texts have features of zero and a score like any other. Repeated rows get the same score. Several labels of
+What is learned is bounded: the lexicon by `most_units`; the labelled documents that it is counted over and, as many again, those
+for trees and calibration by `most_rows`: of more labels a hash of the id takes an even share of about that many. So labels are
+broadcast to the documents and no text is shuffled. Nulls and empty texts have features of zero and a score like any other. Repeated rows get the same score. Several labels of
 one id count as toxic if one is; null labels and labels without a document are left out. Without two classes to learn from, the score
 is the share of toxic labels (0 without labels). An empty table gives an empty result. Columns named like the result stay:
 the result's name gets underscores.
@@ -173,23 +174,27 @@ def learn_lexicon(labelled: DataFrame, text: str = "text", most_units: int = 20_
     return {bytes(r["unit"]): r["odds"] for r in top.select("unit", "odds").collect()}
 
 
+def _even_share(known: DataFrame, most: int, seed: int) -> DataFrame:
+    """All rows, or an even share of about `most` of them by a hash of the id."""
+    share = min(1.0, most / max(1, known.count()))
+    return known.where(F.pmod(F.xxhash64(F.lit(seed), "label_key"), F.lit(1 << 52)) < F.lit(int(share * (1 << 52))))
+
+
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_units: int = 20_000, most_rows: int = 200_000,
           trees: int = 40, depth: int = 4, seed: int = 11, keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """(docs' columns `keep` and a struct: held_out, score; its name). Learns from labels of rows that aren't held out."""
     keep = docs.columns if keep is None else keep
     out, part = fresh(docs, "toxicity"), remainder(key)
     known = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("label_key")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("toxic"))
-    known = known.where(F.crc32(F.col("label_key").cast("string").cast("binary")) % 3 != 1)
-    lexicon_rows = known.where(F.pmod(F.xxhash64(F.lit(seed), "label_key"), F.lit(2)) == 0)
-    train_rows = known.where(F.pmod(F.xxhash64(F.lit(seed), "label_key"), F.lit(2)) == 1)
+    known = stored(known.where(F.crc32(F.col("label_key").cast("string").cast("binary")) % 3 != 1), "toxicity-labels")
+    # labels go to the documents, not whole texts to the labels: `most_rows` bounds what is broadcast
+    lexicon_rows, train_rows = (F.broadcast(_even_share(known.where(F.pmod(F.xxhash64(F.lit(seed), "label_key"), F.lit(2)) == half), most_rows, seed + 1)) for half in (0, 1))
     texts = docs.where(part != 1).select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("body")).where(F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(2)) == 0)
     lexicon = learn_lexicon(texts.join(lexicon_rows, F.col("k") == F.col("label_key")).select("body", "toxic"), "body", most_units)
     rows, feats = with_features(docs, lexicon, text, list(dict.fromkeys([*keep, key])))
     rows = stored(rows, "toxicity")
     vector = array_to_vector(F.col(f"`{feats}`.features"))
-    share = min(1.0, most_rows / max(1, train_rows.count()))
-    fit = rows.select(F.col(f"`{key}`").alias("k"), vector.alias("features")).join(train_rows, F.col("k") == F.col("label_key")).where(
-        F.pmod(F.xxhash64(F.lit(seed + 1), "k"), F.lit(1_000_000)) < int(share * 1_000_000)).select("features", F.col("toxic").cast("double").alias("label"), F.pmod(F.xxhash64(F.lit(seed + 2), "k"), F.lit(4)).alias("fold"))
+    fit = rows.select(F.col(f"`{key}`").alias("k"), vector.alias("features")).join(train_rows, F.col("k") == F.col("label_key")).select("features", F.col("toxic").cast("double").alias("label"), F.pmod(F.xxhash64(F.lit(seed + 2), "k"), F.lit(4)).alias("fold"))
     fit = stored(fit, "toxicity-fit").cache()
     grow, tune = fit.where("fold > 0"), fit.where("fold = 0")
     classes = {(r["f"], r["label"]): r["n"] for r in fit.groupBy((F.col("fold") > 0).alias("f"), "label").agg(F.count("*").alias("n")).collect()}
