@@ -206,7 +206,9 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return rows.select(*kept, F.struct(held, F.lit(rate).alias("score")).alias(out)), out
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, minInstancesPerNode=5, seed=seed).fit(grow)
     raw = lambda df: model.transform(df).withColumn("p", vector_to_array("probability")[1])
-    steps = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(raw(tune).select("p", "label"))
+    # copies share a probability: one weighted row for each, so that none fills a task of the regression
+    points = raw(tune).groupBy("p").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    steps = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(points)
     fit.unpersist()
     bare = rows.select(F.struct(*kept).alias("kept"), held, vector.alias("features"))
     scored = steps.transform(raw(bare).select("kept", "held_out", "p"))
