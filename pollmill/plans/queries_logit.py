@@ -8,6 +8,7 @@ from ..functions import scores as S, text as X
 from ..operators import describe as D, logit as L, quality as Q, ranks as K
 from . import profile as P
 from .queries_quality import flagged, scored, scored_ctes, _pred, _PRED_SQL
+from .queries_tables import IPA_CTE
 from .registry import query, r6, rounded
 from .views import load, oracle, view
 
@@ -209,15 +210,14 @@ def _(spark, sf):
     return L.top_effects(_terms(spark, sf)).select("term", r6("coef").alias("coef"))
 
 
-@query("hypothesis_evidence", oracle("survey", _terms_sql("a") + f""", t AS (SELECT term, 'coef=' || format('{{:.3f}}', coef) || ', p=' || format('{{:.4f}}', p_value) || ', OR=' || format('{{:.3f}}', odds_ratio) AS txt FROM a),
- n AS (SELECT count(*) AS n FROM a WHERE p_value < 0.05)
+@query("hypothesis_evidence", oracle("survey", scored_ctes() + f", {IPA_CTE}, " + _terms_sql("a") + f""", t AS (SELECT term, 'coef=' || format('{{:.3f}}', coef) || ', p=' || format('{{:.4f}}', p_value) || ', OR=' || format('{{:.3f}}', odds_ratio) AS txt FROM a),
+ n AS (SELECT count(*) AS n FROM ipa WHERE quadrant = 'Q4_改进区')
  SELECT 'H1' AS id, (SELECT txt FROM t WHERE term = 'Q2_age_code') AS evidence, '需结合分组解释' AS conclusion UNION ALL SELECT 'H2', (SELECT txt FROM t WHERE term = 'Q6_habit_code'), '以实证结果为准' UNION ALL
  SELECT 'H3', (SELECT txt FROM t WHERE term = 'Q7_knowledge_code') || '；' || (SELECT txt FROM t WHERE term = 'cognition_mean'), '认知变量需与其他因子联判' UNION ALL
  SELECT 'H4', (SELECT txt FROM t WHERE term = 'Q8_visit_status_code'), '方向与显著性按结果解释' UNION ALL SELECT 'H5', (SELECT txt FROM t WHERE term = 'perception_mean'), '需与表现度区分讨论' UNION ALL
  SELECT 'H6', '见聚类稳定性与画像卡', '成立（按当前K=2方案）' UNION ALL SELECT 'H7', '见IPA结果表与阈值敏感性表', '成立（当前识别' || n || '项优先改进）' FROM n"""))
 def _(spark, sf):
-    t = _terms(spark, sf)
-    return D.hypothesis_evidence(spark, t, t.filter("p_value < 0.05")).select("id", "evidence", "conclusion")
+    return D.hypothesis_evidence(spark, _terms(spark, sf), D.ipa_priority(D.ipa(scored(spark, sf)))).select("id", "evidence", "conclusion")
 
 
 @query("feature_texts")

@@ -183,19 +183,19 @@ def _(spark, sf):
     return rounded(D.item_means(scored(spark, sf), P.IMPORTANCE + P.PERFORMANCE), "mean")
 
 
-_IPA_CTE = "pairs AS (" + " UNION ALL ".join(
+IPA_CTE = "pairs AS (" + " UNION ALL ".join(
     f"SELECT {i + 1} AS item_no, {66 + i} AS importance_col, {76 + i} AS performance_col, avg(C{66 + i:03d}) AS im, avg(C{76 + i:03d}) AS pm FROM scored" for i in range(10)) + """),
  cut AS (SELECT avg(importance_mean) AS ic, avg(performance_mean) AS pc FROM scored),
  ipa AS (SELECT item_no, importance_col, performance_col, im, pm, pm - im AS gap, CASE WHEN im >= ic AND pm >= pc THEN 'Q1_优势区' WHEN im < ic AND pm >= pc THEN 'Q2_维持区'
  WHEN im < ic AND pm < pc THEN 'Q3_机会区' ELSE 'Q4_改进区' END AS quadrant FROM pairs, cut)"""
 
 
-@query("ipa", oracle("survey", scored_ctes() + f", {_IPA_CTE} SELECT item_no, importance_col, performance_col, round(im, 6) AS importance_mean, round(pm, 6) AS performance_mean, round(gap, 6) AS gap_perf_minus_imp, quadrant FROM ipa"))
+@query("ipa", oracle("survey", scored_ctes() + f", {IPA_CTE} SELECT item_no, importance_col, performance_col, round(im, 6) AS importance_mean, round(pm, 6) AS performance_mean, round(gap, 6) AS gap_perf_minus_imp, quadrant FROM ipa"))
 def _(spark, sf):
     return rounded(D.ipa(scored(spark, sf)), "importance_mean", "performance_mean", "gap_perf_minus_imp")
 
 
-@query("ipa_sensitivity", oracle("survey", scored_ctes() + f""", {_IPA_CTE}, th AS (SELECT '均值阈值' AS method, avg(im) AS i, avg(pm) AS p FROM pairs UNION ALL SELECT '中位数阈值', median(im), median(pm) FROM pairs),
+@query("ipa_sensitivity", oracle("survey", scored_ctes() + f""", {IPA_CTE}, th AS (SELECT '均值阈值' AS method, avg(im) AS i, avg(pm) AS p FROM pairs UNION ALL SELECT '中位数阈值', median(im), median(pm) FROM pairs),
  q AS (SELECT *, CASE WHEN im >= i AND pm >= p THEN 'Q1_优势区' WHEN im < i AND pm >= p THEN 'Q2_维持区' WHEN im < i AND pm < p THEN 'Q3_机会区' ELSE 'Q4_改进区' END AS quadrant FROM pairs, th)
  SELECT method, item_no, importance_col AS col_idx, round(im, 6) AS importance_mean, round(pm, 6) AS performance_mean, round(i, 6) AS importance_threshold, round(p, 6) AS performance_threshold, quadrant,
  cast(quadrant = 'Q4_改进区' AS int) AS is_priority FROM q"""))
@@ -203,7 +203,7 @@ def _(spark, sf):
     return rounded(D.ipa_sensitivity(scored(spark, sf)), "importance_mean", "performance_mean", "importance_threshold", "performance_threshold")
 
 
-@query("ipa_priority", oracle("survey", scored_ctes() + f", {_IPA_CTE} SELECT item_no, round(gap, 6) AS gap_perf_minus_imp FROM ipa WHERE quadrant = 'Q4_改进区' ORDER BY gap, item_no LIMIT 3"))
+@query("ipa_priority", oracle("survey", scored_ctes() + f", {IPA_CTE} SELECT item_no, round(gap, 6) AS gap_perf_minus_imp FROM ipa WHERE quadrant = 'Q4_改进区' ORDER BY gap, item_no LIMIT 3"))
 def _(spark, sf):
     return D.ipa_priority(D.ipa(scored(spark, sf)), 3).select("item_no", r6("gap_perf_minus_imp").alias("gap_perf_minus_imp"))
 
@@ -369,7 +369,7 @@ def _evidence(spark, sf):
 
 
 _TEXTS_SQL = f"texts AS (SELECT * FROM {_sql_values([(i, t) for i, t in enumerate(P.ITEM_TEXTS, 1)], 'col_idx, item_text')})"
-_EVIDENCE_SQL = f""", {_IPA_CTE}, {_TOP_SQL}, {_TEXTS_SQL},
+_EVIDENCE_SQL = f""", {IPA_CTE}, {_TOP_SQL}, {_TEXTS_SQL},
  src AS (SELECT 1 AS source_no, row_number() OVER (ORDER BY gap, item_no) AS rank, '高重要度低满意：' || item_text AS problem,
   '重要度均值' || format('{{:.3f}}', im) || '，满意度均值' || format('{{:.3f}}', pm) || '，差值' || format('{{:.3f}}', gap) AS evidence, '纳入季度优先整改清单，配置专项预算和KPI跟踪。' AS suggestion
   FROM ipa JOIN texts ON importance_col = col_idx WHERE quadrant = 'Q4_改进区' QUALIFY rank <= 3 UNION ALL
