@@ -5,6 +5,11 @@ adverts, forms and comments are boilerplate), by link density, by length and by
 undecided block the label of its nearest decided neighbour among the blocks of the same holder (if two are as
 near, text wins). Of blocks without a decided neighbour those of an article are text.
 
+A class, id or role word makes no boilerplate of a holder that has most of the page's long blocks with few links, and more text
+in them than stands freely elsewhere; one that names comments only counts for the page if no long block stands freely elsewhere.
+An element without text (a picture, a button, a player) goes from its start tag to its end tag; without an end tag before its
+holder ends, only its own tag goes. Scripts, styles and comments that nothing ends run to the end of the page, as in browsers.
+
 Null and empty pages have an empty text. Repeated rows get the same text each. An empty table gives an empty result. Pages of
 any length are worked on whole, one at a time. Columns named like the result stay: the result's name gets underscores.
 """
@@ -20,10 +25,15 @@ from pyspark.sql import DataFrame
 from .common import fresh, over_texts, struct
 
 _TEXT = struct("text string, n_blocks bigint, n_kept bigint")
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|button|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    rf"|<(script|style)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    rf"""|<(title|textarea|iframe)(?=[\s/>]){_ATTRIBUTES}(?:(?<!/)>|=[^\s"'>]+/>)[^<]*(?:<(?!/?\2[\s/>])[^<]*)*</\2(?=[\s/>])[^>]*>"""
+    rf"|<(?P<ending>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>{_ATTRIBUTES})>", re.S | re.I)
+#: Elements without text of the page whose content is tags; the raw ones are whole tokens.
+_SKIPPED = frozenset("noscript template svg math object canvas audio video select button".split())
+_UNQUOTED = re.compile(r"""=\s*[^\s"']+/\Z""")
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _BLOCKS = frozenset(
@@ -48,22 +58,82 @@ LONG, LINKS, STOP_HIGH, STOP_LOW = 8, 0.5, 0.2, 0.08
 
 
 class _Holder:
-    __slots__ = ("name", "junk", "article", "comments")
+    """marked: a class, id or role in force makes it boilerplate; mark: the number of the innermost holder with such a word, or -1."""
+    __slots__ = ("name", "junk", "article", "comments", "marked", "mark")
+
+    def __init__(self, name, junk, article, comments, marked, mark):
+        self.name, self.junk, self.article, self.comments, self.marked, self.mark = name, junk, article, comments, marked, mark
 
-    def __init__(self, name, junk, article, comments):
-        self.name, self.junk, self.article, self.comments = name, junk, article, comments
+
+def _skips(tokens: list[re.Match]) -> dict[int, int]:
+    """For start tags of _SKIPPED the end tag, if it comes before the holder around them ends (numbers of tokens)."""
+    out, stack, count = {}, [], dict.fromkeys(_SKIPPED | _HOLDERS, 0)
+    for i, m in enumerate(tokens):
+        name = (m["name"] or "").lower()
+        if name not in count:
+            continue
+        if not m["ending"]:
+            if not m["attributes"].endswith("/") or _UNQUOTED.search(m["attributes"]):
+                stack.append((name, i))
+                count[name] += 1
+        elif count[name]:
+            other = None
+            while other != name:
+                other, at = stack.pop()
+                count[other] -= 1
+            if name in _SKIPPED:
+                out[at] = i
+    return out
+
+
+def _main(found: list[tuple[str, int, _Holder]], marks: list[tuple[int, int, bool, bool]]) -> frozenset[int]:
+    """Marked holders (numbers of tokens) that are the page's main ones. marks: token, mark around, in force around, of comments."""
+    blocks_in, long_in, plain_in, free = ([0] * (len(marks) + 1) for _ in range(4))  # the last: outside of all
+    for text, linked, up in found:
+        if linked > LINKS * len(text):
+            continue
+        if not up.junk and not up.marked:
+            plain_in[up.mark] += len(text)
+        if len(text.split()) >= LONG:
+            blocks_in[up.mark] += 1
+            long_in[up.mark] += len(text)
+            if not up.junk:
+                free[up.mark if up.marked else -1] += 1
+    for i in range(len(marks) - 1, -1, -1):
+        for c in (blocks_in, long_in, plain_in):
+            c[marks[i][1]] += c[i]
+    out, plain, clear = set(), free[-1], []
+    for i, (token, around, inherited, comments) in enumerate(marks):
+        main = (2 * blocks_in[i] > blocks_in[-1] and long_in[i] > plain_in[-1] - plain_in[i] and not (comments and plain)
+                and (not inherited or clear[around]))
+        clear.append(main)
+        if main:
+            out.add(token)
+            plain += free[i]
+    return frozenset(out)
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, code points in links, in boilerplate, in an article) of each block that has text."""
-    out, text, linked, in_link = [], [], 0, 0
-    stack = [_Holder("", False, False, False)]
+    tokens = list(_TOKEN.finditer(page))
+    skips = _skips(tokens)
+    found, marks = _cut(page, tokens, skips, frozenset())
+    main = _main(found, marks) if marks else None
+    if main:
+        found, _ = _cut(page, tokens, skips, main)
+    return [(text, linked, up.junk or up.marked, up.article) for text, linked, up in found]
+
+
+def _cut(page: str, tokens: list[re.Match], skips: dict[int, int], main: frozenset[int]) -> tuple[list, list]:
+    """(text, code points in links, holder) of each block that has text, and the marked holders; words on holders of main say nothing."""
+    out, text, linked, in_link, marks = [], [], 0, 0, []
+    stack = [_Holder("", False, False, False, False, -1)]
 
     def close():
         nonlocal linked
         joined = _SPACE.sub(" ", "".join(text)).strip()
         if joined:
-            out.append((joined, min(linked, len(joined)), stack[-1].junk, stack[-1].article))
+            out.append((joined, min(linked, len(joined)), stack[-1]))
         text.clear()
         linked = 0
 
@@ -75,14 +145,20 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if in_link:
                 linked += len(s.strip())
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at = past = 0
+    for i, m in enumerate(tokens):
+        if i < past:
+            continue
         add(page[at:m.start()])
+        if i in skips:
+            past = skips[i] + 1
+            at = tokens[skips[i]].end()
+            continue
         at = m.end()
-        name = (m.group(3) or "").lower()
+        name = (m["name"] or "").lower()
         if not name:
             continue
-        ending = bool(m.group(2))
+        ending = bool(m["ending"])
         if name == "a":
             in_link = 0 if ending else 1
         if name not in _BLOCKS:
@@ -94,28 +170,34 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if name not in _HOLDERS:
             continue
         if ending:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name == name:
+                    del stack[k:]
                     break
-                if stack[i].name in ("article", "main") and name in ("div", "section", "ul", "ol", "li", "td", "tr", "table"):
+                if stack[k].name in ("article", "main") and name in ("div", "section", "ul", "ol", "li", "td", "tr", "table"):
                     break  # a stray end tag doesn't close an article
             in_link = 0
         else:
             up = stack[-1]
-            attributes = m.group(4)
-            named = " ".join(x for g in _NAMES.findall(attributes) for x in g if x) if attributes.strip() else ""
-            comments = up.comments or bool(named and _COMMENT_NAME.search(named))
-            if name in ("article", "main") and not comments:
-                stack.append(_Holder(name, False, True, False))
+            attributes = m["attributes"]
+            named = " ".join(x for g in _NAMES.findall(attributes) for x in g if x) if attributes.strip() and i not in main else ""
+            said = bool(named and _COMMENT_NAME.search(named))
+            comments = up.comments or said
+            article = name in ("article", "main") and not comments
+            own = said or bool(named and name != "body" and not article and _JUNK_NAME.search(named))
+            if own:
+                marks.append((i, up.mark, up.marked, said))
+            mark = len(marks) - 1 if own else up.mark
+            if article:
+                stack.append(_Holder(name, False, True, False, False, mark))
             else:
-                junk = up.junk or comments or name in _JUNK or (name == "header" and not up.article) or bool(named and name != "body" and _JUNK_NAME.search(named))
-                stack.append(_Holder(name, junk, up.article, comments))
+                junk = up.junk or name in _JUNK or (name == "header" and not up.article)
+                stack.append(_Holder(name, junk, up.article, comments, up.marked or own, mark))
             if attributes.rstrip().endswith("/"):
                 stack.pop()
     add(page[at:])
     close()
-    return out
+    return out, marks
 
 
 def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:

@@ -203,6 +203,27 @@ def test_main_text():
     assert html_text.main_text("<p>It is the text of a page that has no article in it, but it is one.</p><p><a href=x>a link to some other page of the site</a></p>")[0].startswith("It is the text")
 
 
+def test_main_text_goes_on_after_elements_that_nothing_ends():
+    for tag in ("<svg class='i'/>", "<button>", "<video src=x />", "<iframe src='x'/>", "<select>", "<title>", "<canvas>", "<object data=x>"):
+        assert html_text.main_text(f"<article><p>One {tag} two</p><p>three</p></article>")[0] == "One two three"
+        assert html_text.main_text(f"<article><p>One {tag} two</p></article><p>{tag}</p><div>It is of the page that it is in</div>")[0].startswith("One two")
+    for name in ("title-card", "video-player", "button-group", "style-x"):
+        assert html_text.main_text(f"<article><p>One <{name}>two</p><p>three</p></article>")[0] == "One two three"
+    page = ("<article><title>Use of <script> tags</title><button>Go <b>on</b></button><svg><title>Icon</title><svg></svg>inner</svg><textarea><!-- </textarea>"
+            "<iframe src=http://x/>no frames</iframe><p>One</p><script/>var x</script><style>p</style ><select><option>pick</select></article>")
+    assert html_text.main_text(page)[0] == "One"
+
+
+def test_main_text_in_holders_with_boilerplate_words():
+    one, two, side = (f"It is the {x} of the long paragraphs that stand in this page and it goes on." for x in ("first", "second", "other"))
+    inner = f"<p>{one}</p><p>{two}</p><div class='sidebar'><p>{side}</p></div>"
+    for start in ("<div class='layout has-sidebar'>", "<div id=menu><div class='page no-comments'>", "<section role=search>", "<body class='post comments-open'>"):
+        assert html_text.main_text(start + inner)[0] == f"{one} {two}"
+    assert html_text.main_text(f"<body class=comments-open><article><h1>Head</h1><p>{one}</p></article><div id=comments>" + f"<p>{side}</p>" * 5 + "</div></body>")[0] == f"Head {one}"
+    assert html_text.main_text(f"<div class=post><p>{one}</p></div><div id=comments>" + f"<p>{side}</p>" * 5 + "</div>")[0] == one
+    assert side not in html_text.main_text("<article>" + "<p>Roses are red</p>" * 9 + f"</article><div class=cookie><p>{side}</p></div>")[0]
+
+
 def test_main_text_of_rows(spark):
     rows, out = html_text.extract(spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>Just one line</p>" * 2)], "page_id long, url string, html string"))
     assert [r[out].text for r in rows.orderBy("page_id").collect()] == ["", "", ""]
