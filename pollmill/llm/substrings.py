@@ -11,8 +11,8 @@ A word's hash is XXH64; a window's is a polynomial of those modulo 2 ** 64, comp
 repeat. Texts travel compressed to where the survivors are.
 
 Nulls and texts of fewer words than a window keep all words. Repeated rows are occurrences of their own, so all their windows
-repeat. Rows that share an id, or have none, are told apart by their texts. An empty table gives an empty result. Columns of
-docs named like the result stay: the result's name gets underscores.
+repeat; they share a key, whose places are held once. Rows that share an id, or have none, are told apart by their texts. An
+empty table gives an empty result. Columns of docs named like the result stay: the result's name gets underscores.
 """
 
 from __future__ import annotations
@@ -112,11 +112,19 @@ def level_rows(texts: list, keys: np.ndarray, survivors: list | None, level: int
     _, first, which, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     many = count > 1
     known = many[which]
+    # repeated rows share a key: each of its places goes on once
+    again = np.flatnonzero(known)
+    again = again[np.lexsort((place[again], key[again]))]
+    drop = again[1:][(key[again[1:]] == key[again[:-1]]) & (place[again[1:]] == place[again[:-1]])]
+    left = np.ones(len(h), bool)
+    left[drop] = False
+    stand = first[many]
+    most = h.view(np.int64)[stand], key[stand], place[stand].astype(np.int32)
+    h, key, place, known = h[left], key[left], place[left], known[left]
     kind = np.where(known, KNOWN, ONE).astype(np.int8)
     spread = h.view(np.int64).copy()
     spread[known] ^= key[known] * 31 + place[known]  # known rows only pass, so they are dealt anywhere
-    stand = first[many]
-    return [pa.array(np.r_[spread, h.view(np.int64)[stand]]), pa.array(np.r_[key, key[stand]]), pa.array(np.r_[place, place[stand]].astype(np.int32)),
+    return [pa.array(np.r_[spread, most[0]]), pa.array(np.r_[key, most[1]]), pa.array(np.r_[place, most[2]].astype(np.int32)),
             pa.array(np.r_[kind, np.full(len(stand), MANY, np.int8)])]
 
 
@@ -163,10 +171,10 @@ def _unpacked(column: pa.Array) -> list[bytes]:
 
 
 def _survivors(rows: DataFrame) -> DataFrame:
-    """(key, places) of the rows whose window repeats anywhere."""
+    """(key, places) of the rows whose window repeats anywhere; each place once, however many rows share the key."""
     total = F.sum(F.when(F.col("kind") == ONE, 1).when(F.col("kind") == MANY, 2).otherwise(0)).over(Window.partitionBy("h"))
     alive = rows.withColumn("n", total).where((F.col("kind") == KNOWN) | ((F.col("kind") == ONE) & (F.col("n") > 1)))
-    return alive.groupBy("key").agg(F.collect_list("place").alias("places")).select(F.col("key").alias("alive_key"), "places")
+    return alive.groupBy("key").agg(F.collect_set("place").alias("places")).select(F.col("key").alias("alive_key"), "places")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, start: int = 18, keep: list[str] | None = None) -> tuple[DataFrame, str]:

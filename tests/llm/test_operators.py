@@ -158,6 +158,19 @@ def test_substring_dedup_equals_counting_windows(docs, empty):
     assert substrings.dedup(empty)[0].count() == 0
 
 
+def test_substring_dedup_of_thousands_of_equal_rows(spark):
+    text, n = " ".join(f"r{i}" for i in range(120)), 3000
+    key, at = np.repeat(np.int64(7), n), len(text.split()) - 34
+    h, k, place, kind = (np.asarray(c) for c in substrings.level_rows([text.encode()] * n, key, None, 1, [18, 35][1:] * 2))
+    assert (kind == substrings.KNOWN).sum() == at and (kind == substrings.MANY).sum() == at and len(kind) == 2 * at
+    pieces = spark.createDataFrame([(5, 7, p, substrings.KNOWN) for p in (3, 4)] * n + [(6, 7, 9, substrings.ONE)] * 2, "h long, key long, place int, kind byte")
+    assert [sorted(r.places) for r in substrings._survivors(pieces).collect()] == [[3, 4, 9]]
+    rows = spark.createDataFrame([(1, text)] * n + [(None, text)] * n + [(2, "of its own " * 2)], "doc_id long, text string").coalesce(2)
+    found, out = substrings.dedup(rows, keep=["doc_id"])
+    got = {(r.doc_id, r.n, r.gone, r.kept): r["count"] for r in found.groupBy("doc_id", F.col(f"{out}.n_words").alias("n"), F.col(f"{out}.n_removed").alias("gone"), F.col(f"{out}.kept").alias("kept")).count().collect()}
+    assert got == {(1, 120, 120, ""): n, (None, 120, 120, ""): n, (2, 6, 0, "of its own of its own"): 1}
+
+
 def test_secret_spans_and_owners(spark):
     access, opaque = "AKIA" + "Z9" * 9, "Zq9" * 10
     rows = spark.createDataFrame([(1, f"é password = 'hunter22' {access} {opaque}", "o1"), (2, f"{access} token:abc secret=token:abcdefgh", "o2"), (3, None, None), (4, "ab" * 12, None), (5, "", "o1")],
