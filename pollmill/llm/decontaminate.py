@@ -6,7 +6,8 @@ tree with rank counts, and sampled suffix positions. All phrases are searched ba
 located by walking to a sampled position, and the word spans found are merged per document.
 
 The test items come as blocks of at most `block_bytes` of text, each block a broadcast with that bound and a pass over the
-documents; results of several blocks are merged per document. So neither side has to fit in one task.
+documents; with several blocks the documents are stored with a row number, and results are merged by that number alone. So
+neither side has to fit in one task.
 
 Windows: `size` consecutive item words; an item of fewer words is one window; an item without words has none.
 Nulls and empty texts have no words and no hits (contaminated is false). Repeated rows get the same result each; items
@@ -204,10 +205,7 @@ class Phrases:
 def find_phrases(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                  size: int = 13, block_bytes: int = 8 << 20, keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """(docs' columns `keep` and a struct: n_words, n_hit, items (sorted ids of items with occurring windows), span_start and
-    span_end (merged word ranges, end exclusive); its name).
-
-    With more than one block of items, `keep` has to name each document (equal rows are merged to one of them).
-    """
+    span_end (merged word ranges, end exclusive); its name)."""
     spark, out = docs.sparkSession, fresh(docs, "hits")
     total = items.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{item_text}`").cast("string"))), F.lit(0))).first()[0]
     blocks = total // block_bytes + 1
@@ -217,22 +215,27 @@ def find_phrases(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     while 1 < blocks < 1 << 20 and (numbered.groupBy(block().alias("b")).agg(F.sum(F.octet_length("text")).alias("n"), F.count_distinct("item", "text").alias("k"))
                                     .where((F.col("n") > block_bytes) & (F.col("k") > 1)).limit(1).count()):
         blocks *= 2
-    parts = []
+    keep = docs.columns if keep is None else keep
+    if blocks > 1:
+        row, body = fresh(docs, "row_number"), fresh(docs, "body")
+        base = stored(docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(body), F.monotonically_increasing_id().alias(row)), "numbered")
+        source, column, kept = base, body, [row]
+    else:
+        source, column, kept = docs, text, keep
+    both = None
     for b in range(blocks):
         mine = numbered.where(block() == b) if blocks > 1 else numbered
         share = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in mine.toLocalIterator()])
-        parts.append(over_texts(docs, text, out, _HITS, _searcher(share, size), keep))
+        part = over_texts(source, column, out, _HITS, _searcher(share, size), kept)
+        both = part if both is None else both.unionByName(part)
     if blocks == 1:
-        return parts[0], out
-    rest = [c for c in parts[0].columns if c != out]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+        return both, out
     both = stored(both, "hits")
     spans = F.flatten(F.collect_list(F.arrays_zip(F.col(f"{out}.span_start").alias("s"), F.col(f"{out}.span_end").alias("e"))))
-    merged = both.groupBy(*(F.col(f"`{c}`") for c in rest)).agg(
+    merged = both.groupBy(row).agg(
         F.max(f"{out}.n_words").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{out}.items")))).alias("i"), F.array_sort(spans).alias("s"))
-    return merged.select(*(F.col(f"`{c}`") for c in rest), _merged("s", "n", "i").alias(out)), out
+    merged = merged.select(row, _merged("s", "n", "i").alias(out))
+    return base.join(merged, row).select(*(base[f"`{c}`"] for c in keep), merged[out]), out
 
 
 def _merged(spans: str, n: str, items: str) -> Column:

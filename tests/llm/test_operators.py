@@ -123,6 +123,20 @@ def test_decontamination_in_one_and_many_blocks(spark, docs, empty):
     assert decontaminate.without_contaminated(docs, items.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_repeated_rows_is_the_same_in_many_blocks(spark):
+    items = spark.createDataFrame([(1, "alpha10 alpha11 alpha12 alpha13 alpha14 alpha15 alpha16"), (2, "one two")], "item_id long, text string").coalesce(1)
+    rows = [(1, BASE), (1, BASE), (1, "one two and " + "x " * 50), (None, "one two"), (None, "one two"), (None, "x y"), (None, None), (2, "x"), (2, "x")]
+    repeated = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = []
+    for size in (8 << 20, 40):
+        found, out = decontaminate.find_phrases(repeated, items, block_bytes=size, keep=["doc_id"])
+        assert found.columns == ["doc_id", out]
+        got.append(sorted(map(repr, found.collect())))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    kept = [sorted(map(repr, decontaminate.without_contaminated(repeated, items, block_bytes=size).collect())) for size in (8 << 20, 40)]
+    assert kept[0] == kept[1] and len(kept[0]) == 5
+
+
 def test_mixing_meets_marginals(spark, docs, empty):
     rows = spark.createDataFrame([(i, "w " * (1 + i % 7) + ("a@b.c" if i % 3 else ""), ("en", "de", None)[i % 5 % 3], f"s{i % 4}") for i in range(400)], "doc_id long, text string, lang string, source string")
     goals = spark.createDataFrame([("s0", 0.4), ("s1", 0.3), ("s2", 0.2), ("s3", 0.1), ("absent", 5.0)], "level string, share double").where("level <> 'absent'")
