@@ -1,4 +1,4 @@
-"""The thin queries op1_ to op10_: each applies its operator to the whole table and derives the asked columns."""
+"""The thin queries op1_ to op13_: each applies its operator to the whole table and derives the asked columns."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import sql
 from .common import table
-from . import decontaminate, html_text, mixing, quality, secrets, simhash, substrings, token_store, toxicity, warc
+from . import decontaminate, filter_audit, html_text, mixing, quality, resampling, secrets, simhash, substrings, token_store, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -105,3 +105,27 @@ def op9_simhash(spark, sf_dir):
 def op10_toxicity(spark, sf_dir):
     rows, out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return rows.select("doc_id", f"{out}.held_out", f"{out}.score", (F.col(f"{out}.score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query
+def op11_importance_resampling(spark, sf_dir):
+    """Weight, score and rank of each document towards the benchmark's words."""
+    rows, out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return rows.select("doc_id", *(f"{out}.{c}" for c in ("n_features", "weight", "score", "rank")))
+
+
+@_query
+def op12_filter_audit(spark, sf_dir):
+    """All orders of the five filters, per source."""
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@_query
+def op13_url_filter(spark, sf_dir):
+    """Verdicts on urls. A page shows the document whose id ends its path: that document's label is the page's outcome (bad: low quality or toxic)."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    outcomes = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").select(F.col("doc_id").alias("key"), bad.alias("bad"))
+    shown = F.regexp_extract(url_filter.path_of(F.col("url")), "([0-9]+)[^0-9/]*/?$", 1).try_cast("bigint")
+    rows, out = url_filter.judge(table(spark, sf_dir, "pages"), outcomes, key=shown, keep=["page_id"])
+    return rows.select("page_id", *(f"{out}.{c}" for c in ("host", "path", "rule", "verdict", "n_outcomes", "n_bad")), F.round(f"{out}.low", 6).alias("bad_low"))

@@ -146,3 +146,116 @@ WITH d AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (r) LEFT JOIN left_over USING (r)
 """
+
+CHECKS["op11_importance_resampling"] = rf"""
+WITH tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) v(i)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_PLAIN.format(t='text')} AS w FROM documents
+), b AS (
+  SELECT unnest({_PLAIN.format(t='text')}) AS word FROM benchmark
+), f AS (
+  SELECT r, unnest(w) AS word FROM d
+), h AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM f UNION SELECT word FROM b)
+), k AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda a, x: xor(a >> 8, t[((xor(a, x) & 255) + 1)::INT])), 4294967295) % 10000 AS bucket FROM h, tab
+), own AS (
+  SELECT bucket, count(*) AS n FROM f JOIN k USING (word) GROUP BY bucket
+), aim AS (
+  SELECT bucket, count(*) AS n FROM b JOIN k USING (word) GROUP BY bucket
+), g AS (
+  SELECT x.bucket, floor(1000 * ln(((coalesce(aim.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM own) + 10000)::DOUBLE)
+    / ((coalesce(own.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM aim) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) x(bucket) LEFT JOIN own USING (bucket) LEFT JOIN aim USING (bucket)
+), m AS (
+  SELECT r, count(*) AS n, sum(gain)::BIGINT AS weight FROM f JOIN k USING (word) JOIN g USING (bucket) GROUP BY r
+), s AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN m USING (r)
+), o AS (
+  SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, r) AS place,
+    sum((n_features >= 20)::BIGINT) OVER () AS n FROM s
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 10 * n // 100 THEN place END AS rank FROM o
+"""
+
+CHECKS["op12_filter_audit"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS.format(t='text')} AS w FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    {{'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+      'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)}} AS f
+  FROM d LEFT JOIN l USING (doc_id)
+), p AS (
+  SELECT part, good, toxic, f, count(*) AS n, (f.A::INT + f.B::INT + f.C::INT + f.D::INT + f.E::INT) AS k FROM m GROUP BY ALL
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), q AS (
+  SELECT part, good, toxic, n, k, filter_order, step, fails,
+    len(list_filter(range(1, step), lambda i: failed(f, filter_order[i]))) > 0 AS gone, n * 120 // greatest(k, 1) AS share
+  FROM (SELECT *, failed(f, filter_order[step]) AS fails FROM p, o, (SELECT unnest(range(1, 6)) AS step))
+)
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (fails AND k = 1), 0)::BIGINT AS unique_fails, coalesce(sum(n * good) FILTER (NOT gone AND fails), 0)::BIGINT AS good_lost,
+  coalesce(sum(n * toxic) FILTER (NOT gone AND fails), 0)::BIGINT AS toxic_lost, coalesce(sum(share) FILTER (fails), 0)::BIGINT AS shapley
+FROM q GROUP BY part, filter_order, step
+"""
+_FAILED = "(CASE {c} WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END)"
+for _c in ("filter_order[i]", "filter_order[step]"):
+    CHECKS["op12_filter_audit"] = CHECKS["op12_filter_audit"].replace(f"failed(f, {_c})", _FAILED.format(c=_c))
+
+_MOMENTS = "coalesce(least(0.5::DOUBLE, greatest(1 / 10001::DOUBLE, sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) / nullif(sum((n - 1) * n * m * (1 - m)), 0))), 0.5)"
+_TWO = "'co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'ne.jp', 'or.jp', 'com.br', 'co.nz', 'co.za', 'com.cn', 'co.in', 'co.kr', 'com.mx', 'com.tr'"
+
+CHECKS["op13_url_filter"] = rf"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), q AS (
+  SELECT *, regexp_extract(host, '(?s)^(?:.*@)?(.*?)\.?(?::[0-9]*)?$', 1) AS name, try_cast(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1) AS BIGINT) AS key FROM p
+), r AS (
+  SELECT *, string_split(name, '.') AS a, regexp_matches(name, '^([0-9.]+|\[.*)$') AS ip FROM q
+), u AS (
+  SELECT *, array_to_string(a[-2:], '.') IN ({_TWO}) AS two FROM r
+), v AS (
+  SELECT page_id, host, path, name, key, CASE WHEN ip THEN name WHEN two THEN array_to_string(a[-3:], '.') ELSE array_to_string(a[-2:], '.') END AS domain,
+    CASE WHEN ip THEN 'ip' WHEN two THEN array_to_string(a[-2:], '.') ELSE a[-1] END AS suffix FROM u
+), l AS (
+  SELECT doc_id AS key, max(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM labels
+  WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
+), h AS (
+  SELECT name, domain, suffix, count(l.bad) AS n, count(*) FILTER (l.bad) AS bad FROM v LEFT JOIN l USING (key) GROUP BY ALL
+), s AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT sum(bad) / sum(n) FROM h) AS m FROM h GROUP BY suffix
+), s2 AS (
+  SELECT suffix, (bad + k * m) / (n + k) AS m FROM s, (SELECT 1 / rho - 1 AS k FROM (SELECT {_MOMENTS} AS rho FROM s WHERE n > 0))
+), d AS (
+  SELECT domain, suffix, n, bad, m FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL) JOIN s2 USING (suffix)
+), d2 AS (
+  SELECT domain, suffix, (bad + k * m) / (n + k) AS m FROM d, (SELECT 1 / rho - 1 AS k FROM (SELECT {_MOMENTS} AS rho FROM d WHERE n > 0))
+), e AS (
+  SELECT name, n, bad, m FROM h JOIN d2 USING (domain, suffix)
+), e2 AS (
+  SELECT name, n, bad, bad + k * m AS a, n - bad + k * (1 - m) AS b FROM e, (SELECT 1 / rho - 1 AS k FROM (SELECT {_MOMENTS} AS rho FROM e WHERE n > 0))
+), z AS (
+  SELECT name, n, bad, greatest(0.0, a / (a + b) - 1.6448536269514722 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS low FROM e2
+), f AS (
+  SELECT v.*, z.n, z.bad, z.low, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM v JOIN z USING (name)
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+  n::BIGINT AS n_outcomes, bad::BIGINT AS n_bad, round(low, 6) AS bad_low
+FROM f
+"""
