@@ -53,5 +53,9 @@ def running_sums(df: DataFrame, order: list[str], totals: list[str], by=(), desc
     # a range is one group's rows of one task, so this window is never larger than a sorted range
     inside = W.partitionBy(part, *by).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
     own = placed.withColumns({f"{t}_before": F.coalesce(F.sum(t).over(inside), F.lit(0)) for t in totals})
-    both = own.join(offsets, [*by, part])
+    keys = {c: unused(own, f"_{c}_of") for c in [part, *by]}
+    same = F.lit(True)
+    for c, name in keys.items():
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    both = own.join(offsets.withColumnsRenamed(keys), same)
     return both.select(*df.columns, *[(F.col(f"{t}_before") + F.col(earlier[t])).alias(f"{t}_before") for t in totals])
