@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 
 # Shift and odd multiplier of each mixing round; products stay below 2^63.
 _HASH_ROUNDS = [(16, 2146121005), (15, 830770091)]
+_HIGH = 2246822519
 
 
 def _col(c) -> Column:
@@ -101,11 +102,17 @@ def sign_label(c, positive: str = "正向", negative: str = "负向", zero: str
 
 
 def portable_hash(id_col, seed) -> Column:
-    """Seeded integer hash in [0, 2^32): the same in any engine and for any partitioning."""
+    """Seeded integer hash in [0, 2^32): the same in any engine and for any partitioning.
+
+    The low 31 bits of the id enter with the seed, the others after the first round, so ids that agree in one seed don't agree in all.
+    """
     mod = F.lit(4294967296)
-    x = ((_col(id_col).cast("bigint") % F.lit(2147483648)) * F.lit(2654435761) + _as_col(seed) * F.lit(40503)) % mod
-    for shift, factor in _HASH_ROUNDS:
+    i = _col(id_col).cast("bigint")
+    x = (i.bitwiseAND(F.lit(2147483647)) * F.lit(2654435761) + _as_col(seed) * F.lit(40503)) % mod
+    high = (F.shiftrightunsigned(i, 31).bitwiseAND(F.lit(2147483647)) * F.lit(_HIGH) + F.shiftrightunsigned(i, 62)) % mod
+    for (shift, factor), more in zip(_HASH_ROUNDS, (high, None)):
         x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)) % mod
+        x = x if more is None else x.bitwiseXOR(more)
     return x.bitwiseXOR(F.shiftright(x, 16))
 
 
@@ -115,12 +122,21 @@ def _as_col(x) -> Column:
 
 def portable_hash_array(ids: np.ndarray, seed: int) -> np.ndarray:
     """``portable_hash`` for a block of ids inside a task."""
-    mod = np.uint64(4294967296)
-    x = (ids.astype(np.uint64) % np.uint64(2147483648)) * np.uint64(2654435761) + np.uint64(seed * 40503)
-    x %= mod
-    for shift, factor in _HASH_ROUNDS:
-        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) % mod
-    return x ^ (x >> np.uint64(16))
+    low = np.uint64(4294967295)
+    i = ids.astype(np.int64).view(np.uint64)
+    x = i & np.uint64(2147483647)
+    x *= np.uint64(2654435761)
+    x += np.uint64(seed * 40503)
+    x &= low
+    high = i >> np.uint64(31)
+    for n, (shift, factor) in enumerate(_HASH_ROUNDS):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+        x &= low
+        if n == 0 and high.any():
+            x ^= ((high & np.uint64(2147483647)) * np.uint64(_HIGH) + (i >> np.uint64(62))) & low
+    x ^= x >> np.uint64(16)
+    return x
 
 
 def pass_threshold(value, op, threshold) -> Column:

@@ -28,7 +28,7 @@ def cluster_grid(df: DataFrame, feature_sets=("baseline", "enhanced"), methods=(
             frame = prepared(df, fs, method, id_col)
             _, labelled = C.cluster_two_stage(frame, ks, id_col)
             inner = C.ch_db_indices(labelled, len(ks))
-            sil = C.silhouette(labelled, len(ks), silhouette, id_col)
+            sil = C.silhouette(labelled, len(ks), silhouette)
             metrics += [(fs, method, k, s["silhouette"], s["silhouette_method"], i["calinski_harabasz"], i["davies_bouldin"],
                          i["cluster_size_distribution"]) for k, i, s in zip(ks, inner, sil)]
             long = labelled.select(id_col, F.posexplode("labels").alias("_m", "cluster")).select(

@@ -74,9 +74,9 @@ def _per_fit(frame: DataFrame, n_fits: int, width: int, contribute) -> dict[int,
                     if rows.any():
                         acc[f][0] += int(rows.sum())
                         acc[f][1] += contribute(f, x[rows], y[rows])
-        yield C._emit(acc)
+        yield from C._emit(acc)
 
-    return C.collect_sums(frame.select("z", "y", "fits").mapInArrow(run, C._SUMS), width)
+    return C.collect_sums(frame.select("z", "y", "fits").mapInArrow(run, C._SUMS))
 
 
 def _exp(v: float) -> float:

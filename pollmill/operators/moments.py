@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.pvalues import chi2_tail
+from .partials import add_up, batches_of
 
 
 def block_matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
@@ -63,10 +64,7 @@ def _partials(columns: list[str], by: list[str]):
                     s[0] += len(z)
                     s[1] += z.sum(axis=0)
                     s[2] += (z.T @ z)[iu]
-        rows = [(*k, s[0], s[1].tolist(), s[2].tolist()) for k, s in acc.items()]
-        names = [*by, "n", "s", "q"]
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema(
-            [pa.field(k, pa.string()) for k in by] + [("n", pa.int64()), ("s", pa.list_(pa.float64())), ("q", pa.list_(pa.float64()))]))
+        yield from batches_of(list(acc), [v[0] for v in acc.values()], [np.concatenate(v[1:]) for v in acc.values()], by, [pa.string()] * len(by))
 
     return reduce
 
@@ -79,24 +77,13 @@ def cross_moments(df: DataFrame, columns: list[str], by: list[str] = ()) -> Data
     by = list(by)
     p = len(columns)
     typed = df.select(*[F.col(k).cast("string").alias(k) for k in by], *[F.col(x).cast("double").alias(x) for x in columns])
-    schema = ", ".join([f"`{k}` string" for k in by] + ["n bigint", "s array<double>", "q array<double>"])
-    part = typed.mapInArrow(_partials(list(columns), by), schema)
-    return sum_vectors(part, by, ["s", "q"], {"s": p, "q": p * (p + 1) // 2})
+    schema = ", ".join([f"`{k}` string" for k in by] + ["n bigint", "s array<double>"])
+    return moment_rows(add_up(typed.mapInArrow(_partials(list(columns), by), schema), by), by, p)
 
 
-def sum_vectors(part: DataFrame, by: list[str], arrays: list[str], sizes: dict[str, int]) -> DataFrame:
-    """Element-wise sums of array columns (and of ``n``) per group.
-
-    Elements are summed as rows: a plan with a sum per element compiles slowly once there are hundreds.
-    """
-    joined = part.select(*by, "n", F.posexplode(F.concat(*arrays)).alias("_j", "_v"))
-    sums = joined.groupBy(*by, "_j").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
-    out = sums.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_j", "_v"))), lambda e: e["_v"]).alias("_a"))
-    at, cols = 1, []
-    for a in arrays:
-        cols.append(F.slice("_a", at, sizes[a]).alias(a))
-        at += sizes[a]
-    return out.select(*by, "n", *cols)
+def moment_rows(sums: DataFrame, by: list[str], p: int) -> DataFrame:
+    """The summed array split into the p sums and the products."""
+    return sums.select(*by, "n", F.slice("s", 1, p).alias("s"), F.slice("s", p + 1, p * (p + 1) // 2).alias("q"))
 
 
 def covariance_of(n: int, s, q, ddof: int = 1) -> np.ndarray:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scores as S
 from ..functions.pvalues import normal_p, normal_two_sided
 from . import cluster as C
-from .moments import covariance_of, cross_moments, sum_vectors
+from .moments import covariance_of, cross_moments, moment_rows
+from .partials import add_up, batches_of
 
 _ROWS = "model_id string, subset string, rep int, lhs string, op string, rhs string, estimate double, std_err double, z double, p_value double, est_std double"
 
@@ -222,14 +223,10 @@ def bootstrap_moments(df: DataFrame, columns: list[str], reps: int, seed: int =
                 hi = min(reps, lo + chunk)
                 u = np.column_stack([S.portable_hash_array(ids, seed * 100003 + r) for r in range(lo, hi)]) / 4294967296.0
                 acc[lo:hi] += np.searchsorted(cuts, u.ravel(), side="right").reshape(u.shape).astype(float).T @ v
-        for lo in range(0, reps, chunk):
-            part = acc[lo:lo + chunk]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(lo, lo + len(part)), pa.int32()), pa.array(part[:, 0].astype(np.int64)), pa.array(part[:, 1:1 + p].tolist(), pa.list_(pa.float64())),
-                 pa.array(part[:, 1 + p:].tolist(), pa.list_(pa.float64()))], names=["rep", "n", "s", "q"])
-
-    part = frame.mapInArrow(run, "rep int, n bigint, s array<double>, q array<double>")
-    return sum_vectors(part, ["rep"], ["s", "q"], {"s": p, "q": len(iu[0])}).withColumn("subset", F.lit("main"))
+        yield from batches_of([(r,) for r in range(reps)], acc[:, 0].astype(np.int64).tolist(), list(acc[:, 1:]), ["rep"], [pa.int32()])
+
+    sums = add_up(frame.mapInArrow(run, "rep int, n bigint, s array<double>"), ["rep"])
+    return moment_rows(sums, ["rep"], p).withColumn("subset", F.lit("main"))
 
 
 def indirect_effects(fits: DataFrame, paths: list[tuple]) -> DataFrame:

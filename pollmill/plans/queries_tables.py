@@ -8,6 +8,7 @@ from ..functions import scores as S
 from ..functions.pvalues import chi2_p
 from ..operators import describe as D, moments as M, quality as Q, ranks as K, recode as R
 from ..sources import tables as T
+from ..sources.scratch import cut
 from . import profile as P
 from .queries_quality import clean, clean_ctes, flagged, flags_ctes, scored, scored_ctes, _PRED_SQL
 from .queries_recode import sql_list, _sql_values
@@ -303,11 +304,9 @@ def _(spark, sf):
  h AS (SELECT respondent_id, run, row_number() OVER (PARTITION BY run ORDER BY {sql_hash('respondent_id', 'run')}, respondent_id) AS k FROM r)
  SELECT run, count(*) AS n, cast(sum(respondent_id) AS bigint) AS id_sum, max(respondent_id) AS id_max FROM h WHERE k <= (SELECT round_even(0.7::double * count(*), 0) FROM survey) GROUP BY 1"""))
 def _(spark, sf):
-    from ..operators.stability import membership, resample_cuts
-    s = view(spark, sf, "survey").select("respondent_id")
-    cuts = resample_cuts(s, 120, 0.7, min_n=50)
-    rows = s.withColumn("run", F.explode(membership(cuts)))
-    return rows.groupBy(F.col("run").cast("bigint").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.sum("respondent_id").alias("id_sum"), F.max("respondent_id").alias("id_max"))
+    from ..operators.stability import resample_cuts, resample_summary
+    s = cut(view(spark, sf, "survey").select("respondent_id"))
+    return resample_summary(s, resample_cuts(s, 120, 0.7, min_n=50)).withColumn("run", F.col("run").cast("bigint"))
 
 
 # --- sorts, unions, evidence ------------------------------------------------------------------------

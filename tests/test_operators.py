@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pollmill.functions import pvalues as PV, scores as S, text as X
 from pollmill.operators import cluster as C, describe as D, logit as L, moments as M, quality as Q, ranks as K, recode as R, sem as E, stability as ST
 from pollmill.plans import profile as P, views as V
+from pollmill.operators.partials import add_up, collected
 from pollmill.plans.workbook_data import workbook_bytes
 from pollmill.sources import workbooks as WB
 
@@ -151,19 +152,77 @@ def test_two_stage_recovers_blobs(spark, limit):
     assert len({(int(lab[i]), c) for i, c in found.items()}) == 3
 
 
-def test_silhouette_matches_brute_force_across_tiles(spark, monkeypatch):
+def _silhouette(x, lab, power=1):
+    """Mean silhouette over all pairs."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) ** power
+    out = []
+    for i in range(len(x)):
+        same = (lab == lab[i]) & (np.arange(len(x)) != i)
+        a = d[i, same].mean() if same.any() else 0.0
+        b = min(d[i, lab == c].mean() for c in set(lab.tolist()) - {lab[i]})
+        out.append((b - a) / max(a, b))
+    return np.mean(out)
+
+
+def test_silhouettes_match_all_pairs(spark):
     df, x, lab = _blobs(spark, 90)
     lab = np.where(np.arange(90) < 5, (lab + 1) % 3, lab)
+    lab[7] = 9  # a cluster of one row
     frame = C.cut(df.join(spark.createDataFrame([(i, [int(v) + 1]) for i, v in enumerate(lab)], "respondent_id long, labels array<int>"), "respondent_id"))
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    want = []
-    for i in range(90):
-        a = d[i, (lab == lab[i]) & (np.arange(90) != i)].mean()
-        b = min(d[i, lab == c].mean() for c in set(lab.tolist()) - {lab[i]})
-        want.append((b - a) / max(a, b))
-    monkeypatch.setattr(C, "_TILE", 16)
-    assert C.silhouette(frame, 1, "exact")[0]["silhouette"] == pytest.approx(np.mean(want), abs=1e-10)
-    assert C.silhouette(frame, 1, "micro")[0]["silhouette"] == pytest.approx(np.mean(want), abs=0.1)
+    assert C.silhouette(frame, 1, "squared")[0]["silhouette"] == pytest.approx(_silhouette(x, lab, 2), abs=1e-10)
+    assert C.silhouette(frame, 1, "micro")[0]["silhouette"] == pytest.approx(_silhouette(x, lab), abs=0.02)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    for own, other, got in C.cluster_distances(frame).collect():
+        a, b = lab == own - 1, lab == other - 1
+        assert got == pytest.approx(d2[np.ix_(a, b)].sum() / (a.sum() * (b.sum() - (own == other))), rel=1e-9)
+
+
+def test_sums_of_arrays_in_two_levels(spark):
+    df = spark.range(500, numPartitions=150).select((F.col("id") % 3).cast("int").alias("g"), F.lit(1).cast("long").alias("n"), F.array(F.col("id").cast("double"), F.lit(2.0)).alias("s"))
+    got = collected(df, ["g"])
+    assert {g: (n, s.tolist()) for g, (n, s) in got.items()} == {g: (len(range(g, 500, 3)), [float(sum(range(g, 500, 3))), 2.0 * len(range(g, 500, 3))]) for g in range(3)}
+    assert [(r["n"], r["s"]) for r in add_up(df, []).collect()] == [(500, [124750.0, 1000.0])]
+    assert collected(df.limit(0), ["g"]) == {}
+
+
+def test_run_quantiles_of_discrete_and_continuous_columns(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.integers(1, 6, 3000), rng.normal(size=3000), rng.exponential(size=3000)]).astype(float)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, z array<double>").repartition(6)
+    cuts = ST.resample_cuts(frame, 4, 0.7, id_col="id")
+    probs = [0.25, 0.5, 0.75]
+    got = ST.run_quantiles(ST.with_members(frame, cuts), 4, 3, probs)
+    member = ST._mask(np.arange(3000), cuts)
+    for r in range(4):
+        mine = x[member[:, r]]
+        assert len(mine) == 2100
+        assert got[:, r, 0].tolist() == np.quantile(mine[:, 0], probs).tolist()  # five values: a bin each
+        for j in (1, 2):
+            rank = (mine[:, j][None, :] <= got[:, r, j][:, None]).mean(axis=1)
+            assert np.abs(rank - probs).max() < 0.01
+
+
+@pytest.mark.parametrize("method", ["robust", "zscore"])
+def test_silhouette_of_every_run(spark, method):
+    rng = np.random.default_rng(8)
+    lab = np.arange(500) % 2
+    x = rng.normal(size=(500, 6)) + lab[:, None] * 1.5  # overlapping segments, continuous values
+    raw = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "respondent_id long, z array<double>")
+    labels = spark.createDataFrame([(i, int(v) + 1) for i, v in enumerate(lab)], "respondent_id long, cluster int")
+    runs, persons = ST.stability_resample(raw, labels, 2, method, runs=6)
+    got = {r["run_id"]: r for r in runs.collect()}
+    assert len(got) == 6 and {r["sample_n"] for r in got.values()} == {350} and persons.count() <= 500
+    cuts = ST.resample_cuts(raw, 6, 0.7)
+    member = ST._mask(np.arange(500), cuts)
+    for j, (run, _, _) in enumerate(cuts):
+        sub = x[member[:, j]]
+        q = np.quantile(sub, [0.25, 0.5, 0.75], axis=0)
+        z = (sub - q[1]) / (q[2] - q[0]) if method == "robust" else (sub - sub.mean(axis=0)) / sub.std(axis=0)
+        c = np.array([z[lab[member[:, j]] == k].mean(axis=0) for k in (0, 1)])
+        for _ in range(80):  # k-means from the true segments
+            near = ((z[:, None] - c[None]) ** 2).sum(-1).argmin(axis=1)
+            c = np.array([z[near == k].mean(axis=0) for k in (0, 1)])
+        assert got[run]["silhouette"] == pytest.approx(_silhouette(z, near), abs=0.02)
 
 
 def test_stability_of_clear_segments(spark):
