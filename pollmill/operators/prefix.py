@@ -41,7 +41,7 @@ def row_numbers(df: DataFrame, order: list[Column], out: str) -> DataFrame:
 def running_sums(df: DataFrame, order: list[str], totals: list[str], by=(), descending: bool = False) -> DataFrame:
     """Adds ``<total>_before``: each total summed over the rows before, within the group.
 
-    ``df`` is materialised and holds one row per (group, order) value, so that no range can outgrow the others.
+    Rows of one group that are equal in ``order`` stay in one range and take any order among themselves.
     """
     by = list(by)
     part = unused(df, "_part")
@@ -49,13 +49,21 @@ def running_sums(df: DataFrame, order: list[str], totals: list[str], by=(), desc
     placed = cut(df.repartitionByRange(*by, *keys).withColumn(part, F.spark_partition_id()))
     sums = placed.groupBy(*by, part).agg(*[F.sum(t).alias(t) for t in totals])
     earlier = {t: unused(df, f"_{t}_earlier") for t in totals}
-    offsets = _offsets(sums, by, part, earlier)
+    # only the first group of a range can have begun in a range before: at most one row per range is left
+    offsets = _offsets(sums, by, part, earlier).where(" OR ".join(f"`{e}` <> 0" for e in earlier.values()))
     # a range is one group's rows of one task, so this window is never larger than a sorted range
     inside = W.partitionBy(part, *by).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
     own = placed.withColumns({f"{t}_before": F.coalesce(F.sum(t).over(inside), F.lit(0)) for t in totals})
-    keys = {c: unused(own, f"_{c}_of") for c in [part, *by]}
+    names = {c: unused(own, f"_{c}_of") for c in [part, *by]}
     same = F.lit(True)
-    for c, name in keys.items():
+    for c, name in names.items():
         same = same & F.col(c).eqNullSafe(F.col(name))
-    both = own.join(offsets.withColumnsRenamed(keys), same)
-    return both.select(*df.columns, *[(F.col(f"{t}_before") + F.col(earlier[t])).alias(f"{t}_before") for t in totals])
+    both = own.join(F.broadcast(offsets.withColumnsRenamed(names)), same, "left")
+    return both.select(*df.columns, *[(F.col(f"{t}_before") + F.coalesce(F.col(earlier[t]), F.lit(0))).alias(f"{t}_before") for t in totals])
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], out: str = "row_no", descending: bool = False) -> DataFrame:
+    """Exact row number within the group, whatever share of the rows a group holds."""
+    one = unused(df, "_one")
+    rows = running_sums(df.withColumn(one, F.lit(1).cast("long")), order, [one], by, descending)
+    return rows.select(*df.columns, (F.col(f"{one}_before") + 1).cast("bigint").alias(out))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import scores as S
 from ..functions.text import open_text_gibberish, strip
 from ..plans import profile as P
+from ..sources.scratch import cut
 
 
 def _any(conds) -> Column:
@@ -93,13 +94,18 @@ def answer_key(columns: list[str]) -> Column:
 def flag_duplicate(df: DataFrame, columns: list[str], id_col: str = "respondent_id", out: str = "duplicate_flag") -> DataFrame:
     """1 on every row whose answers an earlier row (by id) has too.
 
-    Answers become a 128-bit key (values and which are missing). Only keys with several rows are kept, and only the ids of
-    repeats join back, so neither wide rows nor unique answers take part in a join.
+    Answers become a 128-bit key (values and which are missing). Keys with several rows come from a partial aggregate; those that
+    at least 1/1024 of the rows hold, so at most 1,024, meet their rows by broadcast, the others by shuffle: no task gets all
+    copies of an answer. Only the ids of repeats join back, by id.
     """
     seen = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
-    keyed = df.select(F.col(id_col).alias("_id"), F.xxhash64(F.lit(1), *seen).alias("_k1"), F.xxhash64(F.lit(2), *reversed(seen)).alias("_k2"))
-    several = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    repeats = keyed.join(several, ["_k1", "_k2"]).filter("_id <> _first").select("_id")
+    keyed = cut(df.select(F.col(id_col).alias("_id"), F.xxhash64(F.lit(1), *seen).alias("_k1"), F.xxhash64(F.lit(2), *reversed(seen)).alias("_k2")))
+    keys = ["_k1", "_k2"]
+    several = cut(keyed.groupBy(*keys).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    share = keyed.agg(F.count(F.lit(1)) / 1024.0).scalar()
+    heavy = F.broadcast(several.filter(F.col("_n") >= share).select(*keys, "_first"))
+    light = keyed.join(F.broadcast(several.filter(F.col("_n") >= share).select(*keys)), keys, "left_anti").join(several.filter(F.col("_n") < share).select(*keys, "_first"), keys)
+    repeats = keyed.join(heavy, keys).unionByName(light).filter("_id <> _first").select("_id").distinct()
     return df.join(repeats, F.col(id_col) == F.col("_id"), "left").withColumn(out, F.col("_id").isNotNull().cast("int")).drop("_id")
 
 

@@ -1,119 +1,57 @@
 """Mid-ranks, exact row numbers and rank-based metrics without a global window.
 
-Ranks are taken over distinct values and their counts.  When there are many distinct values
-they are cut into ranges at fixed split points, so no window task holds more than one range.
+Ranks are taken over distinct values and their counts, added up over sorted ranges (``prefix``): one plan at every size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import portable_hash
 from ..sources.scratch import cut
-
-_VALUES_PER_RANGE = 200_000
-_COARSE = 64
-
-
-def _range_column(values: DataFrame, value: str) -> Column | None:
-    """Range number of a value, or None when one range is enough.
-
-    The split points are at most 4,095 quantiles of the distinct values, read once, so every
-    use of the column sees the same ranges.
-    """
-    probs = [i / (_COARSE * _COARSE) for i in range(1, _COARSE * _COARSE)]
-    n = values.count()
-    if n <= _VALUES_PER_RANGE:
-        return None
-    splits = sorted(set(values.agg(F.percentile_approx(value, F.lit(probs), F.lit(20000))).first()[0]))
-    groups = [splits[i:i + _COARSE] for i in range(0, len(splits), _COARSE)]
-    heads = F.array(*[F.lit(float(g[0])) for g in groups])
-    tails = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in groups])
-    v = F.col(value).cast("double")
-    outer = F.size(F.filter(heads, lambda s: s <= v))
-    inner = F.size(F.filter(F.element_at(tails, F.greatest(outer, F.lit(1))), lambda s: s <= v))
-    return outer * 1000 + F.when(outer > 0, inner).otherwise(0)
+from .prefix import numbered, running_sums, unused
+from .skew import lookup
 
 
 def running_totals(values: DataFrame, value: str, totals: list[str], by=(), descending: bool = False) -> DataFrame:
     """Adds ``<total>_before``: the sum of each total over all smaller values of the group (larger if descending).
 
-    ``values`` holds one row per (group, value).  Pass a materialised table (``cut``): it is read
-    several times, and the rows behind it should be scanned once.
+    ``values`` holds one row per (group, value).
     """
-    def order(c):
-        return F.col(c).desc() if descending else F.col(c)
-
-    part = _range_column(values, value)
-    if part is None:
-        w = W.partitionBy(*by).orderBy(order(value)).rowsBetween(W.unboundedPreceding, -1)
-        return values.withColumns({f"{t}_before": F.coalesce(F.sum(t).over(w), F.lit(0)) for t in totals})
-    placed = values.withColumn("_range", part)
-    ranges = placed.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
-    w = W.partitionBy(*by).orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranges.select(*by, "_range", *[F.coalesce(F.sum(f"_{t}").over(w), F.lit(0)).alias(f"_{t}") for t in totals])
-    inside = W.partitionBy(*by, "_range").orderBy(order(value)).rowsBetween(W.unboundedPreceding, -1)
-    out = placed.withColumns({f"_in_{t}": F.coalesce(F.sum(t).over(inside), F.lit(0)) for t in totals}).join(offsets, [*by, "_range"])
-    return out.select(*values.columns, *[(F.col(f"_{t}") + F.col(f"_in_{t}")).alias(f"{t}_before") for t in totals])
+    return running_sums(values, [value], totals, by, descending)
 
 
 def value_ranks(df: DataFrame, value: str, by=()) -> DataFrame:
     """(by, value, n, avg_rank): the mid-rank of each distinct value within its group."""
-    values = cut(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
+    values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     return running_totals(values, value, ["n"], by).withColumn(
         "avg_rank", F.col("n_before") + (F.col("n") + 1) / 2.0).drop("n_before")
 
 
 def avg_rank(df: DataFrame, value: str, by=(), out: str = "avg_rank") -> DataFrame:
-    """Mid-rank of each row: ranks of the distinct values joined back.
-
-    A value held by at least 1/1024 of the rows (so at most 1,024 values) is looked up by broadcast;
-    the other values are joined by shuffle, where no key is hot any more.
-    """
+    """Mid-rank of each row, looked up from the ranks of the distinct values (``skew.lookup``); missing values have none."""
     keys = [*by, value]
-    ranks = value_ranks(df, value, by)
-    share = ranks.agg((F.sum("n") / 1024.0)).scalar()
-    hot = F.broadcast(ranks.filter(F.col("n") >= share).select(*keys, F.col("avg_rank").alias(out)))
-    rest = df.join(hot.select(*keys), keys, "left_anti").join(ranks.select(*keys, F.col("avg_rank").alias(out)), keys, "left")
-    return df.join(hot, keys).unionByName(rest)
-
-
-def numbered(df: DataFrame, by: list[str], order: list[str], bucket: Column, out: str = "row_no") -> DataFrame:
-    """Exact row_number per group for groups that may hold a third of all rows.
-
-    ``bucket`` must not decrease along ``order``; rows are numbered inside (group, bucket) and
-    shifted by the counts of the earlier buckets, so a hot group is many tasks, not one.
-    """
-    placed = df.withColumn("_bucket", bucket)
-    counts = placed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(*order))
-    return (placed.withColumn("_in", inside).join(offsets, [*by, "_bucket"])
-            .withColumn(out, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_bucket", "_before", "_in"))
+    rows = cut(df)
+    return lookup(rows, value_ranks(rows, value, by).select(*keys, F.col("avg_rank").alias(out)), keys)
 
 
 def stratified_folds(df: DataFrame, label: str, k: int, seed: int, id_col: str = "respondent_id") -> DataFrame:
     """Balanced fold number per row: rows of each class numbered by a seeded hash, modulo k."""
-    out = numbered(df.withColumn("_h", portable_hash(id_col, seed)), [label], ["_h", id_col], F.floor(F.col("_h") / 4194304.0))
-    return out.withColumn("fold", ((F.col("row_no") - 1) % k).cast("int")).drop("_h", "row_no")
+    h, no = unused(df, "_h"), unused(df, "_no")
+    out = numbered(df.withColumn(h, portable_hash(id_col, seed)), [label], [h, id_col], no)
+    return out.withColumn("fold", ((F.col(no) - 1) % k).cast("int")).drop(h, no)
 
 
-def dup_rank(df: DataFrame, key: Column, id_col: str = "respondent_id", bucket_width: int = 65536) -> DataFrame:
+def dup_rank(df: DataFrame, key: Column, id_col: str = "respondent_id") -> DataFrame:
     """Occurrence number and total per answer key, in id order."""
-    keyed = df.withColumn("_key", key)
-    n = numbered(keyed, ["_key"], [id_col], F.floor(F.col(id_col) / bucket_width), "occurrence").select(id_col, "occurrence")
-    # Only repeated answers carry a total back; the salt spreads a hot answer over many tasks.
+    keyed = cut(df.withColumn("_key", key))
+    n = numbered(keyed.select(id_col, "_key"), ["_key"], [id_col], "occurrence").select(id_col, "occurrence")
+    # Only repeated answers carry a total back; a hot answer is looked up by broadcast.
     repeated = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
-    salted = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    base = df.withColumns({"_key": key, "_salt": F.pmod(F.col(id_col), F.lit(_SALTS)).cast("int")})
-    out = base.join(salted, ["_key", "_salt"], "left").drop("_key", "_salt")
+    out = lookup(keyed, repeated, ["_key"]).drop("_key")
     return out.withColumn("total", F.coalesce("total", F.lit(1).cast("bigint"))).join(n, id_col)
 
 
-_SALTS = 32
-
-
 def auc_rank(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     """(by, n_pos, n_neg, auc) from mid-ranks of the scores."""
     ranks = _class_counts(df, label, score, by)

@@ -285,7 +285,7 @@ def _(spark, sf):
 def _(spark, sf):
     cols = ["C001", "C002", "C008", "C024", "ip"]
     s = view(spark, sf, "survey").select("respondent_id", *cols)
-    return K.dup_rank(s, Q.answer_key(cols), bucket_width=4096).select("respondent_id", "occurrence", "total")
+    return K.dup_rank(s, Q.answer_key(cols)).select("respondent_id", "occurrence", "total")
 
 
 @query("run_islands", oracle("survey", runs_ctes() + " SELECT respondent_id, v, first_pos, len FROM runs"))

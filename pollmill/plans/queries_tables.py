@@ -338,7 +338,7 @@ def _(spark, sf):
 def _(spark, sf):
     # Positions of the sorted table, numbered without sorting a whole model in one task.
     o = load(spark, sf, "orders").withColumn("_a", F.abs(F.col("o_totalprice") - 200000))
-    out = K.numbered(o, ["o_orderpriority"], [F.col("_a").desc(), F.col("o_orderkey")], F.floor(-F.col("_a") / 1000.0), "pos")
+    out = K.numbered(o.withColumn("_down", -F.col("_a")), ["o_orderpriority"], ["_down", "o_orderkey"], "pos")
     return out.select(F.col("o_orderpriority").alias("model"), "o_orderkey", "o_totalprice", "pos").orderBy("model", "pos")
 
 
