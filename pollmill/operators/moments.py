@@ -109,17 +109,22 @@ def _moment_row(df: DataFrame, columns: list[str]):
 
 def covariance_table(df: DataFrame, columns: list[str], by: list[str] = (), ddof: int = 1) -> DataFrame:
     """(by, n, var1, var2, cov, corr) for every pair, computed from the moment rows in the engine."""
-    p = len(columns)
-    iu = list(zip(*np.triu_indices(p)))
+    rows, cols = (x.tolist() for x in np.triu_indices(len(columns)))
     m = cross_moments(df, columns, by)
-    pos = {ij: n for n, ij in enumerate(iu)}
+    n = F.col("n").cast("double")
+    # one expression over the positions: a term per pair would make the plan grow with the square of the columns
+    first, second, names = F.lit(rows), F.lit(cols), F.lit(list(columns))
+    diagonal = F.lit([k for k, (i, j) in enumerate(zip(rows, cols)) if i == j])
+
+    def cov(k, i, j):
+        return (F.get("q", k) - F.get("s", i) * F.get("s", j) / n) / (n - float(ddof))
 
-    def c(i, j):
-        n = F.col("n").cast("double")
-        return (F.col("q")[pos[(int(i), int(j))]] - F.col("s")[int(i)] * F.col("s")[int(j)] / n) / (n - float(ddof))
+    def cell(k):
+        i, j = F.get(first, k), F.get(second, k)
+        spread = F.sqrt(cov(F.get(diagonal, i), i, i) * cov(F.get(diagonal, j), j, j))
+        return F.struct(F.get(names, i).alias("var1"), F.get(names, j).alias("var2"), cov(k, i, j).alias("cov"), F.nullif(spread, F.lit(0.0)).alias("_d"))
 
-    cells = F.array(*[F.struct(F.lit(columns[i]).alias("var1"), F.lit(columns[j]).alias("var2"), c(i, j).alias("cov"),
-                               F.nullif(F.sqrt(c(i, i) * c(j, j)), F.lit(0.0)).alias("_d")) for i, j in iu])
+    cells = F.transform(F.sequence(F.lit(0), F.lit(len(rows) - 1)), cell)
     return m.select(*by, "n", F.inline(cells)).withColumn("corr", F.col("cov") / F.col("_d")).drop("_d")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import scores as S, text as X
 from ..operators import describe as D, quality as Q, ranks as K, recode as R
 from ..sources import tables as T
+from ..sources.scratch import once
 from . import profile as P
 from .queries_recode import runs_ctes, sql_gibberish, sql_list, sql_norm, sql_strip, _sql_values, WS
 from .registry import query, r6, rounded
@@ -59,7 +60,8 @@ def score_columns():
 
 
 def flagged(spark, sf, profile=Q.BALANCED):
-    return Q.quality_profile(view(spark, sf, "survey"), profile)
+    """The survey with its flags: screened once an application, then read by every query that starts from it."""
+    return once(spark, f"flagged-{profile}", load(spark, sf, "orders"), lambda: Q.quality_profile(view(spark, sf, "survey"), profile))
 
 
 def clean(spark, sf, extra=()):

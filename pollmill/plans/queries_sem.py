@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mca as A, sem as E
 from . import profile as P
-from .queries_quality import scored
+from .queries_quality import scored, scored_ctes
 from .queries_recode import SQL_ERF
 from .registry import query, r6, rounded
 from .views import load, oracle, view
@@ -43,10 +43,10 @@ def _(spark, sf):
 
 
 # The total inertia of q items with J levels in all is (J - q) / q.
-@query("mca_inertia", oracle("survey", "SELECT round((" + " + ".join(f"count(DISTINCT {c})" for c in P.MCA_ITEMS) + f" - {len(P.MCA_ITEMS)}) / {len(P.MCA_ITEMS)}.0::double, 6) AS total_inertia FROM survey WHERE "
+@query("mca_inertia", oracle("survey", scored_ctes() + " SELECT round((" + " + ".join(f"count(DISTINCT {c})" for c in P.MCA_ITEMS) + f" - {len(P.MCA_ITEMS)}) / {len(P.MCA_ITEMS)}.0::double, 6) AS total_inertia FROM scored WHERE "
        + " AND ".join(f"{c} IS NOT NULL" for c in P.MCA_ITEMS)))
 def _(spark, sf):
-    return A.mca_columns(view(spark, sf, "survey"), P.MCA_ITEMS)[1].agg(r6(F.sum("eigenvalue")).alias("total_inertia"))
+    return A.mca_columns(scored(spark, sf), P.MCA_ITEMS)[1].agg(r6(F.sum("eigenvalue")).alias("total_inertia"))
 
 
 @query("top_loadings")
@@ -164,5 +164,4 @@ def _(spark, sf):
 
 @query("bootstrap_indirect")
 def _(spark, sf):
-    m = "intent_partial_v1"
-    return E.bootstrap_indirect(view(spark, sf, "sem"), P.SEM_COLUMNS, {m: P.SEM_SPECS[m]}, [x for x in P.INDIRECT_PATHS if x[0] == m])
+    return E.bootstrap_indirect(view(spark, sf, "sem"), P.SEM_COLUMNS, {m: P.SEM_SPECS[m] for m in dict.fromkeys(x[0] for x in P.INDIRECT_PATHS)}, P.INDIRECT_PATHS)

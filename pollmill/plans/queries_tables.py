@@ -6,10 +6,11 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import scores as S
 from ..functions.pvalues import chi2_p
-from ..operators import describe as D, moments as M, quality as Q, ranks as K, recode as R
+from ..operators import describe as D, logit as L, moments as M, quality as Q, ranks as K, recode as R
 from ..sources import tables as T
 from ..sources.scratch import cut
 from . import profile as P
+from .newton_sql import newton, two_sided
 from .queries_quality import clean, clean_ctes, flagged, flags_ctes, scored, scored_ctes, _PRED_SQL
 from .queries_recode import sql_list, _sql_values
 from .registry import query, r6, rounded
@@ -20,6 +21,36 @@ def _long_sql(cols, src="scored", name="code"):
     return f"lng AS (SELECT unnest({[c for c in cols]}) AS item, unnest({sql_list(cols)}) AS {name} FROM {src})"
 
 
+# --- the fitted base model ---------------------------------------------------------------------
+def recursive(sql):
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+LOGIT_TERMS = ["Intercept", *P.LOGIT_FEATURES]
+
+
+def _logit_rows(fit, y, where):
+    cols = list(P.LOGIT_FEATURES.values())
+    return f"SELECT '{fit}' AS fit, [1.0::double, {', '.join(f'{c}::double' for c in cols)}] AS x, {y}::double AS y FROM scored WHERE {where} AND " + " AND ".join(f"{c} IS NOT NULL" for c in cols)
+
+
+_LOGIT_FITS = [("main", "visit_depth_bin", "true"), ("sens", "visit_depth_bin", "attention_flag = 0 AND logic_branch_flag = 0"), ("eq1", "visit_depth_bin", "C064 = 1 AND logic_branch_flag = 0"),
+               ("eq5", "visit_depth_bin", "C064 = 5 AND logic_branch_flag = 0"), ("alt_stay", "cast(coalesce(C024 >= 3, false) AS int)", "true"), ("alt_spend", "cast(coalesce(C025 >= 3, false) AS int)", "true")]
+_Q = len(LOGIT_TERMS)
+# terms(fit, term, coef, std_err, z, p_value, odds_ratio, marginal_effect) of the base model on every sample and response, on features standardised over the fit's rows.
+LOGIT_CTES = newton("fits", " UNION ALL ".join(_logit_rows(*f) for f in _LOGIT_FITS), _Q) + f""", unit AS (SELECT fit, [{', '.join(['1.0::double'] + [f'avg(x[{i}])' for i in range(2, _Q + 1)])}] AS mean,
+  [{', '.join(['1.0::double'] + [f'CASE WHEN stddev_pop(x[{i}]) < 1e-10 THEN 1.0 ELSE stddev_pop(x[{i}]) END' for i in range(2, _Q + 1)])}] AS sd FROM fits_x GROUP BY fit),
+ scaled AS (SELECT fit, list_transform(b, lambda v, i: CASE WHEN i = 1 THEN list_dot_product(b, mean) ELSE v * sd[i] END) AS b,
+  list_transform(inv, lambda r, i: sqrt(greatest(1e-12, CASE WHEN i = 1 THEN list_dot_product(mean, list_transform(inv, lambda m: list_dot_product(m, mean))) ELSE r[i] * sd[i] * sd[i] END))) AS se FROM fits JOIN unit USING (fit)),
+ raw_terms AS (SELECT fit, unnest({LOGIT_TERMS}) AS term, unnest(b) AS coef, unnest(se) AS std_err, 1 / (1 + exp(-b[1])) AS pb FROM scaled),
+ terms AS (SELECT *, coef / std_err AS z, {two_sided('(coef / std_err)')} AS p_value, exp(coef) AS odds_ratio, CASE WHEN term <> 'Intercept' THEN coef * pb * (1 - pb) END AS marginal_effect FROM raw_terms)"""
+
+
+def main_logit(spark, sf):
+    """Terms of the base model fitted on the screened sample."""
+    return L.logit_fit(scored(spark, sf), "visit_depth_bin", P.LOGIT_FEATURES, {"main": F.lit(True)})[0]
+
+
 # --- counts -------------------------------------------------------------------------------
 @query("freq_table", oracle("survey", scored_ctes() + ", " + _long_sql(P.SINGLES) + """,
  f AS (SELECT item, code, count(*) AS count FROM lng WHERE code IS NOT NULL GROUP BY 1, 2)
@@ -46,14 +77,14 @@ _PAIRS = P.CROSS_PAIRS
 
 
 def _pairs_sql(pairs=_PAIRS):
-    return "cells AS (" + " UNION ALL ".join(
-        f"SELECT '{a}' AS var1, '{b}' AS var2, {a} AS c1, {b} AS c2, count(*) AS o FROM survey WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}" for a, b in pairs) + ")"
+    return scored_ctes() + ", cells AS (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS var1, '{b}' AS var2, {a} AS c1, {b} AS c2, count(*) AS o FROM scored WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}" for a, b in pairs) + ")"
 
 
 @query("crosstab_counts", oracle("survey", _pairs_sql() + """, g AS (SELECT DISTINCT a.var1, a.var2, a.c1, b.c2 FROM cells a JOIN cells b ON a.var1 = b.var1 AND a.var2 = b.var2)
  SELECT g.var1, g.var2, cast(g.c1 AS varchar) AS var1_code, cast(g.c2 AS varchar) AS var2_code, coalesce(o, 0) AS count FROM g LEFT JOIN cells USING (var1, var2, c1, c2)"""))
 def _(spark, sf):
-    return D.crosstab_counts(view(spark, sf, "survey"), _PAIRS)
+    return D.crosstab_counts(scored(spark, sf), _PAIRS)
 
 
 _MARGIN_SQL = """m AS (SELECT *, sum(o) OVER (PARTITION BY var1, var2, c1) AS rt, sum(o) OVER (PARTITION BY var1, var2, c2) AS ct, sum(o) OVER (PARTITION BY var1, var2) AS n FROM cells)"""
@@ -62,11 +93,11 @@ _MARGIN_SQL = """m AS (SELECT *, sum(o) OVER (PARTITION BY var1, var2, c1) AS rt
 @query("margin_totals", oracle("survey", _pairs_sql() + f", {_MARGIN_SQL}" + """ SELECT var1, var2, cast(c1 AS varchar) AS var1_code, cast(c2 AS varchar) AS var2_code, o AS count,
  cast(rt AS bigint) AS row_total, cast(ct AS bigint) AS col_total, cast(n AS bigint) AS grand_total FROM m"""))
 def _(spark, sf):
-    return D.margin_totals(D.pair_counts(view(spark, sf, "survey"), _PAIRS))
+    return D.margin_totals(D.pair_counts(scored(spark, sf), _PAIRS))
 
 
 def _chi2_tables(spark, sf):
-    a = D.pair_counts(view(spark, sf, "survey"), _PAIRS)
+    a = D.pair_counts(scored(spark, sf), _PAIRS)
     return a.unionByName(D.pair_counts(load(spark, sf, "lineitem"), [("l_returnflag", "l_linestatus")]))
 
 
@@ -88,13 +119,13 @@ def _(spark, sf):
     return rounded(K.cramers_v(D.chi2_from_counts(_chi2_tables(spark, sf))).select("var1", "var2", "cramers_v"), "cramers_v")
 
 
-@query("two_by_two", oracle("survey", """y AS (SELECT cast(C090 <= 2 AS int) AS a, cast(C091 <= 2 AS int) AS b FROM survey WHERE C090 IS NOT NULL AND C091 IS NOT NULL),
+@query("two_by_two", oracle("survey", scored_ctes() + """, y AS (SELECT cast(C090 <= 2 AS int) AS a, cast(C091 <= 2 AS int) AS b FROM scored WHERE C090 IS NOT NULL AND C091 IS NOT NULL),
  t AS (SELECT count(*)::double AS n, count_if(a = 1 AND b = 1)::double AS p, count_if(a = 1 AND b = 0)::double AS q, count_if(a = 0 AND b = 1)::double AS r, count_if(a = 0 AND b = 0)::double AS s FROM y)
  SELECT 'n_total' AS metric, n AS value FROM t UNION ALL SELECT 'p_b_high_given_a_high', round(p / greatest(p + q, 1), 6) FROM t UNION ALL SELECT 'p_b_high_given_a_low', round(r / greatest(r + s, 1), 6) FROM t
  UNION ALL SELECT 'rate_diff', round(p / greatest(p + q, 1) - r / greatest(r + s, 1), 6) FROM t UNION ALL SELECT 'odds_ratio_unadjusted', round((p * s + 1e-9) / (q * r + 1e-9), 6) FROM t
  UNION ALL SELECT 'cell_1_1', p FROM t UNION ALL SELECT 'cell_1_0', q FROM t UNION ALL SELECT 'cell_0_1', r FROM t UNION ALL SELECT 'cell_0_0', s FROM t"""))
 def _(spark, sf):
-    s = view(spark, sf, "survey").select(S.recode_binary_high("C090").alias("a"), S.recode_binary_high("C091").alias("b"))
+    s = scored(spark, sf).select(S.recode_binary_high("C090").alias("a"), S.recode_binary_high("C091").alias("b"))
     return rounded(D.two_by_two(s, "a", "b"), "value")
 
 
@@ -108,13 +139,13 @@ def _(spark, sf):
     return rounded(M.cronbach_alpha(clean(spark, sf), P.RELIABILITY_BLOCKS), "alpha")
 
 
-_CORR = ["C002", "C006", "C052", "C066", "C076", "C088"]
+_CORR = P.SCALE_ITEMS
 
 
-@query("corr_matrix", oracle("survey", "z AS (SELECT * FROM survey WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _CORR) + ") " + " UNION ALL ".join(
-    f"SELECT '{a}' AS var1, '{b}' AS var2, count(*) AS n, round(corr({a}, {b}), 6) AS corr FROM z" for i, a in enumerate(_CORR) for b in _CORR[i:])))
+@query("corr_matrix", oracle("survey", scored_ctes() + f", z AS MATERIALIZED (SELECT {sql_list(_CORR)} AS v FROM scored WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _CORR) + f"""), k AS (SELECT {list(_CORR)} AS names)
+ SELECT names[i] AS var1, names[j] AS var2, count(*) AS n, round(corr(v[i], v[j]), 6) AS corr FROM z, k, range(1, {len(_CORR) + 1}) a(i), range(1, {len(_CORR) + 1}) b(j) WHERE i <= j GROUP BY names, i, j"""))
 def _(spark, sf):
-    return rounded(M.corr_matrix(view(spark, sf, "survey"), _CORR), "corr")
+    return rounded(M.corr_matrix(scored(spark, sf), _CORR), "corr")
 
 
 @query("safe_corr", oracle("survey", "SELECT count(*) AS n, round(corr(C066, C076), 6) AS corr FROM survey WHERE C066 IS NOT NULL AND C076 IS NOT NULL"))
@@ -363,35 +394,41 @@ def _evidence(spark, sf):
     pri = R.join_item_text(D.ipa_priority(D.ipa(s), 3).withColumn("col_idx", F.col("importance_col")), items)
     pri = pri.withColumn("rank", F.row_number().over(W.partitionBy().orderBy("gap_perf_minus_imp", "item_no")))
     top = R.join_item_text(D.top_options(D.multi_select_rate(s, P.PROJECTS + P.PROMOS), _OPT_BLOCKS).withColumn("col_idx", D.item_number()), items)
+    names = spark.createDataFrame([(f[0], f[1]) for f in P.FIELD_MAP], "term string, label string")
+    effects = L.top_effects(main_logit(spark, sf)).join(F.broadcast(names), "term", "left").withColumn("item_text", F.coalesce("label", "term"))
+    effects = effects.withColumn("rank", F.row_number().over(W.partitionBy().orderBy(F.abs("coef").desc(), "term")))
     return D.evidence_table([D.evidence_rows("ipa", pri, 1), D.evidence_rows("project", top.filter("block = 'projects'"), 2),
-                             D.evidence_rows("promo", top.filter("block = 'promos'"), 3)])
+                             D.evidence_rows("promo", top.filter("block = 'promos'"), 3), D.evidence_rows("logit", effects, 4)])
 
 
 _TEXTS_SQL = f"texts AS (SELECT * FROM {_sql_values([(i, t) for i, t in enumerate(P.ITEM_TEXTS, 1)], 'col_idx, item_text')})"
-_EVIDENCE_SQL = f""", {IPA_CTE}, {_TOP_SQL}, {_TEXTS_SQL},
+_EVIDENCE_SQL = f""", {LOGIT_CTES}, fm AS (SELECT * FROM {_sql_values([(f[0], f[1]) for f in P.FIELD_MAP], 'term, label')}), {IPA_CTE}, {_TOP_SQL}, {_TEXTS_SQL},
  src AS (SELECT 1 AS source_no, row_number() OVER (ORDER BY gap, item_no) AS rank, '高重要度低满意：' || item_text AS problem,
   '重要度均值' || format('{{:.3f}}', im) || '，满意度均值' || format('{{:.3f}}', pm) || '，差值' || format('{{:.3f}}', gap) AS evidence, '纳入季度优先整改清单，配置专项预算和KPI跟踪。' AS suggestion
   FROM ipa JOIN texts ON importance_col = col_idx WHERE quadrant = 'Q4_改进区' QUALIFY rank <= 3 UNION ALL
+ SELECT 4, row_number() OVER (ORDER BY abs(coef) DESC, term) AS rank, '深入游览关键影响因子：' || coalesce(label, term) || CASE WHEN coef > 0 THEN '（正向）' ELSE '（负向）' END,
+  'coef=' || format('{{:.3f}}', coef) || ', OR=' || format('{{:.3f}}', odds_ratio) || ', p=' || format('{{:.4f}}', p_value), '围绕该因子制定分层触达与产品优化策略，作为转化抓手。'
+  FROM terms LEFT JOIN fm USING (term) WHERE fit = 'main' AND term <> 'Intercept' AND p_value < 0.05 QUALIFY rank <= 3 UNION ALL
  SELECT CASE block WHEN 'projects' THEN 2 ELSE 3 END, rank, CASE block WHEN 'projects' THEN '新增项目需求集中于：' ELSE '优惠机制偏好集中于：' END || item_text,
   '选择率' || format('{{:.2f}}', selected_pct) || '%（' || selected_count || '/' || valid_n || '）',
   CASE block WHEN 'projects' THEN '优先开发该类中医药文旅产品，做小规模A/B试点后扩容。' ELSE '将高偏好优惠形式与核心产品绑定，提升转化和复游。' END FROM top JOIN texts ON cast(substr(item, 2) AS int) = col_idx),
  ev AS (SELECT cast(row_number() OVER (ORDER BY source_no, rank) AS int) AS priority, problem, evidence, suggestion FROM src)"""
 
 
-@query("evidence_table", oracle("survey", scored_ctes() + _EVIDENCE_SQL + " SELECT * FROM ev"))
+@query("evidence_table", recursive(oracle("survey", scored_ctes() + _EVIDENCE_SQL + " SELECT * FROM ev")))
 def _(spark, sf):
     return _evidence(spark, sf)
 
 
-@query("priority_number", oracle("survey", scored_ctes() + _EVIDENCE_SQL + " SELECT priority, problem FROM ev"))
+@query("priority_number", recursive(oracle("survey", scored_ctes() + _EVIDENCE_SQL + " SELECT priority, problem FROM ev")))
 def _(spark, sf):
     return _evidence(spark, sf).select("priority", "problem")
 
 
-@query("action_matrix", oracle("survey", scored_ctes() + _EVIDENCE_SQL + f""", rules AS (SELECT * FROM {_sql_values(P.ACTION_RULES, 'rule_no, keyword, owner, time_window, kpi')}),
+@query("action_matrix", recursive(oracle("survey", scored_ctes() + _EVIDENCE_SQL + f""", rules AS (SELECT * FROM {_sql_values(P.ACTION_RULES, 'rule_no, keyword, owner, time_window, kpi')}),
  hit AS (SELECT priority, arg_min(owner, rule_no) AS owner, arg_min(time_window, rule_no) AS time_window, arg_min(kpi, rule_no) AS kpi FROM ev JOIN rules ON contains(problem, keyword) GROUP BY 1)
  SELECT priority, problem, evidence, suggestion AS action, coalesce(owner, '街区运营中心') AS owner, coalesce(time_window, '0-3个月') AS time_window, coalesce(kpi, '相关指标较基线提升>=10%') AS kpi,
- '预算审批+跨部门协同' AS depends_on FROM ev LEFT JOIN hit USING (priority)"""))
+ '预算审批+跨部门协同' AS depends_on FROM ev LEFT JOIN hit USING (priority)""")))
 def _(spark, sf):
     return D.action_matrix(_evidence(spark, sf), P.action_rule_table(spark))
 

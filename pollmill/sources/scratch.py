@@ -24,6 +24,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_KEPT: dict[tuple, tuple[str, object]] = {}
+
+
+def once(spark: SparkSession, name: str, source: DataFrame, make) -> DataFrame:
+    """make()'s result, written to the shared folder the first time and read from there by all later uses in this application.
+
+    Known by its name and the files of ``source``; ``forget`` drops what is known, for sources rewritten under the same names.
+    """
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(source.inputFiles())))
+    if key not in _KEPT:
+        made, path = make(), new_path(spark, name)
+        made.write.parquet(path)
+        _KEPT[key] = (path, made.schema)
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut lineage in reliable storage; survives the loss of executors."""
     spark = df.sparkSession

@@ -326,3 +326,56 @@ def test_seventy_labels_and_two_models_keep_their_sums_apart(spark):
     assert fine["silhouette"] > 0.9 > coarse["silhouette"]
     a, b = C.ch_db_indices(frame, 2)
     assert a["cluster_size_distribution"] == "|".join(["4"] * 70) and b["cluster_size_distribution"] == "140|140"
+
+
+def _newton(x, y, ridge=0.0):
+    d, b = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-d @ b))
+        held = np.r_[0, b[1:]]
+        h = (d * (p * (1 - p))[:, None]).T @ d + np.diag(np.r_[0, np.full(x.shape[1], ridge)])
+        b = b + np.linalg.solve(h, d.T @ (y - p) - ridge * held)
+    p = 1 / (1 + np.exp(-d @ b))
+    return b, np.linalg.inv((d * (p * (1 - p))[:, None]).T @ d), d, p
+
+
+def test_models_of_other_responses_features_and_rows_share_passes(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 2))
+    level = rng.integers(1, 4, 400)
+    u, v = (rng.random(400) < 1 / (1 + np.exp(-x[:, 0]))).astype(float), (rng.random(400) < 1 / (1 + np.exp(x[:, 1] - level + 2))).astype(float)
+    rows = [(i, *map(float, x[i]), float(level[i]) if i % 50 else None, float(u[i]), float(v[i]) if i % 40 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "respondent_id long, a double, b double, g double, u double, v double")
+    got = L.Formulas(df, [("m1", "u", ["a"]), ("m2", "v", ["a", "b"])], ["g"])
+    coefs = {(r["model_id"], r["term"]): r for r in got.coefficients().collect()}
+    known = np.arange(400) % 50 != 0
+    dummies = np.column_stack([level == 2, level == 3]).astype(float)
+    for m, y, cols, ok in (("m1", u, x[:, :1], known), ("m2", v, x, known & (np.arange(400) % 40 != 0))):
+        b, cov, d, p = _newton(np.column_stack([cols, dummies])[ok], y[ok])
+        h = np.einsum("ij,jk,ik->i", d, cov, d) * p * (1 - p)
+        e = (y[ok] - p) / (1 - h)
+        hc3 = np.sqrt(np.diag(cov @ ((d * (e ** 2)[:, None]).T @ d) @ cov))
+        terms = ["Intercept", *("ab"[:cols.shape[1]]), "C(g)[T.2]", "C(g)[T.3]"]
+        assert [coefs[m, t]["coef"] for t in terms] == pytest.approx(b.tolist(), abs=1e-7)
+        assert [coefs[m, t]["robust_se"] for t in terms] == pytest.approx(hc3.tolist(), rel=1e-6)
+        assert coefs[m, "a"]["z"] == pytest.approx(b[1] / hc3[1], rel=1e-6)
+        assert coefs[m, "a"]["marginal_effect"] == pytest.approx(b[1] * (p * (1 - p)).mean(), rel=1e-6)
+    assert [r["converged"] for r in got.fit_rows().collect()] == [True, True]
+
+
+def test_separated_classes_have_no_estimates_but_predictions(spark):
+    df = spark.range(200).select(F.col("id").alias("respondent_id"), (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 10 >= 5).cast("int").alias("y"))
+    fit = L.Formulas(df, [("m", "y", ["x"])], [])
+    assert fit.fit_rows().first()["converged"] is False and {r["coef"] for r in fit.coefficients().collect()} == {None}
+    p = L.oof_predict(df, "y", {"x": F.col("x")}).collect()
+    assert len(p) == 200 and all(r["pred_0_5"] == r["y_true"] for r in p)
+
+
+def test_many_levels_are_numbers_not_columns(spark):
+    df = spark.range(3000).select(F.col("id").alias("respondent_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 1500).alias("g"), (F.col("id") % 3).alias("h"))
+    levels = L.level_table(df, ["g", "h"])
+    assert levels.count() == 1499 + 2 and levels.agg(F.max("idx")).first()[0] == 1500
+    got = {r["respondent_id"]: r["on"] for r in L.encode_rows(df, ["g", "h"], levels).collect()}
+    for i in range(3000):
+        want = [i % 1500 - 1] if i % 7 and i % 1500 else []
+        assert got[i] == want + ([1499 + i % 3 - 1] if i % 3 else [])
