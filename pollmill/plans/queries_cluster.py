@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import cluster as C, describe as D, grid as G, quality as Q, stability as ST, validity as V
-from ..sources.scratch import spread
+from ..sources import tables as T
+from ..sources.scratch import new_path, spread
 from . import profile as P
-from .queries_quality import clean, scored, scored_ctes
+from .queries_quality import clean, flagged, flags_ctes, scored, scored_ctes
 from .queries_recode import sql_list
 from .queries_tables import _seg_ctes, _segmented, _PROFILE_SQL
 from .registry import query, r6, rounded
@@ -289,3 +290,26 @@ def _(spark, sf):
     prof = C.cluster_names(D.group_profile(s.join(labels, "respondent_id")))
     focus = prof.filter(F.col("cluster_name") == P.CLUSTER_NAMES[0]).select("cluster").scalar()
     return C.soft_summary(C.soft_segment(frame, C.centre_table(spark, centres), focus))
+
+
+# --- the published result -----------------------------------------------------------------------------
+_RESULT = ["raw", "clean", "model", "flow", "flagged", "rules", "metadata"]
+
+
+@query("publish_snapshot", oracle("survey", flags_ctes() + f""" SELECT 'raw' AS tbl, count(*) AS n FROM flagged UNION ALL SELECT 'clean', count_if(invalid_union_flag = 0) FROM flagged UNION ALL SELECT 'model', count_if(invalid_union_flag = 0) FROM flagged
+ UNION ALL SELECT 'flow', 3 UNION ALL SELECT 'flagged', count_if(invalid_union_flag = 1) FROM flagged UNION ALL SELECT 'rules', {len(P.FLAG_UNION)} UNION ALL SELECT 'metadata', 2 FROM (SELECT 1)"""))
+def _(spark, sf):
+    """The seven tables of a run under one version, counted as its readers see them."""
+    f, c = flagged(spark, sf), clean(spark, sf)
+    labels = C.cluster_two_stage(C.vectors(C.scale_features(C.feature_matrix(c, "baseline"), C.BASELINE), C.BASELINE), (2,))[1]
+    counts = f.agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(F.col("invalid_union_flag") == 0).alias("n_samples_main"))
+    rules = D.flag_totals(f, P.FLAG_UNION).withColumn("quality_profile", F.lit(Q.BALANCED))
+    tables = {"raw": view(spark, sf, "survey"), "clean": c, "model": Q.survey_model(c, labels.select("respondent_id", F.col("labels")[0].alias("cluster"))), "flow": D.sample_flow(f, "revised"),
+              "flagged": Q.dropped_rows(f), "rules": rules, "metadata": T.metrics_table(counts)}
+    path = new_path(spark, "snapshot")
+    T.publish_snapshot(tables, _RESULT, path, "v1")
+    out = None
+    for name, df in T.read_snapshot(spark, path).items():
+        row = df.agg(F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -231,14 +231,14 @@ def _(spark, sf):
 
 
 def _items_sql():
-    return f"it AS (SELECT * FROM {_sql_values([(i, t) for i, t in enumerate(P.ITEM_TEXTS[:80], 1)], 'col_idx, item_text')})"
+    return f"it AS (SELECT * FROM {_sql_values([(i, t) for i, t in enumerate(P.ITEM_TEXTS, 1)], 'col_idx, item_text')})"
 
 
 @query("join_item_text", oracle("survey", "m AS (" + " UNION ALL ".join(f"SELECT {i} AS col_idx, avg({P.c(i)}) AS mean FROM survey" for i in range(66, 90)) + f"), {_items_sql()}"
        " SELECT col_idx, round(mean, 6) AS mean, coalesce(item_text, 'Q' || col_idx) AS item_text FROM m LEFT JOIN it USING (col_idx)"))
 def _(spark, sf):
     m = D.item_means(view(spark, sf, "survey"), P.cols((66, 89))).select(D.item_number().alias("col_idx"), r6("mean").alias("mean"))
-    return R.join_item_text(m, P.item_table(spark).filter("col_idx <= 80")).select("col_idx", "mean", "item_text")
+    return R.join_item_text(m, P.item_table(spark)).select("col_idx", "mean", "item_text")
 
 
 @query("join_blocks", oracle("survey", "m AS (" + " UNION ALL ".join(f"SELECT {i} AS col_idx, count({P.c(i)}) AS valid_n FROM survey" for i in range(1, 108))

@@ -104,17 +104,6 @@ def _(spark, sf):
     return out
 
 
-@query("publish_snapshot", oracle("survey", """
-SELECT 'raw' AS tbl, count(*) AS n FROM survey UNION ALL
-SELECT 'freq', count(*) FROM (SELECT DISTINCT C002 FROM survey WHERE C002 IS NOT NULL)"""))
-def _(spark, sf):
-    s = view(spark, sf, "survey").select("respondent_id", "C002")
-    names = ["raw", "freq"]
-    paths = T.publish_snapshot({"raw": s, "freq": D.freq_table(s, ["C002"])}, names, new_path(spark, "snapshot"), "v1")
-    rows = [spark.read.parquet(p).agg(F.lit(n).alias("tbl"), F.count(F.lit(1)).alias("n")) for n, p in zip(names, paths)]
-    return rows[0].unionByName(rows[1])
-
-
 # --- scalar functions ------------------------------------------------------------------
 @query("norm_ws", f"SELECT doc_id, {sql_norm_ws('text')} AS text FROM documents")
 def _(spark, sf):
@@ -436,7 +425,13 @@ def _(spark, sf):
     return rounded(R.conversion_audit(view(spark, sf, "raw64"), P), "unknown_value_rate", "branch_conflict_rate", "conversion_integrity", digits=8)
 
 
-_CELLS = [P.c(i) for i in range(1, 13)]
+@query("conversion_audit_coded", oracle("coded_text", """SELECT count(*) AS n_rows, 0::bigint AS unknown_value_count, 0.0::double AS unknown_value_rate, 0::bigint AS other_text_count, 0::bigint AS branch_conflict_count,
+ 0.0::double AS branch_conflict_rate, 1.0::double AS conversion_integrity FROM coded_text"""))
+def _(spark, sf):
+    return R.coded_audit(view(spark, sf, "coded_text"))
+
+
+_CELLS = P.CODES
 
 
 @query("numeric_cells", oracle("coded_text", "SELECT respondent_id, " + ", ".join(
@@ -445,8 +440,8 @@ def _(spark, sf):
     return R.numeric_cells(view(spark, sf, "coded_text"), _CELLS)
 
 
-@query("cell_markers", oracle("coded_text", " UNION ALL ".join(
-    f"SELECT respondent_id, {i} AS col_idx, trim(split_part({sql_norm_ws(c)}, '^', 2)) AS marker_text FROM coded_text WHERE contains({c}, '^')" for i, c in enumerate(_CELLS, 1))))
+@query("cell_markers", oracle("coded_text", f"""cell AS (SELECT respondent_id, unnest({list(range(1, 109))}) AS col_idx, unnest([{', '.join(_CELLS)}]) AS v FROM coded_text)
+ SELECT respondent_id, col_idx, trim(split_part({sql_norm_ws('v')}, '^', 2)) AS marker_text FROM cell WHERE contains(v, '^')"""))
 def _(spark, sf):
     return R.cell_markers(view(spark, sf, "coded_text"), _CELLS)
 

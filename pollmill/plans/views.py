@@ -124,7 +124,7 @@ def coded_text_cte() -> str:
     """Coded cells as text: numbers, "1^text" cells, exponents and bare fractions that the strict parser rejects."""
     cells = [f"CASE WHEN (ok + {i}) % 67 = 0 THEN '1e3' WHEN (ok + {i}) % 71 = 0 THEN ' .5 ' "
              f"WHEN (ok + {i}) % 31 = 0 THEN concat('1^', '文本 ', cast(ok % 9 AS string)) "
-             f"WHEN (ok + {i}) % 43 = 0 THEN '' ELSE cast((ok + {i}) % 6 - 3 AS string) END AS {P.c(i)}" for i in range(1, 13)]
+             f"WHEN (ok + {i}) % 43 = 0 THEN '' ELSE cast((ok + {i}) % 6 - 3 AS string) END AS {P.c(i)}" for i in range(1, 109)]
     return f"coded_text AS (SELECT ok + 1 AS respondent_id, {', '.join(cells)} FROM base)"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import to_float
@@ -58,18 +61,61 @@ def sink_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "skip
     writer.format(fmt).save(path)
 
 
-def publish_snapshot(tables: dict[str, DataFrame], required: list[str], path: str, version: str,
-                     fmt: str = "parquet", mode: str = "skip") -> list[str]:
-    """Write the chosen result tables under one versioned path; nothing is written when one is missing."""
+_MANIFEST = "version string, committed_at timestamp, n_tables int, table string, folder string, n_rows bigint, n_columns int"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The committed tables of every version published under path; nothing yet: no rows."""
+    try:
+        return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MANIFEST)
+
+
+def publish_snapshot(tables: dict[str, DataFrame], required: list[str], path: str, version: str, fmt: str = "parquet", mode: str = "skip") -> dict[str, str]:
+    """Publish the required tables as one version: {table: folder}.
+
+    Tables go to a folder of their own; a version exists once its manifest rows, one file written last, are committed. A write that dies
+    before leaves readers with what was there. ``mode`` says what happens to a version that exists: kept, refused or superseded.
+    """
     missing = [t for t in required if t not in tables]
     if missing:
         raise ValueError(f"missing result tables: {missing}")
-    paths = []
+    spark = tables[required[0]].sparkSession
+    held = {r["table"]: r["folder"] for r in _complete(manifest(spark, path)).where(F.col("version") == version).collect()}
+    if held and mode == "skip":
+        return held
+    if held and mode == "fail":
+        raise FileExistsError(f"version {version} is published already")
+    own = f"{path}/tables/{version}-{uuid.uuid4().hex}"
+    rows = []
     for name in required:
-        target = f"{path}/{version}/{name}"
-        sink_table(tables[name], target, fmt, mode)
-        paths.append(target)
-    return paths
+        sink_table(tables[name], f"{own}/{name}", fmt, "fail")
+        written = spark.read.format(fmt).schema(tables[name].schema).load(f"{own}/{name}", header=True)
+        rows.append((version, len(required), name, f"{own}/{name}", written.count(), len(written.columns)))
+    line = spark.createDataFrame(rows, "version string, n_tables int, table string, folder string, n_rows bigint, n_columns int").withColumn("committed_at", F.current_timestamp())
+    line.select(*[c.split()[0] for c in _MANIFEST.split(", ")]).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return {r[2]: r[3] for r in rows}
+
+
+def _complete(rows: DataFrame) -> DataFrame:
+    """The newest commit of each version, if all its tables are named."""
+    newest = rows.groupBy("version").agg(F.max("committed_at").alias("committed_at"))
+    mine = rows.join(newest, ["version", "committed_at"])
+    whole = mine.groupBy("version").agg(F.count_distinct("table").alias("_n"), F.max("n_tables").alias("_all")).where("_n = _all").select("version")
+    return mine.join(whole, "version", "left_semi")
+
+
+def read_snapshot(spark: SparkSession, path: str, version: str | None = None, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """{table: DataFrame} of a version, of the last one committed by default: all of its tables, or an error."""
+    rows = _complete(manifest(spark, path))
+    rows = rows.where(F.col("version") == version) if version else rows.where(F.col("committed_at") == rows.agg(F.max("committed_at")).scalar())
+    found = rows.collect()  # a row a table
+    if not found:
+        raise FileNotFoundError(f"no complete version {version or ''} under {path}")
+    return {r["table"]: spark.read.format(fmt).load(r["folder"], header=True) for r in found}
 
 
 def metrics_table(row: DataFrame, group: list[str] = ()) -> DataFrame:
