@@ -137,22 +137,68 @@ def test_decontamination_of_repeated_rows_is_the_same_in_many_blocks(spark):
     assert kept[0] == kept[1] and len(kept[0]) == 5
 
 
+def expected_shares(got, margin):
+    by = {}
+    for m in got:
+        by[m[margin]] = by.get(m[margin], 0) + m.probability * m.n_tokens
+    return {k: v / sum(by.values()) for k, v in by.items()}
+
+
+def rake(tokens, levels, goals, whole):
+    """Bounded raking in numpy: u per cell, p = min(1, u), levels taken whole apart."""
+    u = np.full(len(tokens), 0.5)
+    for _ in range(5000):
+        for lv, goal in zip(levels, goals):
+            e = np.where(whole, 1.0, np.minimum(1, u)) * tokens
+            fixed, now = np.bincount(lv, e * whole, len(goal)), np.bincount(lv, e * ~whole, len(goal))
+            u = u * np.where(now > 0, np.maximum(goal - fixed, 0) / np.where(now > 0, now, 1), 1.0)[lv]
+    return np.where(whole, 1.0, np.minimum(1, u))
+
+
 def test_mixing_meets_marginals(spark, docs, empty):
     rows = spark.createDataFrame([(i, "w " * (1 + i % 7) + ("a@b.c" if i % 3 else ""), ("en", "de", None)[i % 5 % 3], f"s{i % 4}") for i in range(400)], "doc_id long, text string, lang string, source string")
     goals = spark.createDataFrame([("s0", 0.4), ("s1", 0.3), ("s2", 0.2), ("s3", 0.1), ("absent", 5.0)], "level string, share double").where("level <> 'absent'")
     mixed, out = mixing.mix(rows, 0.3, targets={"source": goals})
     got = [r[out] for r in mixed.collect()]
-    by = {}
-    for m in got:
-        by[m.source] = by.get(m.source, 0) + m.weight * m.n_tokens
-    assert {k: round(v, 4) for k, v in by.items()} == {"s0": 0.4, "s1": 0.3, "s2": 0.2, "s3": 0.1}
+    assert expected_shares(got, "source") == pytest.approx({"s0": 0.4, "s1": 0.3, "s2": 0.2, "s3": 0.1}, abs=1e-5)
     tokens = sum(m.n_tokens for m in got)
-    assert abs(sum(m.n_tokens * m.probability for m in got) - 0.3 * tokens) < 1e-6 * tokens
-    assert all(m.sampled == (m.draw < m.probability) for m in got)
+    assert abs(sum(m.n_tokens * m.probability for m in got) - 0.3 * tokens) < 1e-5 * tokens
+    assert all(m.sampled == (m.draw < m.probability) and m.met and max(abs(m.off_source), abs(m.off_lang), abs(m.off_topic)) <= 1e-6 for m in got)
     assert mixing.sample(docs).columns == docs.columns and mixing.sample(empty).count() == 0
     assert mixing.mix(docs)[0].count() == docs.count()
 
 
+def test_mixing_with_levels_taken_whole_equals_numpy(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, "w " * int(rng.integers(1, 30)) + ("https://x" if rng.random() < 0.05 else ""), rng.choice(["en", "de", "fr"], p=[0.7, 0.2, 0.1]), f"s{rng.choice(5, p=[0.5, 0.2, 0.1, 0.1, 0.1])}") for i in range(1500)]
+    rows = spark.createDataFrame([(i, t, str(la), so) for i, t, la, so in data], "doc_id long, text string, lang string, source string")
+    targets = {"topic": spark.createDataFrame([("general", 0.7), ("web", 0.3)], "level string, share double")}  # more web pages than there are
+    mixed, out = mixing.mix(rows, 0.5, targets=targets)
+    got = [r[out] for r in mixed.collect()]
+    cells = {}
+    for m in got:
+        cells.setdefault((m.source, m.lang, m.topic), [0, m.probability])[0] += m.n_tokens
+    keys = sorted(cells)
+    tokens = np.array([cells[k][0] for k in keys], float)
+    budget = tokens.sum() / 2
+    levels = [np.unique([k[i] for k in keys], return_inverse=True)[1] for i in range(3)]
+    have = [np.bincount(lv, tokens) for lv in levels]
+    web = have[2][1]
+    goals = [h ** 0.7 / (h ** 0.7).sum() * budget for h in have[:2]] + [np.array([budget - web, web])]
+    want = rake(tokens, levels, goals, levels[2] == 1)
+    assert all(m.met for m in got)
+    assert [cells[k][1] for k in keys] == pytest.approx(want.tolist(), abs=1e-4)
+
+
+def test_mixing_says_when_goals_can_not_be_met(spark):
+    # all of s1 is German, so a German goal below the goal of s1 can't be met
+    rows = spark.createDataFrame([(i, "w w w", "en" if i % 2 else "de", "s0" if i % 2 else "s1") for i in range(100)], "doc_id long, text string, lang string, source string")
+    ask = lambda *x: spark.createDataFrame(x, "level string, share double")
+    mixed, out = mixing.mix(rows, 0.4, targets={"source": ask(("s0", 0.5), ("s1", 0.5)), "lang": ask(("en", 0.7), ("de", 0.3))})
+    got = [r[out] for r in mixed.collect()]
+    assert not any(m.met for m in got) and max(abs(m.off_source) for m in got) > 0.1
+
+
 def test_substring_dedup_equals_counting_windows(docs, empty):
     for window, start in ((35, 18), (35, 9), (4, 2)):
         rows, out = substrings.dedup(docs, window=window, start=start)
