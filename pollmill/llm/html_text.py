@@ -3,12 +3,16 @@
 A page is cut into blocks at block tags. Pass 1 decides blocks by what holds them (menus, headers, footers, sidebars, notices,
 adverts, forms and comments are boilerplate), by link density, by length and by stop-word density. Pass 2 gives each short
 undecided block the label of its nearest decided neighbour among the blocks of the same holder (if two are as
-near, text wins). Of blocks without a decided neighbour those of an article are text.
+near, text wins). Of blocks without a decided neighbour those of an article are text. Stop words only speak for a block: where the
+long blocks of a page hardly have any, its language is another one and they are text by length and links alone. If nothing of a page
+is decided as text, all blocks are text that no boilerplate holder and no link density rejects.
 
 A class, id or role word makes no boilerplate of a holder that has most of the page's long blocks with few links, and more text
 in them than stands freely elsewhere; one that names comments only counts for the page if no long block stands freely elsewhere.
 An element without text (a picture, a button, a player) goes from its start tag to its end tag; without an end tag before its
-holder ends, only its own tag goes. Scripts, styles and comments that nothing ends run to the end of the page, as in browsers.
+holder ends, only its own tag goes. Scripts, styles and comments that nothing ends run to the end of the page, as in browsers. A tag whose
+quotes don't close ends at the next `>`; without one its `<` is text. Tokens are found in one pass forward: what was scanned in vain is not
+scanned again, so a page costs time in proportion to its length whatever it holds.
 
 Null and empty pages have an empty text. Repeated rows get the same text each. An empty table gives an empty result. Pages of
 any length are worked on whole, one at a time. Columns named like the result stay: the result's name gets underscores.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,12 +30,12 @@ from pyspark.sql import DataFrame
 from .common import fresh, over_texts, struct
 
 _TEXT = struct("text string, n_blocks bigint, n_kept bigint")
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(script|style)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    rf"""|<(title|textarea|iframe)(?=[\s/>]){_ATTRIBUTES}(?:(?<!/)>|=[^\s"'>]+/>)[^<]*(?:<(?!/?\2[\s/>])[^<]*)*</\2(?=[\s/>])[^>]*>"""
-    rf"|<(?P<ending>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>{_ATTRIBUTES})>", re.S | re.I)
+_DECLARED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"""[>"']""")
+#: Elements whose content is not markup: code, which may run to the end of the page, and text, which must be ended.
+_CODE = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style")}
+_RAW = {n: re.compile(rf"[^<]*(?:<(?!/?{n}[\s/>])[^<]*)*</{n}(?=[\s/>])[^>]*>", re.I) for n in ("title", "textarea", "iframe")}
 #: Elements without text of the page whose content is tags; the raw ones are whole tokens.
 _SKIPPED = frozenset("noscript template svg math object canvas audio video select button".split())
 _UNQUOTED = re.compile(r"""=\s*[^\s"']+/\Z""")
@@ -65,15 +70,83 @@ class _Holder:
         self.name, self.junk, self.article, self.comments, self.marked, self.mark = name, junk, article, comments, marked, mark
 
 
-def _skips(tokens: list[re.Match]) -> dict[int, int]:
+class _Token(NamedTuple):
+    start: int
+    end: int
+    name: str = ""
+    ending: bool = False
+    attributes: str = ""
+
+
+class _Scanner:
+    """Ends of tags of one page."""
+
+    def __init__(self, page: str):
+        self.page, self.seen, self.stop, self.doomed, self.last = page, 0, -1, set(), page.rfind(">")
+
+    def _next_stop(self, at: int) -> int:
+        """The next of > and the quotes; a stretch without any is searched once."""
+        if not self.seen <= at <= self.stop:
+            m = _STOP.search(self.page, at)
+            self.seen, self.stop = at, m.start() if m else len(self.page)
+        return self.stop
+
+    def tag_end(self, at: int) -> int:
+        """The place after the > that ends a tag whose attributes begin at `at`; -1 if there is none."""
+        if at > self.last:
+            return -1
+        first, opened = at, []
+        while True:
+            at = self._next_stop(at)
+            if at < len(self.page) and self.page[at] == ">":
+                return at + 1
+            close = -1
+            if at < len(self.page) and at not in self.doomed:
+                opened.append(at)
+                close = self.page.find(self.page[at], at + 1)
+            if close < 0:  # no > outside of quotes: remember the quotes that led here
+                self.doomed.update(opened)
+                return self.page.find(">", first) + 1
+            at = close + 1
+
+
+def _tokens(page: str) -> list[_Token]:
+    """Tags (with a name), and declarations, code and raw elements (without), in one pass."""
+    out, scan, at = [], _Scanner(page), page.find("<")
+    while at >= 0:
+        end = at + 1
+        if page.startswith(("<!", "<?"), at):
+            end = _DECLARED.match(page, at).end()
+            out.append(_Token(at, end))
+        elif m := _TAG.match(page, at):
+            name, ending, stop = m[2].lower(), bool(m[1]), scan.tag_end(m.end())
+            if stop > 0:
+                attributes = page[m.end():stop - 1]
+                closed = attributes.endswith("/") and not _UNQUOTED.search(attributes)
+                inner = None
+                if not ending and name in _CODE:
+                    inner = _CODE[name].search(page, stop)
+                    end = inner.end() if inner else len(page)
+                    out.append(_Token(at, end))
+                elif not ending and not closed and name in _RAW and (inner := _RAW[name].match(page, stop)):
+                    end = inner.end()
+                    out.append(_Token(at, end))
+                else:
+                    end = stop
+                    out.append(_Token(at, end, name, ending, attributes))
+        at = page.find("<", end)
+    return out
+
+
+def _skips(tokens: list[_Token]) -> dict[int, int]:
     """For start tags of _SKIPPED the end tag, if it comes before the holder around them ends (numbers of tokens)."""
     out, stack, count = {}, [], dict.fromkeys(_SKIPPED | _HOLDERS, 0)
     for i, m in enumerate(tokens):
-        name = (m["name"] or "").lower()
+        name = m.name
         if name not in count:
             continue
-        if not m["ending"]:
-            if not m["attributes"].endswith("/") or _UNQUOTED.search(m["attributes"]):
+        if not m.ending:
+            if not m.attributes.endswith("/") or _UNQUOTED.search(m.attributes):
                 stack.append((name, i))
                 count[name] += 1
         elif count[name]:
@@ -115,7 +188,7 @@ def _main(found: list[tuple[str, int, _Holder]], marks: list[tuple[int, int, boo
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, code points in links, in boilerplate, in an article) of each block that has text."""
-    tokens = list(_TOKEN.finditer(page))
+    tokens = _tokens(page)
     skips = _skips(tokens)
     found, marks = _cut(page, tokens, skips, frozenset())
     main = _main(found, marks) if marks else None
@@ -124,7 +197,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return [(text, linked, up.junk or up.marked, up.article) for text, linked, up in found]
 
 
-def _cut(page: str, tokens: list[re.Match], skips: dict[int, int], main: frozenset[int]) -> tuple[list, list]:
+def _cut(page: str, tokens: list[_Token], skips: dict[int, int], main: frozenset[int]) -> tuple[list, list]:
     """(text, code points in links, holder) of each block that has text, and the marked holders; words on holders of main say nothing."""
     out, text, linked, in_link, marks = [], [], 0, 0, []
     stack = [_Holder("", False, False, False, False, -1)]
@@ -149,16 +222,14 @@ def _cut(page: str, tokens: list[re.Match], skips: dict[int, int], main: frozens
     for i, m in enumerate(tokens):
         if i < past:
             continue
-        add(page[at:m.start()])
+        add(page[at:m.start])
         if i in skips:
             past = skips[i] + 1
-            at = tokens[skips[i]].end()
+            at = tokens[skips[i]].end
             continue
-        at = m.end()
-        name = (m["name"] or "").lower()
+        at, name, ending = m.end, m.name, m.ending
         if not name:
             continue
-        ending = bool(m["ending"])
         if name == "a":
             in_link = 0 if ending else 1
         if name not in _BLOCKS:
@@ -179,7 +250,7 @@ def _cut(page: str, tokens: list[re.Match], skips: dict[int, int], main: frozens
             in_link = 0
         else:
             up = stack[-1]
-            attributes = m["attributes"]
+            attributes = m.attributes
             named = " ".join(x for g in _NAMES.findall(attributes) for x in g if x) if attributes.strip() and i not in main else ""
             said = bool(named and _COMMENT_NAME.search(named))
             comments = up.comments or said
@@ -203,9 +274,13 @@ def _cut(page: str, tokens: list[re.Match], skips: dict[int, int], main: frozens
 def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
     """Which blocks are text."""
     out: list[bool | None] = []
-    for text, linked, junk, article in found:
-        words = text.split()
-        stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
+    sizes = [len(text.split()) for text, *_ in found]
+    stop_words = [sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in text.split()) for text, *_ in found]
+    open_ = [not junk and linked <= LINKS * len(text) for text, linked, junk, _ in found]
+    long_ = [i for i, n in enumerate(sizes) if open_[i] and n >= LONG]
+    foreign = sum(stop_words[i] for i in long_) < STOP_LOW * sum(sizes[i] for i in long_)
+    for (text, linked, junk, article), n_words, n_stops in zip(found, sizes, stop_words):
+        words, stops = range(n_words), n_stops / n_words
         if junk or linked > LINKS * len(text):
             out.append(False)
         elif article:
@@ -213,7 +288,7 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
         elif len(words) < LONG:
             out.append(None)
         else:
-            out.append(True if stops >= STOP_HIGH else False if stops < STOP_LOW else None)
+            out.append(True if stops >= STOP_HIGH or foreign else None)
     # boilerplate holders aren't neighbours: an advert between two paragraphs says nothing about them
     for article in (True, False):
         mine = [i for i, b in enumerate(found) if b[3] == article and not b[2]]
@@ -236,7 +311,7 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
                 marks[i] = out[before if i - before < after - i else after]
         for i, x in marks.items():
             out[i] = x
-    return [bool(x) for x in out]
+    return [bool(x) for x in out] if any(out) else open_
 
 
 def main_text(page: str) -> tuple[str, int, int]:

@@ -299,7 +299,7 @@ def test_main_text_in_holders_with_boilerplate_words():
 
 def test_main_text_of_rows(spark):
     rows, out = html_text.extract(spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>Just one line</p>" * 2)], "page_id long, url string, html string"))
-    assert [r[out].text for r in rows.orderBy("page_id").collect()] == ["", "", ""]
+    assert [r[out].text for r in rows.orderBy("page_id").collect()] == ["", "", "Just one line Just one line"]
 
 
 def test_warc_round_trip(spark):
@@ -332,3 +332,29 @@ def test_toxicity_edges(spark):
     none, out = toxicity.score(docs, labels.where("toxic = 0"), trees=2)
     assert {r[out].score for r in none.collect()} == {0.0}
     assert toxicity.score(docs.limit(0), labels)[0].count() == 0
+
+
+def test_pages_of_undecided_blocks_and_other_languages_keep_their_text():
+    line = "Це довгий абзац українською мовою, у якому немає жодного слова з чотирьох інших мов сторінок."
+    for page, text in (("<div><p>Just one line</p></div>", "Just one line"), ("<p>Opening times: 9 to 5.</p>", "Opening times: 9 to 5."), (f"<body><p>{line}</p></body>", line),
+                       (f"<nav>Меню</nav><h1>Назва</h1><p>{line}</p><ul><li><a href=x>посилання на іншу сторінку цього сайту</a></li></ul><p>{line}</p>", f"Назва {line} {line}")):
+        assert html_text.main_text(page)[0] == text
+
+
+def test_tags_that_never_end_cost_time_in_proportion():
+    import time
+    for part, tail in (("<a x ", ""), ("<a x ", '"'), ('<a " ', ""), ("<a x='>' ", "'"), ('<a x=">" ', '"'), ("<title>", ""), ("<!-- x ", ""), ("<svg><p>", ""), ("<a '\"", ">")):
+        for n in (4_000, 200_000):
+            start = time.perf_counter()
+            html_text.main_text("<p>It is the text</p>" + part * n + tail)
+            took = time.perf_counter() - start
+            assert took < 15, (part, tail, n, took)
+    assert html_text.main_text('<p>One <a title="x>two</a> three</p>')[0].startswith("One")
+    assert html_text.main_text("<p>1 <2 and a <b</p>")[0].startswith("1 <2 and a")
+
+
+def test_tokens_equal_a_plain_pattern_on_whole_pages(spark):
+    attributes = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+    plain = re.compile(r"<!--.*?-->|<[!?][^>]*>" rf"|<(script|style)(?=[\s/>]){attributes}>.*?</\1>|<(title|textarea|iframe)(?=[\s/>]){attributes}>.*?</\2>" rf"|</?[a-zA-Z][a-zA-Z0-9:-]*{attributes}>", re.S | re.I)
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert [(t.start, t.end) for t in html_text._tokens(r.html)] == [m.span() for m in plain.finditer(r.html)]
