@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pollmill.operators.skew import lookup
+
 from .common import fresh, stored
 
 
@@ -93,14 +95,15 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str =
     rows = stored(docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{owner}`").cast("string").alias(own), F.col(f"`{repo}`").cast("string").alias(rep), raw.alias(out))
                   .withColumn(row, F.monotonically_increasing_id()), "secrets")
     spans = rows.select(F.col(row).alias("row_id"), F.col(own).alias("owner"), F.col(rep).alias("repo"), F.inline(F.col(out)))
-    known = spans.join(ownership(spans.select("value_hash", "owner", "repo")), "value_hash")
-    live = F.col("n_owners") < copied_from
+    # a value that a large share of the spans hold meets them by broadcast
+    known = lookup(spans, stored(ownership(spans.select("value_hash", "owner", "repo")), "owners"), ["value_hash"])
+    live, found = F.col("n_owners") < copied_from, fresh(rows, "secrets_found")
     base = F.array(*(F.lit(k.base) for k in kinds))
     kept = known.where(F.get(base, F.col("rank")) | live).groupBy("row_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "n_owners", "n_repos", live.alias("live")))).alias(out + "_found"))
+        F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "n_owners", "n_repos", live.alias("live")))).alias(found))
     both = rows.join(kept, rows[row] == kept["row_id"], "left")
     none = F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint,n_owners:bigint,n_repos:bigint,live:boolean>>)")
-    return both.select(*(rows[f"`{c}`"] for c in keep), F.coalesce(F.col(out + "_found"), none).alias(out)), out
+    return both.select(*(rows[f"`{c}`"] for c in keep), F.coalesce(F.col(found), none).alias(out)), out
 
 
 def listed(spans: Column) -> Column:

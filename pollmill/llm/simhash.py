@@ -23,6 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from pollmill.operators.skew import lookup
+
 from .common import cut, fresh, lower_words, over_texts, stored, struct
 
 _FINGERPRINT = struct("fingerprint bigint")
@@ -211,16 +213,26 @@ def groups(codes: DataFrame, bits: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 2, size: int = 3, keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """(docs' columns `keep` and a struct: fingerprint, group_code, first_id; its name). A row for each of docs' rows."""
     marked, out = fingerprints(docs, text, size, keep)
-    marked = stored(marked, "fingerprints")
-    code = F.col(f"`{out}`.fingerprint")
-    codes = stored(marked.groupBy(code.alias("code")).agg(F.min(f"`{key}`").alias("first")), "codes")
-    known = groups(codes, bits)
-    both = marked.join(known.select(F.struct("fingerprint", "group_code", "first_id").alias(out + "_known")), code == F.col(f"`{out}_known`.fingerprint"), "left")
-    return both.select(*(marked[f"`{c}`"] for c in marked.columns if c != out), F.col(f"`{out}_known`").alias(out)), out
+    code, seen = fresh(marked, "simhash_code"), fresh(marked, "simhash_known")
+    rows = stored(marked.withColumn(code, F.col(f"`{out}`.fingerprint")), "fingerprints")
+    known = _known(rows, key, code, bits).select(F.col("fingerprint").alias(code), F.struct("fingerprint", "group_code", "first_id").alias(seen))
+    both = lookup(rows, stored(known, "groups"), [code])
+    return both.select(*(F.col(f"`{c}`") for c in marked.columns if c != out), F.col(f"`{seen}`").alias(out)), out
+
+
+def _known(rows: DataFrame, key: str, code: str, bits: int) -> DataFrame:
+    return groups(stored(rows.groupBy(F.col(f"`{code}`").alias("code")).agg(F.min(f"`{key}`").alias("first")), "codes"), bits)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 2, size: int = 3) -> DataFrame:
-    """docs with one row of each group: the one with the smallest key; of rows that share it, any one."""
-    marked, out = near_duplicates(docs, key, text, bits, size)
-    kept = marked.where(F.col(f"`{key}`").eqNullSafe(F.col(f"{out}.first_id"))).withColumn(out, F.col(f"{out}.group_code"))
-    return kept.dropDuplicates([out]).select(*(kept[f"`{c}`"] for c in docs.columns))
+    """docs with one row of each group: the one with the smallest key; of rows that share it, any one.
+
+    Which rows stay is decided on row numbers, keys and fingerprints; the rows themselves are joined once, by their own number.
+    """
+    marked, out = fingerprints(docs, text, size)
+    row = fresh(marked, "simhash_row")
+    rows = stored(marked.withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    narrow = rows.select(F.col(f"`{row}`").alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{out}`.fingerprint").alias("code"))
+    met = lookup(narrow, stored(_known(narrow, "key", "code", bits).withColumnRenamed("fingerprint", "code"), "groups"), ["code"])
+    kept = met.where(F.col("key").eqNullSafe(F.col("first_id"))).groupBy("group_code").agg(F.min("row").alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(*(rows[f"`{c}`"] for c in docs.columns))

@@ -145,9 +145,9 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     if not isinstance(docs.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return docs.withColumn(name, F.xxhash64(ident, body))
     again = stored(docs.groupBy(ident.alias(name)).count().where(F.col("count") > 1).select(name), "repeated-ids")
-    mark = again.select(F.col(name).alias(name + "_again"))
-    joined = docs.join(mark, ident == mark[name + "_again"], "left")
-    return joined.withColumn(name, F.when(ident.isNull() | mark[name + "_again"].isNotNull(), F.xxhash64(ident, body)).otherwise(ident.cast("long"))).drop(name + "_again")
+    twice = fresh(docs.withColumn(name, F.lit(0)), "repeated_id")
+    joined = docs.join(again.select(F.col(name).alias(twice)), ident == F.col(twice), "left")
+    return joined.withColumn(name, F.when(ident.isNull() | F.col(twice).isNotNull(), F.xxhash64(ident, body)).otherwise(ident.cast("long"))).drop(twice)
 
 
 def _packed(docs: DataFrame, text: str, keep: list[str], z: str) -> DataFrame:
@@ -174,7 +174,7 @@ def _survivors(rows: DataFrame) -> DataFrame:
     """(key, places) of the rows whose window repeats anywhere; each place once, however many rows share the key."""
     total = F.sum(F.when(F.col("kind") == ONE, 1).when(F.col("kind") == MANY, 2).otherwise(0)).over(Window.partitionBy("h"))
     alive = rows.withColumn("n", total).where((F.col("kind") == KNOWN) | ((F.col("kind") == ONE) & (F.col("n") > 1)))
-    return alive.groupBy("key").agg(F.collect_set("place").alias("places")).select(F.col("key").alias("alive_key"), "places")
+    return alive.groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, start: int = 18, keep: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -185,20 +185,21 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     steps = lengths(window, start)
     keyed = _keyed(docs, key, text)
     row_key = keyed.columns[-1]
+    alive_key, places = fresh(keyed, "alive_key"), fresh(keyed, "places")
     row_schema = T.StructType([T.StructField(n, t) for n, t in zip(_ROWS, (T.LongType(), T.LongType(), T.IntegerType(), T.ByteType()))])
     alive = None
     for level in range(len(steps)):
         if level == 0:
             source = keyed.select(F.col(row_key), F.col(f"`{text}`").cast("string").cast("binary"))
         else:
-            source = _packed(keyed, text, [row_key], z).join(alive, F.col(row_key) == F.col("alive_key")).select(row_key, z, "places")
+            source = _packed(keyed, text, [row_key], z).join(alive, F.col(row_key) == F.col(alive_key)).select(row_key, z, places)
         rows = source.mapInArrow(_level(level, steps), row_schema)
-        alive = _survivors(rows)
+        alive = _survivors(rows).toDF(alive_key, places)
         if level < len(steps) - 1:
             alive = stored(alive, "survivors")
             if alive.isEmpty():
                 break
-    final = _packed(keyed, text, [*keep, row_key], z).join(alive, F.col(row_key) == F.col("alive_key"), "left").select(*(F.col(f"`{c}`") for c in keep), z, "places")
+    final = _packed(keyed, text, [*keep, row_key], z).join(alive, F.col(row_key) == F.col(alive_key), "left").select(*(F.col(f"`{c}`") for c in keep), z, places)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, _KEPT)])
     return final.mapInArrow(_cutter(window, len(keep), [*keep, out]), schema), out
 

@@ -358,3 +358,27 @@ def test_tokens_equal_a_plain_pattern_on_whole_pages(spark):
     plain = re.compile(r"<!--.*?-->|<[!?][^>]*>" rf"|<(script|style)(?=[\s/>]){attributes}>.*?</\1>|<(title|textarea|iframe)(?=[\s/>]){attributes}>.*?</\2>" rf"|</?[a-zA-Z][a-zA-Z0-9:-]*{attributes}>", re.S | re.I)
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         assert [(t.start, t.end) for t in html_text._tokens(r.html)] == [m.span() for m in plain.finditer(r.html)]
+
+
+CLASHES = "places alive_key row_key row_key_again repeated_id packed_text secrets secrets_found owner_key repo_key row row_id owner repo value_hash simhash simhash_code simhash_known simhash_row fingerprint code key first_id mix cell_key key_source probability".split()
+
+
+def test_columns_named_like_helpers_stay(spark):
+    texts = [BASE, BASE, None, "", "token = 'AbCdEf123456'", "one two", LONG]
+    rows = spark.createDataFrame([(i, t, f"s{i % 2}", "en", *range(len(CLASHES))) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, " + ", ".join(f"{c} int" for c in CLASHES))
+    for made in (substrings.dedup(rows)[0], secrets.scan(rows)[0], simhash.near_duplicates(rows)[0], mixing.mix(rows)[0]):
+        assert made.columns[:-1] == rows.columns and made.count() == 7
+        assert {tuple(r)[:-1] for r in made.collect()} == {tuple(r) for r in rows.collect()}
+    kept = simhash.one_of_each(rows)
+    assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 5, 6]
+
+
+def test_a_third_of_all_rows_alike(spark):
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("password = hunter2hunter2 " + BASE)).otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"))).alias("text"),
+                                 F.lit("s").alias("source"))
+    rows, out = simhash.near_duplicates(rows), None
+    got = rows[0].select("doc_id", f"{rows[1]}.first_id").collect()
+    assert len(got) == n and all(r.first_id == 0 for r in got if r.doc_id % 3 == 0)
+    scanned, out = secrets.scan(rows[0])
+    assert scanned.where(F.size(F.col(out)) == 1).count() == n // 3
