@@ -50,7 +50,7 @@ def op3_mixing(spark, sf_dir):
     """Cell, probability and draw of each document: given shares of languages and topics, sources by tokens ** 0.7."""
     goals = {"lang": [("en", 0.5), ("de", 0.18), ("es", 0.16), ("fr", 0.16)],
              "topic": [("general", 0.8), ("notice", 0.04), ("contact", 0.04), ("table", 0.04), ("figures", 0.04), ("web", 0.02), ("list", 0.01), ("questions", 0.01)]}
-    targets = {m: spark.createDataFrame(rows, "level string, share double") for m, rows in goals.items()}
+    targets = {m: spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(level).alias("level"), F.lit(share).alias("share")) for level, share in rows)))) for m, rows in goals.items()}
     rows, out = mixing.mix(table(spark, sf_dir, "documents"), targets=targets, keep=["doc_id"])
     return rows.select("doc_id", f"{out}.*")
 
