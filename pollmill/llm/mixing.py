@@ -7,7 +7,7 @@ part of the fit, so no probability is cut afterwards.
 
 A level can't give more than its tokens: goals above that are set to it, the other levels of the marginal share the rest in
 proportion, and the cells of such a level are taken whole. Sweeps end when all marginals are within `tolerance` of the budget, or
-when ten sweeps have not brought them 1 % closer: then no probabilities meet all goals together. Either way each document's row says
+when five sweeps have not halved the largest deviation: then the goals contradict each other, or nearly so. Either way each document's row says
 how far the expected share of its source, language and topic is from the goal, and whether the goals were met.
 A document is sampled if a hash of its id is below its cell's probability, so a run repeated gives the same sample.
 DataFrame functions only: cells and levels stay tables, the driver sees a figure a step.
@@ -141,8 +141,8 @@ def raked(cells: DataFrame, budget: float, share: float, tolerance: float = 1e-6
         worst = offs(now, budget).agg(F.max(F.abs("off"))).first()[0]
         if worst is None or worst <= tolerance:
             break
-        best, since = (worst, 0) if worst < best * 0.99 else (best, since + 1)
-        if since == 10:
+        best, since = (worst, 0) if worst < best / 2 else (best, since + 1)
+        if since == 5:
             break
     levels = offs(now, budget)
     out = now.withColumns({"probability": _probability(), "met": F.lit(worst is None or worst <= tolerance)})
