@@ -7,12 +7,13 @@ window that it stands for. At the full length each window left is counted; windo
 
 Counting: a task counts its own step of texts first; what repeats there is settled at once and goes on as one row per step,
 whatever the size of a group of copies. Rows then meet by hash. Survivors go back to their documents as lists of places.
-A word's hash is XXH64; a window's is a polynomial of those modulo 2 ** 64, compared only among windows whose shorter runs
-repeat. Texts travel compressed to where the survivors are.
+A word's hash is XXH3 of 128 bits, and each half makes a polynomial modulo 2 ** 64 of its own. A shorter run is told apart by the
+first half alone, as a chance match there only keeps a candidate; a window of the full length by both halves, 128 bits.
+Texts travel compressed to where the survivors are.
 
 Nulls and texts of fewer words than a window keep all words. Repeated rows are occurrences of their own, so all their windows
-repeat; they share a key, whose places are held once. Rows that share an id, or have none, are told apart by their texts. An
-empty table gives an empty result. Columns of docs named like the result stay: the result's name gets underscores.
+repeat; they share a key, whose places are held once. Rows that share an id, or have none, are told apart by a 64-bit hash of id
+and text. An empty table gives an empty result. Columns of docs named like the result stay: the result's name gets underscores.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import fresh, sized, stored, struct, to_arrow, words
 
-_BASE, _WIDTH = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: The odd base of each half's polynomial.
+_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _KEPT = struct("n_words bigint, n_removed bigint, kept string, span_start bigint[], span_end bigint[]")
 _ROWS = ["h", "key", "place", "kind"]
 #: A row that waits for its count, one that stands for several of a step, and one whose window is known to repeat.
@@ -43,7 +44,7 @@ def lengths(window: int, start: int) -> list[int]:
 
 class _Hashes(dict):
     def __missing__(self, w):
-        h = self[w] = xxhash.xxh64_intdigest(w)
+        h = self[w] = xxhash.xxh3_128_digest(w)
         return h
 
 
@@ -62,17 +63,21 @@ class Step:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.n = int(self.sizes.sum())
         get = _Hashes().__getitem__
-        h = np.empty(self.n, np.uint64)
-        for s, at in zip(split, self.first):
-            h[at:at + len(s)] = np.fromiter(map(get, s), np.uint64, len(s))
+        self.halves = np.frombuffer(b"".join([b"".join(map(get, s)) for s in split]), "<u8").reshape(-1, 2)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, self.n)[: self.n], dtype=np.uint64)]
-        self.back = _powers(_INVERSE, self.n)
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def runs(self, length: int) -> np.ndarray:
-        """Hash of the run of `length` words at each place; runs across documents have one as well."""
+    def _sums(self, half: int) -> tuple[np.ndarray, np.ndarray]:
+        if half not in self.made:
+            sums = np.cumsum(self.halves[:, half] * _powers(_BASES[half], self.n)[: self.n], dtype=np.uint64)
+            self.made[half] = np.r_[np.zeros(1, np.uint64), sums], _powers(pow(_BASES[half], -1, 1 << 64), self.n)
+        return self.made[half]
+
+    def runs(self, length: int, half: int = 0) -> np.ndarray:
+        """A half's hash of the run of `length` words at each place; runs across documents have one as well."""
         n = max(0, self.n - length + 1)
-        x = (self.sums[length:length + n] - self.sums[:n]) * self.back[:n]
+        sums, back = self._sums(half)
+        x = (sums[length:length + n] - sums[:n]) * back[:n]
         for mul in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
             x = (x ^ (x >> np.uint64(33))) * np.uint64(mul)
         return x ^ (x >> np.uint64(33))
@@ -95,21 +100,40 @@ class Step:
         return at
 
 
+def _classes(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs (h, more): the first place of each class, the class of each place, and the sizes."""
+    order = np.lexsort((more, h))
+    a, b = h[order], more[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which, np.bincount(which, minlength=int(new.sum()))
+
+
+def _wide(h: np.ndarray, more: np.ndarray) -> pa.Array:
+    """Pairs as 16 bytes each."""
+    pairs = np.column_stack([h, more]).astype("<u8")
+    return pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.arange(0, 16 * len(h) + 1, 16, dtype=np.int32)), pa.py_buffer(pairs.tobytes())])
+
+
 def level_rows(texts: list, keys: np.ndarray, survivors: list | None, level: int, steps: list[int]) -> list[pa.Array]:
-    """The rows of a step at a level: h, key, place, kind."""
+    """The rows of a step at a level: h (a long, or 16 bytes at the full length), key, place, kind."""
     s, window = Step(texts), steps[-1]
+    full = steps[level] == window
     at = s.windows(window)
     if survivors is not None:
         alive = np.zeros(s.n, bool)
         for first, places in zip(s.first, survivors):
             alive[first + np.asarray(places, np.int64)] = True
         at = at[alive[s.stands(steps[level - 1], window)[at]]]
-    if steps[level] < window:
+    if not full:
         at = s.stands(steps[level], window)[at]
         at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at  # they never go back
     h = s.runs(steps[level])[at]
+    more = s.runs(window, 1)[at] if full else np.zeros(len(h), np.uint64)
     place, key = at - s.first[s.doc[at]], keys[s.doc[at]]
-    _, first, which, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    first, which, count = _classes(h, more)
     many = count > 1
     known = many[which]
     # repeated rows share a key: each of its places goes on once
@@ -119,13 +143,14 @@ def level_rows(texts: list, keys: np.ndarray, survivors: list | None, level: int
     left = np.ones(len(h), bool)
     left[drop] = False
     stand = first[many]
-    most = h.view(np.int64)[stand], key[stand], place[stand].astype(np.int32)
-    h, key, place, known = h[left], key[left], place[left], known[left]
-    kind = np.where(known, KNOWN, ONE).astype(np.int8)
-    spread = h.view(np.int64).copy()
-    spread[known] ^= key[known] * 31 + place[known]  # known rows only pass, so they are dealt anywhere
-    return [pa.array(np.r_[spread, most[0]]), pa.array(np.r_[key, most[1]]), pa.array(np.r_[place, most[2]].astype(np.int32)),
-            pa.array(np.r_[kind, np.full(len(stand), MANY, np.int8)])]
+    kind = np.where(known[left], KNOWN, ONE).astype(np.int8)
+    spread, others = h.copy(), more.copy()
+    # known rows only pass, so they are dealt anywhere
+    spread[known] ^= (key[known] * 31 + place[known]).view(np.uint64)
+    others[known] = 0
+    out_h, out_more = np.r_[spread[left], h[stand]], np.r_[others[left], more[stand]]
+    return [_wide(out_h, out_more) if full else pa.array(out_h.view(np.int64)), pa.array(np.r_[key[left], key[stand]]),
+            pa.array(np.r_[place[left], place[stand]].astype(np.int32)), pa.array(np.r_[kind, np.full(len(stand), MANY, np.int8)])]
 
 
 def removed(n: int, places, window: int) -> np.ndarray:
@@ -186,9 +211,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     keyed = _keyed(docs, key, text)
     row_key = keyed.columns[-1]
     alive_key, places = fresh(keyed, "alive_key"), fresh(keyed, "places")
-    row_schema = T.StructType([T.StructField(n, t) for n, t in zip(_ROWS, (T.LongType(), T.LongType(), T.IntegerType(), T.ByteType()))])
     alive = None
     for level in range(len(steps)):
+        h_kind = T.BinaryType() if steps[level] == window else T.LongType()
+        row_schema = T.StructType([T.StructField(n, t) for n, t in zip(_ROWS, (h_kind, T.LongType(), T.IntegerType(), T.ByteType()))])
         if level == 0:
             source = keyed.select(F.col(row_key), F.col(f"`{text}`").cast("string").cast("binary"))
         else:

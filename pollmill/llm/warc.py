@@ -2,10 +2,11 @@
 
 1. `write_monolithic`: Spark's text writer makes one gzip stream a file (a record is text, and CRLF CRLF ends it). Of records
    with equal payloads the one with the largest id is the response, the others revisit it.
-2. `normalise`: a file's stream is inflated once, piece by piece; every record is written again as a gzip member of its own, and
-   its offset and length go to the index. Archives get a new name each attempt and count only once the index (a Parquet
+2. `normalise`: a file is read as a stream and inflated once, piece by piece, so that its size bounds no memory: a task holds one
+   record and one piece. Every record is written again as a gzip member of its own, and its offset and length go to the index
+   in bounded batches. A file that ends within a stream or a record is an error. Archives get a new name each attempt and count only once the index (a Parquet
    table that Spark commits) names them, so lost executors and second attempts do no harm.
-3. `read_records`: reads the byte ranges that the index names, any of them alone.
+3. `read_records`: reads the byte ranges that the index names, any of them alone, and hands payloads on in steps of some MB.
 
 Nulls count as empty payloads and as absent URLs. Equal payloads of at least `least` bytes are revisits of one another, empty ones
 too if least is 0. Rows that share the largest id are responses each; of a group without ids all are responses. Repeated rows
@@ -16,16 +17,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import new_path
+from .common import STEP_BYTES, new_path
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
+#: Index rows that a task hands on at once.
+_INDEX_ROWS = 10_000
 _INDEX = "archive string, offset bigint, length bigint, record_id string, record_type string"
 
 
@@ -65,19 +70,23 @@ def write_monolithic(pages: DataFrame, path: str, key: str = "page_id", url: str
     (records(pages, key, url, html, least, date).write.option("compression", "gzip").option("lineSep", _END).option("maxRecordsPerFile", records_per_file).text(path))
 
 
-def inflated(content, piece: int = 1 << 20):
-    """The bytes of a gzip stream (members one after the other are one stream), piece by piece."""
-    view, at = memoryview(content), 0
-    while at < len(view):
+def inflated(stream, piece: int = 1 << 20):
+    """The bytes of a gzip stream (members one after the other are one stream), in pieces of at most `piece` bytes; stream has read(n)."""
+    left = b""
+    while left := left.lstrip(b"\0") or stream.read(piece):  # zeros may pad a file
+        if not left.strip(b"\0"):
+            left = b""
+            continue
         machine = zlib.decompressobj(31)
-        while at < len(view) and not machine.eof:
-            part = view[at:at + piece]
-            at += len(part)
-            yield machine.decompress(part)
-            while machine.unconsumed_tail:
-                yield machine.decompress(machine.unconsumed_tail)
-        at -= len(machine.unused_data)
-        yield machine.flush()
+        left = left.lstrip(b"\0")
+        while not machine.eof:
+            made = machine.decompress(left, piece)
+            left = machine.unconsumed_tail
+            if made:
+                yield made
+            elif not left and not machine.eof and not (left := stream.read(piece)):
+                raise ValueError("a gzip stream without an end")
+        left = machine.unused_data
 
 
 def fields(head: bytes) -> dict[str, str]:
@@ -123,20 +132,29 @@ def normalise(spark: SparkSession, source: str, path: str, level: int = 6) -> No
         from pyarrow import fs
         system, base = fs.FileSystem.from_uri(archives)
         system.create_dir(base, recursive=True)
+
+        def index(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _arrow())], [f.split()[0] for f in _INDEX.split(", ")])
+
         for b in batches:
-            for content in b.column(0):
+            for place in b.column(0).to_pylist():
                 name, rows, at = f"{uuid.uuid4().hex}.warc.gz", [], 0
-                with system.open_output_stream(f"{base}/{name}", compression=None) as out:
-                    for head, record in split_records(inflated(content.as_buffer())):
+                origin, there = fs.FileSystem.from_uri(quote(place, safe="/:@"))  # Spark names files unescaped
+                with origin.open_input_stream(there, compression=None) as whole, system.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    for head, record in split_records(inflated(whole)):
                         machine = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = machine.compress(record) + machine.flush()
                         out.write(member)
                         rows.append((f"{archives}/{name}", at, len(member), head.get("warc-record-id"), head.get("warc-type")))
                         at += len(member)
+                        if len(rows) == _INDEX_ROWS:
+                            yield index(rows)
+                            rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _arrow())], [f.split()[0] for f in _INDEX.split(", ")])
+                    yield index(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("content")
+    # the paths alone: no file is held whole as a row
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
     files.mapInArrow(run, _INDEX).write.parquet(f"{path}/index")
 
 
@@ -151,23 +169,32 @@ def read_records(index: DataFrame) -> DataFrame:
     """
     def run(batches):
         from pyarrow import fs
+
+        def found(rows):
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+
+        opened = None, None
         for b in batches:
-            rows, opened = [], (None, None)
+            rows, held = [], 0
             for archive, offset, length, _, _ in zip(*(c.to_pylist() for c in b.columns)):
                 if archive != opened[0]:
                     system, place = fs.FileSystem.from_uri(archive)
                     opened = archive, system.open_input_file(place)
                 member = opened[1].read_at(length, offset)
-                (head, record), = split_records(inflated(member))
+                (head, record), = split_records(inflated(io.BytesIO(member)))
                 block = record.split(b"\r\n\r\n", 1)[1][:-4]
                 http, _, payload = block.partition(b"\r\n\r\n")
                 response = head["warc-type"] == "response"
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else head["warc-payload-digest"].removeprefix("sha1:")
                 rows.append((_page(head["warc-record-id"]), len(payload) if response else int(fields(http)["content-length"]), digest, head["warc-type"],
                              _page(head.get("warc-refers-to")), payload if response else None))
+                held += len(payload)
+                if held > STEP_BYTES:
+                    yield found(rows)
+                    rows, held = [], 0
             if rows:
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                yield found(rows)
 
     return index.select("archive", "offset", "length", "record_id", "record_type").mapInArrow(
         run, "page string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
