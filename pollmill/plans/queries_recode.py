@@ -31,9 +31,12 @@ def sql_strip(c):
 
 # --- sources and sinks ---------------------------------------------------------------
 def _customer_books(spark, sf, widths=None):
+    """Cells of the customers' workbooks, 200 rows a file, written to the shared folder and scanned there."""
     c = load(spark, sf, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.floor(F.col("c_custkey") / 200).cast("int").alias("chunk"))
-    return WB.parse_workbooks(workbooks(c, "chunk", "c_custkey", widths))
+    folder = new_path(spark, "books")
+    WB.write_workbooks(workbooks(c, "chunk", "c_custkey", widths), folder)
+    return WB.scan_workbooks(spark, folder).withColumn("file", WB.file_name())
 
 
 @query("scan_workbooks", """

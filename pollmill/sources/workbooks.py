@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import norm_ws
 
@@ -86,10 +87,38 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
 
 
 def scan_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of every workbook under a folder."""
+    """Cells of every workbook under a folder; ``file`` is its full path."""
     return parse_workbooks(spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path))
 
 
+def file_name(path: str = "file") -> Column:
+    return F.regexp_extract(path, r"[^/]+$", 0)
+
+
+def write_workbooks(books: DataFrame, path: str) -> None:
+    """The workbooks of (path, content) as files below the folder ``path``, each named by its row's path.
+
+    Tasks write through Arrow's file systems, and a file shows up under its name only when whole: a task that runs again puts the same
+    bytes in its place.
+    """
+    from pyarrow import fs
+    system, base = fs.FileSystem.from_uri(path)
+    system.create_dir(base, recursive=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        system, base = fs.FileSystem.from_uri(path)
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                part = f"{base}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(part, compression=None) as out:
+                    out.write(content)
+                system.move(part, f"{base}/{name}")
+            yield pdf[["path"]]
+
+    books.select("path", "content").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def sheet_headers(cells: DataFrame) -> DataFrame:
     """(file, col, header); a missing header becomes its column code, the last header gives the width."""
     head = cells.filter("row = 1")

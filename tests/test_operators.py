@@ -2,6 +2,8 @@
 
 import io
 import math
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from pollmill.plans import profile as P, views as V
 from pollmill.operators.partials import add_up, collected
 from pollmill.plans.workbook_data import workbook_bytes
 from pollmill.sources import workbooks as WB
+from pollmill.sources.ship import package_bytes
 
 SF = "/root/testdata/sf0.001"
 
@@ -303,6 +306,26 @@ def test_workbooks_shared_inline_missing_header_and_ragged(spark):
         WB.require_layout(65)
 
 
+def test_workbooks_written_from_tasks_are_read_back_from_files(spark, tmp_path):
+    books = [(f"{i}.xlsx", bytearray(workbook_bytes([["a", "b"], [f"v{i}", i]], shared=bool(i % 2)))) for i in range(7)]
+    df = spark.createDataFrame(books, "path string, content binary").repartition(3)
+    folder = tmp_path.as_uri() + "/books"
+    WB.write_workbooks(df, folder)
+    WB.write_workbooks(df, folder)  # a task that runs again
+    (tmp_path / "books" / "notes.txt").write_text("no workbook")
+    cells = WB.scan_workbooks(spark, folder).withColumn("file", WB.file_name())
+    assert values(WB.sheet_rows(cells, 2), "file", "row_no", "R01", "R02") == [(f"{i}.xlsx", 1, f"v{i}", str(i)) for i in range(7)]
+    empty = tmp_path.as_uri() + "/none"
+    WB.write_workbooks(df.limit(0), empty)
+    assert WB.scan_workbooks(spark, empty).count() == 0
+
+
+def test_the_shipped_archive_holds_every_module():
+    root = Path(WB.__file__).resolve().parents[1]
+    names = zipfile.ZipFile(io.BytesIO(package_bytes(root))).namelist()
+    assert len(names) == len(list(root.rglob("*.py"))) and "pollmill/__init__.py" in names and "pollmill/sources/ship.py" in names
+
+
 def test_results_do_not_depend_on_partitioning(spark):
     s = V.view(spark, SF, "survey")
     for op in (lambda d: D.freq_table(d, ["C002", "C052"]), lambda d: K.kruskal_wallis(d, "C052", "C002").select("n", F.round("h", 8)),
