@@ -579,17 +579,23 @@ def top2_margin(shares: Column) -> Column:
     return F.when(F.size(s) >= 2, s[0] - F.try_element_at(s, F.lit(2))).otherwise(F.lit(1.0))
 
 
-def soft_segment(frame: DataFrame, centres: DataFrame, focus, id_col: str = "respondent_id") -> DataFrame:
-    """(id, affinity, certainty, segment): exp(-distance) shares and a 30/70 cut of the focus cluster's share.
+def soft_segment(frame: DataFrame, centres: DataFrame, focus, id_col: str = "respondent_id", hard: str | None = None, names: DataFrame | None = None) -> DataFrame:
+    """(id, hard_cluster, hard_cluster_name, affinity, certainty, segment): exp(-distance) shares and a 30/70 cut of the focus cluster's share.
 
-    ``centres`` is a small table (cluster, center); ``focus`` is the cluster the affinity is measured to.
+    ``centres`` is a small table (cluster, center); ``focus`` is the cluster the affinity is measured to; ``hard`` is the frame's own label and
+    ``names`` a small table (cluster, cluster_name). Without them the columns are left out.
     """
+    own = [F.col(hard).cast("int").alias("hard_cluster")] if hard else []
+    if hard and names is not None:
+        known = names.agg(F.map_from_entries(F.collect_list(F.struct(F.col("cluster").cast("int"), "cluster_name"))).alias("m")).scalar()
+        frame = frame.withColumn("_n", known)
+        own.append(F.try_element_at("_n", F.col(hard).cast("int")).alias("hard_cluster_name"))
     table = centres.agg(F.array_sort(F.collect_list(F.struct(F.col("cluster").alias("k"), F.col("center").alias("c")))).alias("t")).scalar()
     raw = F.transform(F.col("_t"), lambda t: F.exp(-euclidean(F.col("z"), t["c"])))
     shares = F.transform(F.col("_w"), lambda w: w / F.aggregate(F.col("_w"), F.lit(0.0), lambda a, v: a + v))
     keys = F.transform(F.col("_t"), lambda t: t["k"])
     rows = (frame.withColumn("_t", table).withColumn("_w", raw).withColumn("_s", shares)
-            .select(id_col, F.element_at("_s", F.array_position(keys, focus).cast("int")).alias("affinity"), top2_margin(F.col("_s")).alias("certainty")))
+            .select(id_col, *own, F.element_at("_s", F.array_position(keys, focus).cast("int")).alias("affinity"), top2_margin(F.col("_s")).alias("certainty")))
     cutoff = soft_quantile_cut(rows, "affinity").select(F.struct("q_low", "q_high")).scalar()
     seg = (F.when(F.col("affinity") >= F.col("_c.q_high"), P.SOFT_SEGMENTS["high"])
            .when(F.col("affinity") <= F.col("_c.q_low"), P.SOFT_SEGMENTS["low"]).otherwise(P.SOFT_SEGMENTS["grey"]))

@@ -64,16 +64,16 @@ def top_loadings(categories: DataFrame, k: int = 8) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def mca_rows(df: DataFrame, items: list[str], anchors: dict[str, list[str]], id_col: str = "respondent_id", min_n: int = 30) -> DataFrame:
-    """(id, dim1, dim2, quadrant): row scores are averages of their categories' axis values, read from a literal map.
+def mca_rows(df: DataFrame, items: list[str], anchors: dict[str, list[str]], id_col: str = "respondent_id", min_n: int = 30, keep=()) -> DataFrame:
+    """(id, keep, dim1, dim2, quadrant): row scores are averages of their categories' axis values, read from a literal map.
 
     Each axis is turned so that it correlates positively with the sum of its anchor items.
     """
     axes = Axes(burt_counts(df, items), len(items))
     if axes.n < min_n:
         none = F.lit(None).cast("double")
-        return df.select(id_col, none.alias("dim1"), none.alias("dim2"), F.lit("NA").alias("quadrant"))
-    scored = df.select(id_col, *items)
+        return df.select(id_col, *keep, none.alias("dim1"), none.alias("dim2"), F.lit("NA").alias("quadrant"))
+    scored = df.select(id_col, *keep, *items)
     for d in (0, 1):
         parts = []
         for item in items:
@@ -86,7 +86,7 @@ def mca_rows(df: DataFrame, items: list[str], anchors: dict[str, list[str]], id_
         if r is not None and r < 0:
             scored = scored.withColumn(dim, -F.col(dim))
     quad = F.coalesce(S.quadrant_label("dim1", "dim2", 0, 0, P.MCA_QUADRANTS), F.lit("NA"))
-    return scored.select(id_col, "dim1", "dim2", quad.alias("quadrant"))
+    return scored.select(id_col, *keep, "dim1", "dim2", quad.alias("quadrant"))
 
 
 def quadrant_shares(rows: DataFrame) -> DataFrame:

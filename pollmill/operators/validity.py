@@ -49,7 +49,22 @@ def external_validity(df: DataFrame, by=(), cluster: str = "cluster", status: st
     tests = chi.unionByName(kw).withColumn("p_value", chi2_p("statistic", "df"))
     out = totals.join(tests, keys).join(_stats(kept, keys, cluster), keys)
     sig = (F.col("p_value") < alpha) & (F.col("effect_size") >= min_effect)
-    return out.withColumn("is_sig_with_effect", F.coalesce(sig, F.lit(False)).cast("int")).drop("kind")
+    names = {layer: name for layer, name, _, _ in layers}
+    labels = {v: label for _, _, _, variables in layers for v, label, _ in variables}
+    return out.withColumns({"is_sig_with_effect": F.coalesce(sig, F.lit(False)).cast("int"), "layer_name": _named(names, "layer_id"),
+                            "variable_label": _named(labels, "variable")}).drop("kind")
+
+
+def _named(names: dict[str, str], key: str):
+    return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col(key)]
+
+
+def layer_sizes(df: DataFrame, by=(), status: str = "C008", layers=P.VALIDITY_LAYERS) -> DataFrame:
+    """(by, layer_id, layer_name, layer_n): the rows of every layer, none left out."""
+    inside = [F.col(status).isNotNull() if code is None else F.col(status) == code for _, _, code, _ in layers]
+    counts = df.groupBy(*by).agg(*[F.count_if(cond).alias(f"_n{i}") for i, cond in enumerate(inside)])
+    rows = [F.struct(F.lit(layer).alias("layer_id"), F.lit(name).alias("layer_name"), F.col(f"_n{i}").alias("layer_n")) for i, (layer, name, _, _) in enumerate(layers)]
+    return counts.select(*by, F.inline(F.array(*rows)))
 
 
 def _stats(cells: DataFrame, keys: list[str], cluster: str) -> DataFrame:
@@ -59,14 +74,15 @@ def _stats(cells: DataFrame, keys: list[str], cluster: str) -> DataFrame:
     return means.groupBy(*keys).agg(F.array_join(text, "|").alias("cluster_stats"))
 
 
-def layer_summary(detail: DataFrame, by=()) -> DataFrame:
-    """Per layer: variables tested, significant, mean effect and layer score."""
+def layer_summary(detail: DataFrame, sizes: DataFrame, by=()) -> DataFrame:
+    """Per layer of ``sizes``: its rows, variables tested, significant, mean effect and layer score; a layer without tests scores 0."""
     done = F.col("statistic").isNotNull()
-    effect = F.avg(F.when(done, F.col("effect_size")))
-    return detail.groupBy(*by, "layer_id").agg(
+    per_layer = detail.groupBy(*by, "layer_id").agg(
         F.count(F.lit(1)).alias("tested_vars_n"), F.sum("is_sig_with_effect").alias("sig_vars_n"),
-        F.sum(F.col("is_sig_with_effect") * F.col("score_included")).alias("scored_sig_vars_n"), effect.alias("mean_effect"),
-        (F.sum("is_sig_with_effect") + F.coalesce(effect, F.lit(0.0)) * 10.0).alias("layer_score"))
+        F.sum(F.col("is_sig_with_effect") * F.col("score_included")).alias("scored_sig_vars_n"),
+        F.avg(F.when(done, F.col("effect_size"))).alias("mean_effect"))
+    out = sizes.join(per_layer, [*by, "layer_id"], "left").fillna(0, ["tested_vars_n", "sig_vars_n", "scored_sig_vars_n"])
+    return out.withColumn("layer_score", F.col("sig_vars_n") + F.coalesce("mean_effect", F.lit(0.0)) * 10.0)
 
 
 def overall_score(detail: DataFrame, by=()) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..operators import cluster as C, describe as D, grid as G, quality as Q, stability as ST, validity as V
 from ..sources import tables as T
-from ..sources.scratch import new_path, spread
+from ..sources.scratch import new_path, once, spread
 from . import profile as P
-from .queries_quality import clean, flagged, flags_ctes, scored, scored_ctes
+from .queries_quality import clean, clean_ctes, flagged, flags_ctes, scored, scored_ctes
 from .queries_recode import sql_list
 from .queries_tables import _seg_ctes, _segmented, _PROFILE_SQL
 from .registry import query, r6, rounded
@@ -205,24 +205,36 @@ def _three(spark, sf):
     return scored(spark, sf).withColumn("cluster", (F.col("C002") % 3 + 1).cast("int"))
 
 
-@query("external_validity", oracle("survey", _validity_sql() + " SELECT layer_id, variable, score_included, n, test, round(statistic, 5) AS statistic, df, round(effect_size, 6) AS effect_size, round(p_value, 6) AS p_value, is_sig_with_effect FROM det"))
+_LABELS_SQL = ", lab AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{layer}', '{name}', '{v}', '{label}')" for layer, name, _, variables in P.VALIDITY_LAYERS for v, label, _ in variables) + ") v(layer_id, layer_name, variable, variable_label))"
+_SIZES_SQL = ", sizes AS (" + " UNION ALL ".join(
+    f"SELECT '{layer}' AS layer_id, '{name}' AS layer_name, count(*) AS layer_n FROM seg WHERE {'C008 IS NOT NULL' if code is None else f'C008 = {code}'}" for layer, name, code, _ in P.VALIDITY_LAYERS) + ")"
+
+
+@query("external_validity", oracle("survey", _validity_sql() + _LABELS_SQL + " SELECT layer_id, layer_name, variable, variable_label, score_included, n, test, round(statistic, 5) AS statistic, df, round(effect_size, 6) AS effect_size, round(p_value, 6) AS p_value, is_sig_with_effect FROM det JOIN lab USING (layer_id, variable)"))
 def _(spark, sf):
     d = V.external_validity(_three(spark, sf)).drop("cluster_stats")
     return rounded(d, "effect_size", "p_value").withColumn("statistic", r6("statistic", 5))
 
 
-@query("external_validity_layers", oracle("survey", _validity_sql() + """ SELECT layer_id, count(*) AS tested_vars_n, cast(sum(is_sig_with_effect) AS bigint) AS sig_vars_n, cast(sum(is_sig_with_effect * score_included) AS bigint) AS scored_sig_vars_n,
- round(avg(effect_size), 6) AS mean_effect, round(sum(is_sig_with_effect) + 10 * avg(effect_size), 6) AS layer_score FROM det GROUP BY 1"""))
+@query("external_validity_layers", oracle("survey", _validity_sql() + _SIZES_SQL + """ SELECT layer_id, layer_name, layer_n, count(det.variable) AS tested_vars_n, cast(coalesce(sum(is_sig_with_effect), 0) AS bigint) AS sig_vars_n,
+ cast(coalesce(sum(is_sig_with_effect * score_included), 0) AS bigint) AS scored_sig_vars_n, round(avg(effect_size), 6) AS mean_effect,
+ round(coalesce(sum(is_sig_with_effect), 0) + 10 * coalesce(avg(effect_size), 0), 6) AS layer_score FROM sizes LEFT JOIN det USING (layer_id) GROUP BY 1, 2, 3"""))
 def _(spark, sf):
-    return rounded(V.layer_summary(V.external_validity(_three(spark, sf))), "mean_effect", "layer_score")
+    rows = _three(spark, sf)
+    return rounded(V.layer_summary(V.external_validity(rows), V.layer_sizes(rows)), "mean_effect", "layer_score")
 
 
 # --- clustering ------------------------------------------------------------------------------------
 @query("cluster_two_stage")
 def _(spark, sf):
-    frame = C.vectors(C.scale_features(C.feature_matrix(scored(spark, sf), "baseline"), C.BASELINE), C.BASELINE)
-    _, labelled = C.cluster_two_stage(frame)
-    return labelled.select("respondent_id", F.posexplode("labels").alias("m", "cluster")).groupBy((F.col("m") + 2).alias("k"), "cluster").agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for name in C.FEATURE_SETS:
+        _, labelled = C.cluster_two_stage(G.prepared(scored(spark, sf), name, "zscore"))
+        sizes = labelled.select(F.posexplode("labels").alias("m", "cluster")).groupBy((F.col("m") + 2).alias("k"), "cluster").agg(F.count(F.lit(1)).alias("n"))
+        part = sizes.withColumn("feature_set", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("cluster_two_stage_embeddings")
@@ -284,12 +296,50 @@ def _(spark, sf):
     return Q.survey_model(c, labelled.select("respondent_id", F.col("labels")[0].alias("cluster")))
 
 
+def main_labels(spark, sf):
+    """(respondent_id, cluster) of the main model: fitted and written once an application."""
+    return once(spark, "main-labels", load(spark, sf, "orders"), lambda: _main_model(spark, sf)[4])
+
+
+_GIVEN_MODEL = sorted({"attention_flag", "logic_flag", "invalid_union_flag"})
+
+
+@query("survey_model_given", oracle("survey", clean_ctes() + " SELECT respondent_id, C008 AS visit_group, visit_depth_bin, " + ", ".join(_GIVEN_MODEL) + ", cast(C002 % 4 + 1 AS int) AS cluster_label, "
+       + ", ".join(f"round({x}, 6) AS {x}" for x in [*P.SCORES, *P.COUNTS]) + " FROM clean"))
+def _(spark, sf):
+    labels = _segmented(spark, sf).select("respondent_id", "cluster")
+    return rounded(Q.survey_model(clean(spark, sf), labels), *P.SCORES, *P.COUNTS)
+
+
+_NAMES_SQL = """ a1 AS (SELECT cluster AS c1 FROM prof ORDER BY cognition_mean + motive_count DESC, cluster LIMIT 1),
+ b1 AS (SELECT cluster AS c2 FROM prof, a1 WHERE cluster <> c1 ORDER BY promo_pref_count DESC, cluster LIMIT 1), d1 AS (SELECT cluster AS c3 FROM prof, a1, b1 WHERE cluster NOT IN (c1, c2) ORDER BY performance_mean DESC, cluster LIMIT 1),
+ nm AS (SELECT cluster, CASE cluster WHEN c1 THEN '文化深度体验型' WHEN c2 THEN '价格优惠敏感型' WHEN c3 THEN '品质稳定复游型' ELSE '轻度打卡观光型' END AS cluster_name FROM prof, a1, b1, d1)"""
+
+
+# Labels are given here, so that every column has a check; soft_segment_summary takes those of the fitted model.
+@query("soft_segment_rows", oracle("survey", _seg_ctes() + f", {_PROFILE_SQL}, {_NAMES_SQL}, z AS (SELECT respondent_id, cluster, [{', '.join(_scale_sql('zscore', c) for c in _SF)}] AS z FROM seg)," + """
+ zl AS (SELECT cluster, unnest(z) AS v, generate_subscripts(z, 1) AS j FROM z), zm AS (SELECT cluster, j, avg(v) AS v FROM zl GROUP BY 1, 2), zc AS (SELECT cluster AS k, list(v ORDER BY j) AS c FROM zm GROUP BY 1),
+ zd AS (SELECT respondent_id, cluster, k, exp(-list_distance(z, c)) AS w FROM z CROSS JOIN zc), zs AS (SELECT *, w / sum(w) OVER (PARTITION BY respondent_id) AS p, row_number() OVER (PARTITION BY respondent_id ORDER BY w DESC) AS r FROM zd),
+ za AS (SELECT respondent_id, cluster, max(p) FILTER (WHERE k = (SELECT c1 FROM a1)) AS affinity, max(p) FILTER (WHERE r = 1) - max(p) FILTER (WHERE r = 2) AS certainty FROM zs GROUP BY 1, 2),
+ zq AS (SELECT quantile_cont(affinity, 0.3) AS lo, quantile_cont(affinity, 0.7) AS hi FROM za)
+ SELECT respondent_id, cluster AS hard_cluster, cluster_name AS hard_cluster_name, round(affinity, 6) AS affinity, round(certainty, 6) AS certainty,
+ CASE WHEN affinity >= hi THEN '高亲和C2_文化深度型' WHEN affinity <= lo THEN '高亲和C1_价格权益型' ELSE '灰区_待探索' END AS soft_segment FROM za JOIN nm USING (cluster), zq"""))
+def _(spark, sf):
+    s = _segmented(spark, sf)
+    names = C.cluster_names(D.group_profile(s)).select("cluster", "cluster_name")
+    z = F.array(*[F.col(c).cast("double") for c in _SF]).alias("z")
+    frame = C.scale_features(s, _SF, "zscore", ("respondent_id", "cluster")).select("respondent_id", "cluster", z)
+    means = frame.groupBy("cluster").agg(F.array(*[F.avg(F.col("z")[j]) for j in range(len(_SF))]).alias("center"))
+    focus = names.filter(F.col("cluster_name") == P.CLUSTER_NAMES[0]).select("cluster").scalar()
+    return rounded(C.soft_segment(frame, means, focus, hard="cluster", names=names), "affinity", "certainty")
+
+
 @query("soft_segment_summary")
 def _(spark, sf):
     s, _, frame, centres, labels = _main_model(spark, sf)
-    prof = C.cluster_names(D.group_profile(s.join(labels, "respondent_id")))
-    focus = prof.filter(F.col("cluster_name") == P.CLUSTER_NAMES[0]).select("cluster").scalar()
-    return C.soft_summary(C.soft_segment(frame, C.centre_table(spark, centres), focus))
+    names = C.cluster_names(D.group_profile(s.join(labels, "respondent_id"))).select("cluster", "cluster_name")
+    focus = names.filter(F.col("cluster_name") == P.CLUSTER_NAMES[0]).select("cluster").scalar()
+    return C.soft_summary(C.soft_segment(frame.join(labels, "respondent_id"), C.centre_table(spark, centres), focus, hard="cluster", names=names))
 
 
 # --- the published result -----------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mca as A, sem as E
 from . import profile as P
+from .queries_cluster import main_labels
 from .queries_quality import scored, scored_ctes
 from .queries_recode import SQL_ERF
 from .registry import query, r6, rounded
@@ -59,7 +60,8 @@ _ANCHORS = {"dim1": ["C007", "C006", "C008"], "dim2": ["C090", "C091"]}
 
 @query("mca_rows")
 def _(spark, sf):
-    return A.mca_rows(scored(spark, sf), P.MCA_ITEMS, _ANCHORS)
+    labels = main_labels(spark, sf).withColumnRenamed("cluster", "hard_cluster")
+    return A.mca_rows(scored(spark, sf).join(labels, "respondent_id"), P.MCA_ITEMS, _ANCHORS, keep=("hard_cluster",))
 
 
 @query("mca_quadrants")

@@ -12,7 +12,7 @@ from ..sources.scratch import cut
 from . import profile as P
 from .newton_sql import newton, two_sided
 from .queries_quality import clean, clean_ctes, flagged, flags_ctes, scored, scored_ctes, _PRED_SQL
-from .queries_recode import sql_list, _sql_values
+from .queries_recode import sql_list, _sql_audit, _sql_log, _sql_values
 from .registry import query, r6, rounded
 from .views import load, oracle, view
 
@@ -202,12 +202,27 @@ def _(spark, sf):
     return D.flag_totals(flagged(spark, sf), _ALL_FLAGS)
 
 
-@query("run_metrics", oracle("survey", flags_ctes() + " SELECT 'n_samples' AS metric, count(*)::double AS value FROM flagged UNION ALL SELECT 'n_samples_main', count_if(invalid_union_flag = 0)::double FROM flagged UNION ALL "
-       + " UNION ALL ".join(f"SELECT '{f}_n', sum({f})::double FROM flagged" for f in _ALL_FLAGS)))
+_CONVERTED = ["n_rows", "unknown_value_count", "unknown_value_rate", "other_text_count", "branch_conflict_count", "branch_conflict_rate", "conversion_integrity"]
+_SCREEN_METRICS = oracle("survey", flags_ctes() + " SELECT 'n_samples' AS metric, count(*)::double AS value FROM flagged UNION ALL SELECT 'n_samples_main', count_if(invalid_union_flag = 0)::double FROM flagged UNION ALL "
+                         + " UNION ALL ".join(f"SELECT '{f}_n', sum({f})::double FROM flagged" for f in _ALL_FLAGS))
+_MODEL_METRICS = "SELECT m.metric, m.value FROM (" + oracle("survey", clean_ctes() + " " + _BLOCK_CHECK) + """) c,
+ LATERAL (SELECT 'alpha_' || block AS metric, alpha::double AS value UNION ALL SELECT 'alpha_n_' || block, n_complete::double) m"""
+_CONVERSION_METRICS = "SELECT m.metric, m.value FROM (" + oracle("raw64", _sql_log() + _sql_audit()) + ") c, LATERAL (" + " UNION ALL ".join(
+    f"SELECT 'conversion_{x}' AS metric, c.{x}::double AS value" for x in _CONVERTED) + ") m"
+
+
+@query("run_metrics", f"""WITH steps AS (SELECT 'screen' AS step, * FROM ({_SCREEN_METRICS}) UNION ALL SELECT 'reliability', * FROM ({_MODEL_METRICS}) UNION ALL SELECT 'conversion', * FROM ({_CONVERSION_METRICS}))
+ SELECT step, metric, value FROM steps UNION ALL SELECT step, 'step_done', cast(count(*) > 0 AS int)::double FROM steps GROUP BY 1""")
 def _(spark, sf):
     row = flagged(spark, sf).agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(F.col("invalid_union_flag") == 0).alias("n_samples_main"),
                                  *[F.sum(f).alias(f"{f}_n") for f in _ALL_FLAGS])
-    return T.metrics_table(row)
+    alpha = rounded(M.cronbach_alpha(clean(spark, sf), P.RELIABILITY_BLOCKS), "alpha")
+    audit = rounded(R.conversion_audit(view(spark, sf, "raw64"), P), "unknown_value_rate", "branch_conflict_rate", "conversion_integrity", digits=8)
+    return T.run_metrics({
+        "screen": T.metrics_table(row),
+        "reliability": T.metrics_table(alpha.select("block", F.col("alpha"), F.col("n_complete").alias("alpha_n")), ["block"]).select(
+            F.concat_ws("_", "metric", "block").alias("metric"), "value"),
+        "conversion": T.metrics_table(audit.select(*[F.col(x).alias(f"conversion_{x}") for x in _CONVERTED]))})
 
 
 @query("item_means", oracle("survey", scored_ctes() + ", " + _long_sql(P.IMPORTANCE + P.PERFORMANCE) + " SELECT item, round(avg(code), 6) AS mean FROM lng GROUP BY 1"))

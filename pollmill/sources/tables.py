@@ -123,3 +123,14 @@ def metrics_table(row: DataFrame, group: list[str] = ()) -> DataFrame:
     names = [c for c in row.columns if c not in group]
     return row.select(*group, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(
         list(group), names, "metric", "value")
+
+
+def run_metrics(steps: dict[str, DataFrame]) -> DataFrame:
+    """(step, metric, value) of a run: the metric rows of every step and step_done, which is 0 for a step that gave none."""
+    out = None
+    for name, rows in steps.items():
+        kept = rows.select(F.lit(name).alias("step"), "metric", "value")
+        done = rows.agg((F.count(F.lit(1)) > 0).cast("double").alias("value")).select(F.lit(name).alias("step"), F.lit("step_done").alias("metric"), "value")
+        part = kept.unionByName(done)
+        out = part if out is None else out.unionByName(part)
+    return out
