@@ -19,11 +19,14 @@ from ..functions import scores as S
 from ..plans import profile as P
 from ..sources.scratch import cut, spread
 from .describe import long_items
-from .partials import batches_of, collected
+from .partials import add_up, batches_of, collected
 from .ranks import running_totals
 
 MAX_MICRO = 1024
 LLOYD_STEPS = 80
+#: Rows of a block of the all-pairs silhouette, of a step inside a tile, and of a row of sums it emits.
+BLOCK = 1 << 15
+_STEP, _PIECE = 256, 4096
 
 
 # --- features ---------------------------------------------------------------------------
@@ -477,9 +480,131 @@ def cluster_distances(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.createDataFrame(rows, "own int, other int, mean_squared_distance double")
 
 
+def _blocks(frame: DataFrame, n: int) -> DataFrame:
+    """(tile_a, tile_b, side, pos, z, labels): rows dealt to blocks of at most about ``BLOCK`` rows; a tile is a pair of blocks and holds both.
+
+    Tiles bound the memory of a task by two blocks. A block travels once a block, n / BLOCK times, never once a row.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    # enough tiles for every core, also where the table is small
+    blocks = max(math.ceil(n / BLOCK), min(math.ceil(math.sqrt(2 * cores)), math.ceil(n / 256)), 1)
+    # the frame is materialised, so that positions stay what they are
+    rows = cut(frame.select("z", "labels").withColumn("pos", F.monotonically_increasing_id()).withColumn("block", F.pmod("pos", F.lit(blocks)).cast("int")))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return met.select(F.least("block", "other").alias("tile_a"), F.greatest("block", "other").alias("tile_b"), (F.col("block") > F.col("other")).cast("int").alias("side"), "pos", "z", "labels")
+
+
+def _tiles(frame: DataFrame, n: int, reduce, schema: str) -> DataFrame:
+    """``reduce(a, b, xa, la, xb, lb)`` of every tile: its two blocks' vectors and labels in order of position; the same block twice on the diagonal."""
+    def run(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        a, b = (k.as_py() for k in keys)
+        side = table.column("side").to_numpy()
+        order = np.lexsort((table.column("pos").to_numpy(), side))
+        x, lab = (_z(table.select([c]).combine_chunks().to_batches()[0], c)[order] for c in ("z", "labels"))
+        x = x - x.mean(axis=0)  # distances are those of the rows; near zero fewer digits cancel
+        m = int((side == 0).sum())
+        return reduce(a, b, x[:m], lab[:m], *((x[:m], lab[:m]) if a == b else (x[m:], lab[m:])))
+
+    return _blocks(frame, n).groupBy("tile_a", "tile_b").applyInArrow(run, schema)
+
+
+def _distance_sums(xa, ha, xb, hb, same: bool):
+    """Sums of Euclidean distances of every row of a to b's clusters, and of b to a's, in steps of ``_STEP`` rows."""
+    to_b, to_a = np.zeros((len(xa), hb.shape[1])), np.zeros((len(xb), ha.shape[1]))
+    na, nb = (xa ** 2).sum(axis=1), (xb ** 2).sum(axis=1)
+    for i in range(0, len(xa), _STEP):
+        for j in range(i if same else 0, len(xb), _STEP):
+            u, v = slice(i, i + _STEP), slice(j, j + _STEP)
+            d = xa[u] @ xb[v].T
+            d *= -2.0
+            d += na[u, None]
+            d += nb[None, v]
+            np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+            if same and i == j:
+                np.fill_diagonal(d, 0.0)
+                to_b[u] += d @ hb[v]
+            else:
+                to_b[u] += d @ hb[v]
+                to_a[v] += d.T @ ha[u]
+    return (to_b + to_a, None) if same else (to_b, to_a)
+
+
+def _label_sizes(frame: DataFrame, models: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per model: its labels in order and their counts."""
+    counts = frame.select(F.posexplode("labels").alias("m", "k")).groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).collect()
+    by = [sorted((r["k"], r["n"]) for r in counts if r["m"] == m) for m in range(models)]
+    return [(np.array([k for k, _ in v], dtype=int), np.array([n for _, n in v], dtype=float)) for v in by]
+
+
+def _exact_silhouette(frame: DataFrame, models: int) -> list[float | None]:
+    """Euclidean over all pairs of rows: a tile emits the distance sums of its rows to the clusters, never pairs."""
+    sizes = _label_sizes(frame, models)
+    first = np.cumsum([0, *(len(levels) for levels, _ in sizes)])
+    width, total = int(first[-1]), int(sizes[0][1].sum()) if len(sizes[0][1]) else 0
+    # numbers a row: a sum per label, then its own labels, which the diagonal tile knows
+    names, kinds = ["block", "piece"], [pa.int32(), pa.int32()]
+
+    def hot(lab):
+        return np.column_stack([_one_hot(lab[:, m], levels) for m, (levels, _) in enumerate(sizes)])
+
+    def reduce(a, b, xa, la, xb, lb):
+        keys, n, arrays = [], [], []
+        sums = _distance_sums(xa, hot(la), xb, hot(lb), a == b)
+        for block, s, lab in ((a, sums[0], la if a == b else np.zeros_like(la)), (b, sums[1], np.zeros_like(lb))):
+            if s is not None:
+                both = np.column_stack([s, lab])
+                for p, i in enumerate(range(0, len(both), _PIECE)):
+                    keys.append((block, p))
+                    n.append(0)
+                    arrays.append(both[i:i + _PIECE].ravel())
+        return pa.Table.from_batches(batches_of(keys, n, arrays, names, kinds))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[int, list] = {}
+        for b in batches:
+            s = b.column(b.num_columns - 1)
+            if b.num_rows:
+                rows = s.flatten().to_numpy(zero_copy_only=False).reshape(-1, width + models)
+                lab = rows[:, width:].astype(int)
+                for m, (levels, n) in enumerate(sizes):
+                    if len(levels) > 1:
+                        _grouped_sums(_score(rows[:, first[m]:first[m + 1]].copy(), lab[:, m], levels, n)[:, None], np.full(len(rows), m, dtype=np.int32), acc)
+        yield from _emit(acc)
+
+    part = _tiles(frame, total, reduce, "block int, piece int, n bigint, s array<double>")
+    got = collect_sums(add_up(part, names).mapInArrow(score, _SUMS))
+    return [float(got[m][1][0] / got[m][0]) if m in got else None for m in range(models)]
+
+
+def pair_distances(frame: DataFrame) -> DataFrame:
+    """(own, other, mean_distance): mean over the rows of ``own`` of their mean Euclidean distance to the other rows of ``other``, over all pairs."""
+    levels, size = _label_sizes(frame, 1)[0]
+
+    def reduce(a, b, xa, la, xb, lb):
+        ha, hb = _one_hot(la[:, 0], levels), _one_hot(lb[:, 0], levels)
+        to_b, _ = _distance_sums(xa, ha, xb, hb, a == b)
+        both = ha.T @ to_b
+        return pa.Table.from_batches(batches_of([()], [0], [(both if a == b else both + both.T).ravel()], [], []))
+
+    total = int(size.sum())
+    got = collected(_tiles(frame, total, reduce, "n bigint, s array<double>"), []) if total else {}
+    rows = []
+    for sums in (v.reshape(len(levels), -1) for _, v in got.values()):
+        for i, a in enumerate(levels):
+            for j, b in enumerate(levels):
+                others = size[j] - (i == j)
+                if others > 0:
+                    rows.append((int(a), int(b), float(sums[i, j] / (size[i] * others))))
+    return frame.sparkSession.createDataFrame(rows, "own int, other int, mean_distance double")
+
+
 def silhouette(frame: DataFrame, models: int = 1, method: str = "micro") -> list[dict]:
-    """Mean silhouette of every labelling, in passes that grow with the rows: Euclidean from cells ('micro'), or exact on squared distances ('squared')."""
-    got = _squared_silhouette(frame, models) if method == "squared" else _micro_silhouette(frame, models, _width(frame))
+    """Mean silhouette of every labelling: Euclidean from cells ('micro') or exact on squared distances ('squared'), in passes that grow with the rows,
+    or Euclidean over all pairs ('exact'), whose time grows with their square."""
+    if method == "exact":
+        got = _exact_silhouette(frame, models)
+    else:
+        got = _squared_silhouette(frame, models) if method == "squared" else _micro_silhouette(frame, models, _width(frame))
     return [{"silhouette": v, "silhouette_method": method} for v in got]
 
 

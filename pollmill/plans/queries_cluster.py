@@ -98,13 +98,13 @@ def _(spark, sf):
     return rounded(C.nearest_center(_embeddings(spark, sf), _centres(spark, sf), "vec_id"), "distance")
 
 
-_PAIR_SQL = f"""WITH {_CEN}, p AS (SELECT a.vec_id, a.cluster AS own, b.cluster AS other, sum(power(list_distance(a.z, b.z), 2)) AS s, count(*) AS n FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+_PAIR_SQL = f"""WITH {_CEN}, p AS (SELECT a.vec_id, a.cluster AS own, b.cluster AS other, sum(list_distance(a.z, b.z)) AS s, count(*) AS n FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
  ab AS (SELECT vec_id, max(s / n) FILTER (WHERE own = other) AS a, min(s / n) FILTER (WHERE own <> other) AS b FROM p GROUP BY 1)"""
 
 
 @query("silhouette", _PAIR_SQL + " SELECT round(avg(CASE WHEN greatest(coalesce(a, 0), b) > 0 THEN (b - coalesce(a, 0)) / greatest(coalesce(a, 0), b) ELSE 0 END), 6) AS silhouette FROM ab")
 def _(spark, sf):
-    got = C.silhouette(spread(_embeddings(spark, sf), "vec_id"), 1, "squared")[0]
+    got = C.silhouette(spread(_embeddings(spark, sf), "vec_id"), 1, "exact")[0]
     return spark.createDataFrame([(round(got["silhouette"], 6),)], "silhouette double")
 
 
@@ -114,9 +114,9 @@ def _(spark, sf):
     return spark.createDataFrame([(got["silhouette"], got["silhouette_method"])], "silhouette double, silhouette_method string")
 
 
-@query("pairwise_distance", _PAIR_SQL + " SELECT own, other, round(avg(s / n), 5) AS mean_squared_distance FROM p GROUP BY 1, 2")
+@query("pairwise_distance", _PAIR_SQL + " SELECT own, other, round(avg(s / n), 5) AS mean_distance FROM p GROUP BY 1, 2")
 def _(spark, sf):
-    return rounded(C.cluster_distances(spread(_embeddings(spark, sf), "vec_id")), "mean_squared_distance", digits=5)
+    return rounded(C.pair_distances(spread(_embeddings(spark, sf), "vec_id")), "mean_distance", digits=5)
 
 
 @query("ch_index", f"""WITH {_CEN}, o AS (SELECT j, avg(v) AS v FROM lng GROUP BY 1), ov AS (SELECT list(v ORDER BY j) AS c FROM o),

@@ -402,3 +402,33 @@ def test_many_levels_are_numbers_not_columns(spark):
     for i in range(3000):
         want = [i % 1500 - 1] if i % 7 and i % 1500 else []
         assert got[i] == want + ([1499 + i % 3 - 1] if i % 3 else [])
+
+
+def _labelled_blobs(spark, n):
+    df, x, lab = _blobs(spark, n)
+    lab = np.where(np.arange(n) < 5, (lab + 1) % 3, lab)
+    lab[7] = 9  # a cluster of one row
+    return C.cut(df.join(spark.createDataFrame([(i, [int(v) + 1]) for i, v in enumerate(lab)], "respondent_id long, labels array<int>"), "respondent_id")), x, lab
+
+
+@pytest.mark.parametrize("block", [16, 1 << 15])
+def test_exact_silhouette_is_euclidean_over_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
+    frame, x, lab = _labelled_blobs(spark, 90)
+    assert C.silhouette(frame, 1, "exact")[0]["silhouette"] == pytest.approx(_silhouette(x, lab), abs=1e-10)
+    # far from zero distances keep their digits; several models share the tiles
+    two = frame.select((F.transform("z", lambda v: v + 1e5)).alias("z"), F.array(F.col("labels")[0], F.lit(1), (F.col("respondent_id") % 2).cast("int")).alias("labels"))
+    got = [r["silhouette"] for r in C.silhouette(C.cut(two), 3, "exact")]
+    assert got[0] == pytest.approx(_silhouette(x, lab), abs=1e-6) and got[1] is None
+    assert got[2] == pytest.approx(_silhouette(x, np.arange(90) % 2), abs=1e-6)
+
+
+def test_distance_sums_in_steps():
+    rng = np.random.default_rng(3)
+    xa, xb = rng.normal(size=(1100, 3)), rng.normal(size=(700, 3))
+    ha, hb = np.eye(2)[np.arange(1100) % 2], np.eye(2)[np.arange(700) % 2]
+    d = np.sqrt(((xa[:, None] - xb[None]) ** 2).sum(-1))
+    to_b, to_a = C._distance_sums(xa, ha, xb, hb, False)
+    assert np.allclose(to_b, d @ hb) and np.allclose(to_a, d.T @ ha)
+    own = np.sqrt(((xa[:, None] - xa[None]) ** 2).sum(-1))
+    assert np.allclose(C._distance_sums(xa, ha, xa, ha, True)[0], own @ ha)
