@@ -432,3 +432,16 @@ def test_distance_sums_in_steps():
     assert np.allclose(to_b, d @ hb) and np.allclose(to_a, d.T @ ha)
     own = np.sqrt(((xa[:, None] - xa[None]) ** 2).sum(-1))
     assert np.allclose(C._distance_sums(xa, ha, xa, ha, True)[0], own @ ha)
+
+
+@pytest.mark.parametrize("block", [16, 1 << 15])
+def test_pair_distances_are_euclidean_over_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
+    frame, x, lab = _labelled_blobs(spark, 90)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    got = {(r["own"], r["other"]): r["mean_distance"] for r in C.pair_distances(frame).collect()}
+    counts = {int(k): int((lab == k).sum()) for k in np.unique(lab)}
+    assert set(got) == {(a + 1, b + 1) for a in counts for b in counts if a != b or counts[a] > 1}
+    for (own, other), v in got.items():
+        a, b = lab == own - 1, lab == other - 1
+        assert v == pytest.approx(d[np.ix_(a, b)].sum() / (a.sum() * (b.sum() - (own == other))), rel=1e-9)
