@@ -191,18 +191,24 @@ def _width(frame: DataFrame) -> int:
 
 
 # --- two-stage clustering -----------------------------------------------------------------------
-def _direction_bits(frame: DataFrame, p: int, bits: int):
-    """Principal axes and per-axis cut points for at most 2^bits cells, from the p x p moments."""
-    iu = np.triu_indices(p)
+def _moments(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[pa.RecordBatch]:
+    """A task's count, sums and p x p sums of products, as one row; the products of a row are never held."""
+    n, s, m = 0, np.zeros(p), np.zeros((p, p))
+    for b in batches:
+        if b.num_rows:
+            x = _z(b)
+            n += len(x)
+            s += x.sum(axis=0)
+            m += x.T @ x
+    if n:
+        yield from batches_of([(0,)], [n], [np.concatenate([s, m.ravel()])], ["grp"], [pa.int32()])
 
-    def products(x):
-        yield np.zeros(len(x), dtype=np.int32), np.column_stack([x, x[:, iu[0]] * x[:, iu[1]]])
 
-    n, s = grouped_sums(frame, products)[0]
-    m = np.zeros((p, p))
-    m[iu] = s[p:] / n
+def _direction_bits(frame: DataFrame, p: int, bits: int):
+    """Principal axes and per-axis cut points for at most 2^bits cells, from the p x p moments."""
+    n, s = collect_sums(frame.select("z").mapInArrow(lambda batches: _moments(batches, p), _SUMS))[0]
     mean = s[:p] / n
-    cov = m + np.triu(m, 1).T - np.outer(mean, mean)
+    cov = s[p:].reshape(p, p) / n - np.outer(mean, mean)
     lam, vec = np.linalg.eigh(cov)
     lam, vec = np.clip(lam[::-1], 0, None), vec[:, ::-1]
     share = np.zeros(p, dtype=int)

@@ -445,3 +445,21 @@ def test_pair_distances_are_euclidean_over_all_pairs(spark, monkeypatch, block):
     for (own, other), v in got.items():
         a, b = lab == own - 1, lab == other - 1
         assert v == pytest.approx(d[np.ix_(a, b)].sum() / (a.sum() * (b.sum() - (own == other))), rel=1e-9)
+
+
+def test_moments_hold_no_product_a_row():
+    import pyarrow as pa
+    import tracemalloc
+    x = np.random.default_rng(2).normal(size=(10000, 64))
+    z = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 64, dtype=np.int32), x.ravel())
+    batch = pa.RecordBatch.from_arrays([z], names=["z"])
+    tracemalloc.start()
+    try:
+        (out,) = C._moments(iter([batch, batch.slice(0, 0), batch.slice(100)]), 64)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    both = np.vstack([x, x[100:]])
+    row = out.to_pylist()[0]
+    assert row["n"] == 19900 and np.allclose(row["s"][:64], both.sum(axis=0)) and np.allclose(np.reshape(row["s"][64:], (64, 64)), both.T @ both)
+    assert peak < 40e6  # 10,000 rows of 2,144 products alone are 171 MB
