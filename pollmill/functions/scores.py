@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Shift and odd multiplier of each mixing round; products stay below 2^63.
 _HASH_ROUNDS = [(16, 2146121005), (15, 830770091)]
@@ -48,6 +48,22 @@ def max_same_run(cols) -> Column:
     return F.aggregate(present(cols), start, step, lambda acc: acc["best"])
 
 
+def answer_runs(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
+    """(id, v, first_pos, len): runs of equal neighbours in a row's answers, numbered by the digits of their column; missing answers are
+    dropped first, so runs bridge gaps. A row is read as an array where it lies: no shuffle and no sort."""
+    held = F.filter(F.array(*[F.struct(F.col(c).cast("double").alias("v"), F.lit(int(c[1:])).alias("pos")) for c in cols]), lambda x: x["v"].isNotNull())
+
+    def starts(a):
+        return F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i)["v"] != F.get(a, i - 1)["v"]))
+
+    def run(s, i):
+        first = F.get(F.col("_a"), s)
+        return F.struct(first["v"].alias("v"), first["pos"].alias("first_pos"), (F.coalesce(F.get(F.col("_s"), i + 1), F.size("_a")) - s).cast("bigint").alias("len"))
+
+    rows = df.select(id_col, held.alias("_a")).where(F.size("_a") > 0).withColumn("_s", starts(F.col("_a")))
+    return rows.select(id_col, F.inline(F.transform("_s", run)))
+
+
 def distinct_count(cols) -> Column:
     return F.size(F.array_distinct(present(cols)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import scores as S, text as X
 from ..operators import describe as D, quality as Q, ranks as K, recode as R
@@ -292,11 +292,7 @@ def _(spark, sf):
 
 @query("run_islands", oracle("survey", runs_ctes() + " SELECT respondent_id, v, first_pos, len FROM runs"))
 def _(spark, sf):
-    items = view(spark, sf, "survey").select("respondent_id", *P.LIKERT_ALL).unpivot(["respondent_id"], P.LIKERT_ALL, "item", "v").filter("v is not null")
-    items = items.withColumn("pos", D.item_number())
-    w = W.partitionBy("respondent_id").orderBy("pos")
-    runs = items.withColumn("new", F.coalesce((F.col("v") != F.lag("v").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
-    return runs.groupBy("respondent_id", "run", "v").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("len")).drop("run")
+    return S.answer_runs(view(spark, sf, "survey"), P.LIKERT_ALL, "respondent_id")
 
 
 @query("avg_rank", "SELECT o_orderkey, o_totalprice, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::double AS avg_rank FROM orders")

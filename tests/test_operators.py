@@ -463,3 +463,13 @@ def test_moments_hold_no_product_a_row():
     row = out.to_pylist()[0]
     assert row["n"] == 19900 and np.allclose(row["s"][:64], both.sum(axis=0)) and np.allclose(np.reshape(row["s"][64:], (64, 64)), both.T @ both)
     assert peak < 40e6  # 10,000 rows of 2,144 products alone are 171 MB
+
+
+def test_answer_runs_bridge_gaps_without_shuffle(spark, capsys):
+    rows = spark.createDataFrame([(1, 2.0, None, 2.0, 3.0), (2, None, None, None, None), (3, None, 5.0, 4.0, 5.0), (4, 1.0, 1.0, 1.0, 1.0)],
+                                 "respondent_id long, C060 double, C061 double, C062 double, C063 double")
+    runs = S.answer_runs(rows, ["C060", "C061", "C062", "C063"], "respondent_id")
+    assert sorted(map(tuple, runs.collect())) == [(1, 2.0, 60, 2), (1, 3.0, 63, 1), (3, 4.0, 62, 1), (3, 5.0, 61, 1), (3, 5.0, 63, 1), (4, 1.0, 60, 4)]
+    runs.explain()
+    plan = capsys.readouterr().out
+    assert not any(x in plan for x in ("Exchange", "Sort", "Window", "Aggregate"))
