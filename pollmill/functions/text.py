@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Unicode white space as the survey export uses it, plus the ASCII separators 1C-1F.
 _WS = r"(?U)[\s\x1c-\x1f]+"
@@ -12,6 +12,9 @@ _WS_CHARS = "".join(ch for ch in map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21
                                            0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _STRICT_NUMBER = r"^[-+]?[0-9]+(\.[0-9]+)?$"
 _FLOAT = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+# The same two on a cell as it lies, \z because $ also fits before a line end: such cells have nothing to trim, translate or split.
+_PLAIN_STRICT = r"\A[-+]?[0-9]+(?:\.[0-9]+)?\z"
+_PLAIN_FLOAT = r"\A[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\z"
 _INFINITE = r"(?i)^[-+]?inf(inity)?$"
 _WIDE_DIGITS, _DIGITS = "０１２３４５６７８９", "0123456789"
 
@@ -61,11 +64,25 @@ def safe_float(c) -> Column:
     return F.when(t.rlike(_STRICT_NUMBER), t.try_cast("double"))
 
 
+def code_number(c) -> Column:
+    """``safe_float`` of the code of a ``code^text`` cell; a cell that is a plain number skips the steps that leave it as it is."""
+    return F.when(_col(c).rlike(_PLAIN_STRICT), _col(c).try_cast("double")).otherwise(safe_float(split_code_text(c)["code"]))
+
+
 def to_float(c) -> Column:
-    """Lenient number: exponents, bare fractions and infinities are accepted."""
+    """Lenient number: exponents, bare fractions and infinities are accepted. A plain number skips the steps that leave it as it is."""
     t = F.regexp_replace(F.translate(strip(c), _WIDE_DIGITS, _DIGITS), r"(?<=[0-9])_(?=[0-9])", "")
     inf = F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(t.rlike(_FLOAT), t.try_cast("double")).when(t.rlike(_INFINITE), inf)
+    return (F.when(_col(c).rlike(_PLAIN_FLOAT), _col(c).try_cast("double"))
+            .when(t.rlike(_FLOAT), t.try_cast("double")).when(t.rlike(_INFINITE), inf))
+
+
+def parsed_columns(df: DataFrame, columns: list[str], parse, keep) -> DataFrame:
+    """(keep, columns) with every text cell parsed, as one expression over the row's cells: a hundred copies of it compile and run slowly."""
+    cells = F.transform(F.array(*[F.col(c).cast("string") for c in columns]), parse)
+    rows = df.select(*keep, cells.alias("_cells"))
+    kept = [F.col(f"`{c}`") for c in rows.columns[:-1]]
+    return rows.select(*kept, *[F.col("_cells")[i].alias(c) for i, c in enumerate(columns)])
 
 
 def parse_duration(c) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import is_other, norm_label, parse_duration, safe_float, split_code_text, split_multi, strip
+from ..functions.text import code_number, is_other, norm_label, parse_duration, parsed_columns, split_code_text, split_multi, strip
 
 LOG_COLUMNS = "row_id", "source_col_idx", "source_value", "target_col_idx", "reason"
 
@@ -187,7 +187,7 @@ def coded_audit(coded: DataFrame) -> DataFrame:
 
 def numeric_cells(coded: DataFrame, columns: list[str], keep=("respondent_id",)) -> DataFrame:
     """Coded text cells -> numbers; the text after a caret is dropped here (see ``cell_markers``)."""
-    return coded.select(*keep, *[safe_float(split_code_text(c)["code"]).alias(c) for c in columns])
+    return parsed_columns(coded, columns, code_number, keep)
 
 
 def cell_markers(coded: DataFrame, columns: list[str], id_col: str = "respondent_id") -> DataFrame:

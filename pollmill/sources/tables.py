@@ -7,7 +7,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import to_float
+from ..functions.text import parsed_columns, to_float
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -19,7 +19,10 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFra
 def numeric_columns(df: DataFrame, wanted: list[str], keep: list[str] = ()) -> DataFrame:
     """Typed projection of text columns; a column the table lacks becomes all missing."""
     have = set(df.columns)
-    return df.select(*keep, *[(to_float(F.col(c)) if c in have else F.lit(None).cast("double")).alias(c) for c in wanted])
+    held = [c for c in wanted if c in have]
+    rows = parsed_columns(df, held, to_float, keep) if held else df.select(*keep)
+    kept = [F.col(f"`{c}`") for c in rows.columns[: len(rows.columns) - len(held)]]
+    return rows.select(*kept, *[(F.col(c) if c in have else F.lit(None).cast("double")).alias(c) for c in wanted])
 
 
 def scan_survey_csv(spark: SparkSession, path: str, file_columns: list[str], wanted: list[str],

@@ -473,3 +473,26 @@ def test_answer_runs_bridge_gaps_without_shuffle(spark, capsys):
     runs.explain()
     plan = capsys.readouterr().out
     assert not any(x in plan for x in ("Exchange", "Sort", "Window", "Aggregate"))
+
+
+_CELLS = ["5", "-3", "+2.5", "007", "1e3", " .5 ", ".5", "5.", "1^文本", " 4 ^x", "", None, "　７", "5\n", "5 ", "5\u0085", "1_0", "inf", "-Infinity", "NaN", "5d", "１.５", "1^2^3", "2f"]
+
+
+def test_numbers_parsed_as_arrays_equal_those_of_single_cells(spark, capsys):
+    from pollmill.sources import tables as TB
+    df = spark.createDataFrame([(i, c, c) for i, c in enumerate(_CELLS)], "respondent_id long, a string, b string")
+    want = {r[0]: r[1] for r in df.select("respondent_id", X.safe_float(X.split_code_text("a")["code"])).collect()}
+    cells = R.numeric_cells(df, ["a", "b"])
+    assert {r[0]: r[1] for r in cells.collect()} == want == {r[0]: r[2] for r in cells.collect()}
+    assert [want[i] for i, c in enumerate(_CELLS) if c in ("5", "1e3", "5\n", "5 ", "　７", "1^文本")] == [5.0, None, 1.0, 7.0, 5.0, 5.0]
+    lenient = TB.numeric_columns(df, ["a", "missing", "b"], ["respondent_id"])
+    assert lenient.columns == ["respondent_id", "a", "missing", "b"]
+    got = {r["respondent_id"]: (r["a"], r["missing"], r["b"]) for r in lenient.collect()}
+    named = dict(zip(_CELLS, (got[i][0] for i in range(len(_CELLS)))))
+    assert named == {"5": 5, "-3": -3, "+2.5": 2.5, "007": 7, "1e3": 1000, " .5 ": .5, ".5": .5, "5.": 5, "1^文本": None, " 4 ^x": None, "": None, None: None, "　７": 7, "5\n": 5,
+                     "5 ": 5, "5\u0085": 5, "1_0": 10, "inf": float("inf"), "-Infinity": float("-inf"), "NaN": None, "5d": None, "１.５": 1.5, "1^2^3": None, "2f": None}
+    assert all(v[1] is None and v[0] == v[2] for v in got.values())
+    assert [tuple(r) for r in TB.numeric_columns(df, ["missing"], ["respondent_id"]).limit(1).collect()] == [(0, None)]
+    # one parse expression, however many columns
+    R.numeric_cells(df.select("*", *[F.col("a").alias(f"c{i}") for i in range(40)]), [f"c{i}" for i in range(40)]).explain()
+    assert capsys.readouterr().out.count("RLIKE") < 40
