@@ -41,6 +41,22 @@ def _hash_histogram(ids: DataFrame, runs: int, shift: int, parents: dict[int, in
     return {r: v for r, (_, v) in collected(ids.mapInArrow(count, "run int, n bigint, s array<double>"), ["run"]).items()}
 
 
+def _tied(ids: DataFrame, at: dict[int, int]) -> DataFrame:
+    """(run, id, n): rows whose hash is the run's last one, counted per id, so an id that many rows hold is one row."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, run, found, count = _ids(b), [], [], []
+            for r, h in at.items():
+                same, n = np.unique(x[S.portable_hash_array(x, r) == np.uint64(h)], return_counts=True)
+                run.append(np.full(len(same), r, np.int32))
+                found.append(same)
+                count.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(run)), pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.concatenate(count).astype(np.int64))],
+                                             names=["run", "id", "n"])
+
+    return ids.mapInArrow(find, "run int, id bigint, n bigint").groupBy("run", "id").agg(F.sum("n").alias("n"))
+
+
 def resample_cuts(df: DataFrame, runs: int, ratio: float, min_n: int = 50, id_col: str = "respondent_id") -> list[tuple[int, int, int]]:
     """(run, hash, id) of the last member of each run: exactly round(ratio * n) rows, no replacement.
 
@@ -64,9 +80,7 @@ def resample_cuts(df: DataFrame, runs: int, ratio: float, min_n: int = 50, id_co
             need[r] -= int(upto[at] - have[at])
             found[r] = (prefix[r] if prefix else 0) * width + at % width
         prefix = found
-    same = F.array_compact(F.array(*[F.when(S.portable_hash("id", run) == h, F.lit(run)) for run, h in prefix.items()]))
-    # rows that share the hash: counted per id, so an id that many rows hold is one row
-    tied = ids.select("id", F.explode(same).alias("run")).groupBy("run", "id").agg(F.count(F.lit(1)).alias("n"))
+    tied = _tied(ids, prefix)
     out = {}
     for r in sorted(tied.collect(), key=lambda t: (t["run"], t["id"])):
         if need[r["run"]] > 0:

@@ -496,3 +496,13 @@ def test_numbers_parsed_as_arrays_equal_those_of_single_cells(spark, capsys):
     # one parse expression, however many columns
     R.numeric_cells(df.select("*", *[F.col("a").alias(f"c{i}") for i in range(40)]), [f"c{i}" for i in range(40)]).explain()
     assert capsys.readouterr().out.count("RLIKE") < 40
+
+
+def test_ties_of_a_resample_are_counted_in_tasks(spark, capsys):
+    ids = spark.createDataFrame([(i % 40,) for i in range(200)], "id long").repartition(4)
+    at = {r: int(S.portable_hash_array(np.array([3 * r]), r)[0]) for r in range(1, 6)}
+    tied = ST._tied(ids, at)
+    assert sorted(map(tuple, tied.collect())) == [(r, 3 * r, 5) for r in range(1, 6)]
+    tied.explain()
+    assert "2654435761" not in capsys.readouterr().out  # no hash expression a run in the plan
+    assert ST._tied(ids.limit(0), at).count() == 0
