@@ -26,8 +26,9 @@ def map_single(cell: Column, book: dict[str, int], other: str = "其他") -> Col
 
 def unknown_single(cell: Column, book: dict[str, int], other: str = "其他") -> Column:
     """The raw answer when it is filled in but not in the book, else NULL."""
-    text = strip(cell)
-    return F.when((text != "") & map_single(cell, book, other).isNull(), text)
+    # most answers are labels as the book lists them: one look-up settles those
+    listed = F.coalesce(cell.isin(sorted({"".join(k.split()) for k in book})), F.lit(False))
+    return F.when(~listed, F.when(map_single(cell, book, other).isNull(), F.nullif(strip(cell), F.lit(""))))
 
 
 def _tokens(cell: Column, skip: str) -> Column:
@@ -66,7 +67,9 @@ def other_text_count(cell: Column, skip: str = "(跳过)", other: str = "其他"
 def unknown_multi(cell: Column, options: list[str], skip: str = "(跳过)", other: str = "其他") -> Column:
     """Array of tokens that match no option."""
     known = {"".join(o.split()) for o in options} | {"".join(skip.split())}
-    return F.filter(split_multi(cell), lambda t: ~is_other(t, other) & ~norm_label(t).isin(sorted(known)))
+    # white space is trimmed on what is left, as the tests don't see it
+    tokens = F.split(F.coalesce(cell, F.lit("")), "┋")
+    return F.transform(F.filter(tokens, lambda t: ~norm_label(t).isin(["", *sorted(known)]) & ~is_other(t, other)), strip)
 
 
 def branch_skip(status: Column, visited: list[Column], unvisited: list[Column]) -> tuple[list[Column], list[Column]]:

@@ -506,3 +506,14 @@ def test_ties_of_a_resample_are_counted_in_tasks(spark, capsys):
     tied.explain()
     assert "2654435761" not in capsys.readouterr().out  # no hash expression a run in the plan
     assert ST._tied(ids.limit(0), at).count() == 0
+
+
+def test_unknown_answers_trim_only_what_no_book_knows(spark, capsys):
+    book, cells = {"是": 1, "不 是": 2, "其他": 3}, ["是", " 是　", "不 是", "不是", "其他x", "", None, "  ", " 未 知 ", "┋", "是┋ 未知 ┋其他: y┋(跳过)┋ ┋ 不是"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "id long, c string")
+    got = df.select("id", R.unknown_single(F.col("c"), book).alias("s"), R.unknown_multi(F.col("c"), list(book)).alias("m")).orderBy("id")
+    single, multi = zip(*[(r["s"], r["m"]) for r in got.collect()])
+    assert list(single) == [None] * 8 + ["未 知", "┋", "是┋ 未知 ┋其他: y┋(跳过)┋ ┋ 不是"]
+    assert list(multi) == [[]] * 8 + [["未 知"], [], ["未知"]]
+    df.select(R.unknown_multi(F.col("c"), list(book)).alias("m")).explain()
+    assert "filter(transform(" not in capsys.readouterr().out
