@@ -58,10 +58,23 @@ def duration_flag(seconds="duration_sec", limit: float = 90) -> Column:
 
 
 def severe_straightline_flag(items=P.LIKERT_ALL, long_run: int = 30, mid_run: int = 20, extreme: float = 0.8) -> Column:
-    """Long constant runs, or at most one distinct answer (also when nothing was answered)."""
+    """Long constant runs, or at most one distinct answer (also when nothing was answered).
+
+    A run that long covers the columns around the middle, whether it starts in the first or the second half of its places, and nulls
+    only stretch it: rows with two different neighbours in both of these spans are told by plain comparisons, without walking the answers.
+    """
+    items = list(items)
     run = S.max_same_run(items)
-    return S.flag((S.distinct_count(items) <= 1) | (run >= long_run)
-                  | ((run >= mid_run) & (S.extreme_share(items) >= extreme)))
+    hit = S.flag((S.distinct_count(items) <= 1) | (run >= long_run)
+                 | ((run >= mid_run) & (S.extreme_share(items) >= extreme)))
+    n, r = len(items), min(long_run, mid_run)
+    late = max(n - r, 0)
+    spans = [items[late // 2:r], items[late:late // 2 + r]]
+
+    def even(span):
+        return reduce(lambda a, b: a & b, [F.coalesce(F.col(a).cast("double") == F.col(b).cast("double"), F.lit(True)) for a, b in zip(span, span[1:])], F.lit(True))
+
+    return F.when(even(spans[0]) | even(spans[1]), hit).otherwise(F.lit(0))
 
 
 def attention_failed(item="C064", expected: float = 1, text="attention_text") -> Column:

@@ -22,6 +22,9 @@ _LAST_SHIFT = 8
 #: Bins of a column's values that all runs count in, and the size of the sketch that places them.
 BINS = 256
 _SKETCH_K = 2048
+#: Columns of at most so many bins are counted for all runs by one matrix product; rows of a step of such products.
+_FEW_BINS = 32
+_ROWS = 2048
 
 
 def _hash_histogram(ids: DataFrame, runs: int, shift: int, parents: dict[int, int] | None) -> dict[int, np.ndarray]:
@@ -176,13 +179,28 @@ def run_quantiles(frame: DataFrame, runs: int, p: int, probs: list[float], bins:
     """
     ends = value_bins(frame, p, bins)
 
+    few = [j for j in range(p) if len(ends[j]) <= _FEW_BINS]
+    first = np.cumsum([0, *(len(ends[j]) for j in few)])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = [np.zeros((len(e), runs)) for e in ends]
+        acc, small = [np.zeros((len(e), runs)) for e in ends], np.zeros((int(first[-1]), runs))
         for b in batches:
             if b.num_rows:
-                x, m = C._z(b), _members(b, runs).astype(np.int32)
+                x, m = C._z(b), _members(b, runs)
+                at = [np.minimum(np.searchsorted(e, x[:, j]), len(e) - 1) for j, e in enumerate(ends)]
+                for i in range(0, len(x) if few else 0, _ROWS):
+                    # a step's counts stay far below 2^24, so single precision is exact
+                    w = m[i:i + _ROWS].astype(np.float32)
+                    hot = np.zeros((len(w), len(small)), dtype=np.float32)
+                    for lo, j in zip(first, few):
+                        hot[np.arange(len(w)), lo + at[j][i:i + _ROWS]] = 1.0
+                    small += hot.T @ w
+                m = m.astype(np.int32)
                 for j, e in enumerate(ends):
-                    acc[j] += _by_run(np.minimum(np.searchsorted(e, x[:, j]), len(e) - 1), m, len(e))
+                    if len(e) > _FEW_BINS:
+                        acc[j] += _by_run(at[j], m, len(e))
+        for lo, j in zip(first, few):
+            acc[j] = small[lo:lo + len(ends[j])]
         yield from batches_of([(j,) for j in range(p)], [0] * p, [a.ravel() for a in acc], ["item"], [pa.int32()])
 
     out = np.zeros((len(probs), runs, p))
@@ -203,32 +221,53 @@ def _run_scales(frame: DataFrame, runs: int, p: int, method: str) -> tuple[np.nd
         low, centre, high = run_quantiles(frame, runs, p, [0.25, 0.5, 0.75])
         scale = high - low
     else:
-        sums = _run_sums(frame, runs, 1, lambda x: np.zeros((len(x), runs), dtype=np.int64), lambda x: np.column_stack([x, x ** 2]))
-        rows = [sums[(r, 0)] for r in range(runs)]
-        centre = np.array([v[:p] / n for n, v in rows])
-        scale = np.sqrt(np.clip(np.array([v[p:] / n for n, v in rows]) - centre ** 2, 0.0, None))
+        n, sums = _run_sums(frame, range(runs), runs, values=lambda x: np.column_stack([x, x ** 2]))
+        mean = sums[:, 0] / n[:, 0, None]
+        centre = mean[:, :p]
+        scale = np.sqrt(np.clip(mean[:, p:] - centre ** 2, 0.0, None))
     return centre, np.where(scale < 1e-10, 1.0, scale)
 
 
-def _run_sums(frame: DataFrame, runs: int, slots: int, slot_of, values=lambda x: x) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
-    """(run index, slot) -> count and vector sum over the run's members; one row per task and slot."""
+def _slot_sums(v: np.ndarray, m: np.ndarray, cell: np.ndarray | None, label: np.ndarray | None, out: np.ndarray) -> None:
+    """Adds the rows (count first in ``v``) of every run to out[cell, label, run]: one product of members with rows a cell and step, no row copied per run."""
+    order, ends = (slice(None), [len(v)]) if cell is None else (np.argsort(cell, kind="stable"), None)
+    v, m, label = v[order], m[order], None if label is None else label[order]
+    if ends is None:
+        cell = cell[order]
+        ends = [*(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+    start = 0
+    for end in ends:
+        at = 0 if cell is None else int(cell[start])
+        for i in range(start, end, _ROWS):
+            rows = slice(i, min(i + _ROWS, end))
+            for k in range(out.shape[1]):
+                w = m[rows] if label is None else m[rows] & (label[rows] == k)
+                out[at, k] += w.T.astype(float) @ v[rows]
+        start = end
+
+
+def _run_sums(frame: DataFrame, which, runs: int, cells: int = 1, k: int = 1, cell_of=None, label_of=None, values=lambda x: x) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (runs x slots) and vector sums (runs x slots x width) over the members of the runs ``which`` of all ``runs``; slot = cell * k + label.
+
+    ``cell_of`` gives a row's cell, the same in all runs, ``label_of`` its label in each of ``which``. A task emits a row a run.
+    """
+    which = list(which)
+
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s = np.zeros(runs * slots, dtype=np.int64), None
+        out = None
         for b in batches:
             if b.num_rows:
                 x, m = C._z(b), _members(b, runs)
-                v, g = values(x), slot_of(x)  # g: rows x runs
-                s = np.zeros((runs * slots, v.shape[1])) if s is None else s
-                for r in range(runs):
-                    rows = np.flatnonzero(m[:, r])
-                    order = rows[np.argsort(g[rows, r], kind="stable")]
-                    if len(order):
-                        held, starts = np.unique(g[order, r], return_index=True)
-                        n[r * slots + held] += np.diff([*starts, len(order)])
-                        s[r * slots + held] += np.add.reduceat(v[order], starts, axis=0)
-        yield from C._emit({k: [int(n[k]), s[k]] for k in np.flatnonzero(n).tolist()})
+                m = m if len(which) == runs else m[:, which]
+                v = np.column_stack([np.ones(len(x)), values(x)])
+                out = np.zeros((cells, k, len(which), v.shape[1])) if out is None else out
+                _slot_sums(v, m, cell_of(x) if cell_of else None, label_of(x) if label_of else None, out)
+        if out is not None:
+            yield from batches_of([(r,) for r in which], [0] * len(which), [out[:, :, i].ravel() for i in range(len(which))], ["grp"], [pa.int32()])
 
-    return {divmod(g, slots): v for g, v in C.collect_sums(frame.select("z", "runs").mapInArrow(reduce, C._SUMS)).items()}
+    got = C.collect_sums(frame.select("z", "runs").mapInArrow(reduce, C._SUMS))
+    both = np.array([got[r][1] for r in which]).reshape(len(which), cells * k, -1)
+    return both[:, :, 0], both[:, :, 1:]
 
 
 def run_silhouettes(frame: DataFrame, runs: int, k: int, centre: np.ndarray, scale: np.ndarray, label_of, cell_of, cells: int) -> np.ndarray:
@@ -236,17 +275,15 @@ def run_silhouettes(frame: DataFrame, runs: int, k: int, centre: np.ndarray, sca
 
     The raw sums of values and of squares of a cell give its moments in any run's scale, so a row is summed as it is.
     """
-    def slots(x):
-        return cell_of(x)[:, None] * k + label_of(x)
-
     p = centre.shape[1]
-    held: list[list] = [[] for _ in range(runs)]
-    for (r, slot), (n, v) in _run_sums(frame, runs, cells * k, slots, lambda x: np.column_stack([x, x ** 2])).items():
-        raw, square = v[:p], v[p:]
-        s = (raw - n * centre[r]) / scale[r]
-        q = ((square - 2.0 * centre[r] * raw + n * centre[r] ** 2) / scale[r] ** 2).sum()
-        held[r].append((slot % k, n, s, q))
-    out = [C.silhouette_of_cells(*(np.array(c, dtype=t) for c, t in zip(zip(*h), (int, float, float, float)))) if h else None for h in held]
+    n, sums = _run_sums(frame, range(runs), runs, cells, k, cell_of, label_of, lambda x: np.column_stack([x, x ** 2]))
+    out = []
+    for r in range(runs):
+        held = np.flatnonzero(n[r])
+        size, raw, square = n[r, held, None], sums[r, held, :p], sums[r, held, p:]
+        s = (raw - size * centre[r]) / scale[r]
+        q = ((square - 2.0 * centre[r] * raw + size * centre[r] ** 2) / scale[r] ** 2).sum(axis=1)
+        out.append(C.silhouette_of_cells(held % k, size[:, 0], s, q) if len(held) else None)
     return np.array([np.nan if v is None else v for v in out])
 
 
@@ -264,43 +301,44 @@ def stability_resample(raw: DataFrame, labelled: DataFrame, k: int, method: str
     frame = with_members(frame, cuts)
     centre, scale = _run_scales(frame, runs, p, method)
     mean, axes, marks = C._direction_bits(frame, p, int(np.log2(cells)))
-    sums = _run_sums(frame, runs, cells, lambda x: np.repeat(C._cells(x, mean, axes, marks)[:, None], runs, axis=1))
+    n, sums = _run_sums(frame, range(runs), runs, cells, cell_of=lambda x: C._cells(x, mean, axes, marks))
     start = []
     for r in range(runs):
-        have = [sums[(r, c)] for c in range(cells) if (r, c) in sums]
-        pts = (np.array([s / n for n, s in have]) - centre[r]) / scale[r]
-        start.append(C.ward_centres(pts, np.array([n for n, _ in have], dtype=float), {k})[k])
+        have = np.flatnonzero(n[r])
+        pts = (sums[r, have] / n[r, have, None] - centre[r]) / scale[r]
+        start.append(C.ward_centres(pts, n[r, have], {k})[k])
     centres = np.array(start)  # runs x k x p, in each run's own scale
 
-    def nearest(cen):
+    def nearest(cen, which=slice(None)):
         # |z - m|^2 up to a constant, as one product of raw rows with all runs' centres.
-        a = (cen / scale[:, None, :]).reshape(runs * k, p)
-        b = 0.5 * (cen ** 2).sum(axis=2) + (cen * (centre / scale)[:, None, :]).sum(axis=2)
-        return lambda x: np.argmin(b[None, :, :] - (x @ a.T).reshape(len(x), runs, k), axis=2)
+        a = (cen / scale[which][:, None, :]).reshape(len(cen) * k, p)
+        b = 0.5 * (cen ** 2).sum(axis=2) + (cen * (centre / scale)[which][:, None, :]).sum(axis=2)
+        return lambda x: np.argmin(b[None, :, :] - (x @ a.T).reshape(len(x), len(cen), k), axis=2)
 
+    active = np.arange(runs)  # a run whose centres rest takes no part in the passes that follow
     for _ in range(steps):
-        sums = _run_sums(frame, runs, k, nearest(centres))
-        new = centres.copy()
-        for (r, c), (n, s) in sums.items():
-            new[r, c] = (s / n - centre[r]) / scale[r]
-        moved = np.abs(new - centres).max()
-        centres = new
-        if moved <= 1e-12:
+        old = centres[active]
+        n, sums = _run_sums(frame, active.tolist(), runs, 1, k, label_of=nearest(old, active))
+        moved = (sums / np.maximum(n, 1)[:, :, None] - centre[active][:, None, :]) / scale[active][:, None, :]
+        new = np.where(n[:, :, None] > 0, moved, old)
+        centres[active] = new
+        active = active[np.abs(new - old).max(axis=(1, 2)) > 1e-12]
+        if not len(active):
             break
     label_of = nearest(centres)
     sil = run_silhouettes(frame, runs, k, centre, scale, label_of, lambda x: C._cells(x, mean, axes, marks), cells)
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple, int] = {}
+        total: dict[tuple, np.ndarray] = {}
         for b in batches:
             if b.num_rows:
                 m, g = _members(b, runs), label_of(C._z(b))
                 ref = b.column(b.schema.get_field_index("ref")).to_numpy(zero_copy_only=False)
-                for r in range(runs):
-                    rows = m[:, r]
-                    pair, count = np.unique(np.column_stack([ref[rows], g[rows, r] + 1]), axis=0, return_counts=True)
-                    for (x, y), c in zip(pair.tolist(), count.tolist()):
-                        acc[(r, x, y)] = acc.get((r, x, y), 0) + c
+                for y in range(k):
+                    mine = m & (g == y)
+                    for x in np.unique(ref).tolist():
+                        total[(x, y + 1)] = total.get((x, y + 1), 0) + mine[ref == x].sum(axis=0)
+        acc = {(r, x, y): c for (x, y), v in total.items() for r, c in enumerate(v.tolist()) if c}
         keys = list(acc)
         yield pa.RecordBatch.from_arrays([pa.array([cuts[q[0]][0] for q in keys], pa.int32()), pa.array([q[1] for q in keys], pa.int32()),
                                           pa.array([q[2] for q in keys], pa.int32()), pa.array(list(acc.values()), pa.int64())],

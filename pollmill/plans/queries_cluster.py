@@ -9,7 +9,7 @@ from ..operators import cluster as C, describe as D, grid as G, quality as Q, st
 from ..sources import tables as T
 from ..sources.scratch import new_path, once, spread
 from . import profile as P
-from .queries_quality import clean, clean_ctes, flagged, flags_ctes, scored, scored_ctes
+from .queries_quality import clean, clean_ctes, flagged, flags_ctes, scored, scored_ctes, scored_once
 from .queries_recode import sql_list
 from .queries_tables import _seg_ctes, _segmented, _PROFILE_SQL
 from .registry import query, r6, rounded
@@ -230,7 +230,7 @@ def _(spark, sf):
 def _(spark, sf):
     out = None
     for name in C.FEATURE_SETS:
-        _, labelled = C.cluster_two_stage(G.prepared(scored(spark, sf), name, "zscore"))
+        _, labelled = C.cluster_two_stage(G.prepared(scored_once(spark, sf), name, "zscore"))
         sizes = labelled.select(F.posexplode("labels").alias("m", "cluster")).groupBy((F.col("m") + 2).alias("k"), "cluster").agg(F.count(F.lit(1)).alias("n"))
         part = sizes.withColumn("feature_set", F.lit(name))
         out = part if out is None else out.unionByName(part)
@@ -246,19 +246,19 @@ def _(spark, sf):
 
 @query("cluster_grid")
 def _(spark, sf):
-    metrics, _ = G.cluster_grid(scored(spark, sf))
+    metrics, _ = G.cluster_grid(scored_once(spark, sf))
     return metrics
 
 
 @query("preprocess_compare")
 def _(spark, sf):
-    metrics, labels = G.cluster_grid(scored(spark, sf), ["enhanced"], ks=(2, 4))
+    metrics, labels = G.cluster_grid(scored_once(spark, sf), ["enhanced"], ks=(2, 4))
     return G.preprocess_compare(metrics, labels, "enhanced")
 
 
 def _main_model(spark, sf, k=2):
     """Raw imputed vectors, scaled labels and the scored rows of the enhanced + robust model."""
-    s = scored(spark, sf)
+    s = scored_once(spark, sf)
     cols = C.ENHANCED
     features = C.feature_matrix(s, "enhanced")
     frame = C.vectors(C.scale_features(features, cols, "robust"), cols)

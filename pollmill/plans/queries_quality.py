@@ -68,10 +68,24 @@ def clean(spark, sf, extra=()):
     return Q.survey_clean(flagged(spark, sf), extra)
 
 
+def _with_scores(valid):
+    return Q.with_scores(valid.withColumns({x: S.codes_to_null(x) for x in P.VISITED_BLOCK + P.UNVISITED_BLOCK}))
+
+
 def scored(spark, sf):
     """The valid sample with structural missing codes nulled and scores added, every column kept."""
-    s = Q.valid_sample(flagged(spark, sf)).withColumns({x: S.codes_to_null(x) for x in P.VISITED_BLOCK + P.UNVISITED_BLOCK})
-    return Q.with_scores(s)
+    return _with_scores(Q.valid_sample(flagged(spark, sf)))
+
+
+def scored_once(spark, sf):
+    """The rows of ``scored``, written once an application for queries that pass over them many times and need no dropped row.
+
+    The survey is screened as in ``flagged``; its dropped rows are not written.
+    """
+    def make():
+        return _with_scores(Q.valid_sample(Q.quality_profile(view(spark, sf, "survey"), Q.BALANCED)))
+
+    return once(spark, f"scored-{Q.BALANCED}", load(spark, sf, "orders"), make)
 
 
 def scored_ctes():

@@ -517,3 +517,61 @@ def test_unknown_answers_trim_only_what_no_book_knows(spark, capsys):
     assert list(multi) == [[]] * 8 + [["未 知"], [], ["未知"]]
     df.select(R.unknown_multi(F.col("c"), list(book)).alias("m")).explain()
     assert "filter(transform(" not in capsys.readouterr().out
+
+
+def test_sums_of_runs_without_a_copy_a_run():
+    import tracemalloc
+    rng = np.random.default_rng(6)
+    n, p, runs = 10000, 40, 60
+    v = np.column_stack([np.ones(n), rng.normal(size=(n, p))])
+    m, cell, label = rng.random((n, runs)) < 0.7, rng.integers(0, 5, n), rng.integers(0, 2, (n, runs))
+    cell[cell == 3] = 4  # an empty cell
+    out = np.zeros((5, 2, runs, p + 1))
+    tracemalloc.start()
+    try:
+        ST._slot_sums(v, m, cell, label, out)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    for c, k, r in ((0, 0, 0), (4, 1, 59), (3, 1, 7), (2, 0, 30)):
+        assert np.allclose(out[c, k, r], v[m[:, r] & (cell == c) & (label[:, r] == k)].sum(axis=0))
+    assert out[..., 0].sum() == m.sum() and peak < 30e6  # the members' rows of all runs are 140 MB
+    one = np.zeros((1, 1, runs, p + 1))
+    ST._slot_sums(v, m, None, None, one)
+    assert np.allclose(one[0, 0], m.T.astype(float) @ v)
+
+
+def test_severe_straightline_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    cols = [f"q{i}" for i in range(38)]
+    rows = rng.integers(1, 6, (400, 38)).astype(float)
+    for i in range(360):  # runs of 17 to 38 at any place, at a scale end or not, with gaps in and around them
+        length, value = rng.integers(17, 39), rng.choice([1.0, 3.0, 5.0])
+        start = rng.integers(0, 38 - length + 1)
+        rows[i, start:start + length] = value
+        if i % 3 == 0:
+            rows[i][rng.random(38) < 0.15] = np.nan
+        if i % 5 == 0:
+            rows[i][rows[i] == 2.0] = 5.0
+    rows[0], rows[1] = np.nan, np.where(np.arange(38) == 5, 4.0, np.nan)
+
+    def severe(r):
+        a = r[~np.isnan(r)]
+        run = max((len(s) for s in np.split(a, np.flatnonzero(np.diff(a)) + 1)), default=0) if len(a) else 0
+        return int(len(set(a.tolist())) <= 1 or run >= 30 or (run >= 20 and np.isin(a, (1.0, 5.0)).mean() >= 0.8))
+
+    want = [severe(r) for r in rows]
+    df = spark.createDataFrame([(i, *[None if np.isnan(x) else float(x) for x in r]) for i, r in enumerate(rows)], ", ".join(["i int", *[f"{c} double" for c in cols]]))
+    got = [r[1] for r in sorted(df.select("i", Q.severe_straightline_flag(cols)).collect())]
+    assert got == want and 0.2 < np.mean(want) < 0.8
+
+
+def test_clustering_reads_kept_rows_written_once(spark):
+    from pollmill.plans import queries_quality as QQ
+    from pollmill.sources import scratch
+    once = QQ.scored_once(spark, SF)
+    key = [k for k in scratch._KEPT if k[1].startswith("scored-")]
+    assert len(key) == 1 and spark.read.parquet(scratch._KEPT[key[0]][0]).where("invalid_union_flag = 1").count() == 0
+    whole = QQ.scored(spark, SF)
+    assert once.columns == whole.columns and whole.count() > 0
+    assert once.exceptAll(whole).count() == 0 and whole.exceptAll(once).count() == 0
