@@ -265,7 +265,8 @@ def ward_centres(points: np.ndarray, weights: np.ndarray, ks) -> dict[int, np.nd
         table[i, :] = table[:, i] = d
         if left - 1 in ks:
             out[left - 1] = c[alive].copy()
-    return {k: v[np.lexsort(v.T[::-1])] for k, v in out.items()}
+    # rounded, so that the order of equal figures does not hang on the order in which tasks added them up
+    return {k: v[np.lexsort(np.round(v, 9).T[::-1])] for k, v in out.items()}
 
 
 def lloyd(frame: DataFrame, start: dict[int, np.ndarray], steps: int = LLOYD_STEPS) -> dict[int, np.ndarray]:

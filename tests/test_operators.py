@@ -575,3 +575,11 @@ def test_clustering_reads_kept_rows_written_once(spark):
     whole = QQ.scored(spark, SF)
     assert once.columns == whole.columns and whole.count() > 0
     assert once.exceptAll(whole).count() == 0 and whole.exceptAll(once).count() == 0
+
+
+def test_label_numbers_ignore_the_noise_of_sums():
+    points = np.array([[0.5, 9.0, 1.0], [0.5, 1.0, 1.0], [7.0, 3.0, 2.0]])
+    noise = np.array([[-1e-15, 0, 0], [1e-15, 0, 0], [0, 0, 0]])
+    for x in (points, points + noise, points - noise):
+        assert np.allclose(C.ward_centres(x, np.ones(3), {3, 2})[3], [[0.5, 1.0, 1.0], [0.5, 9.0, 1.0], [7.0, 3.0, 2.0]])
+        assert np.allclose(C.ward_centres(x, np.array([1.0, 1.0, 50.0]), {2})[2][:, 0], [0.5, 7.0])
